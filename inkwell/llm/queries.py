@@ -32,13 +32,19 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(mix_sources(sizes, size=F.col("_words")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import chosen_path_join
+
+    return chosen_path_join(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_source_mixing, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_source_mixing, op6_ngram_jaccard_join, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_exact_dedup": rf"""
