@@ -38,13 +38,19 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path_join(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .run_index import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_source_mixing, op6_ngram_jaccard_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_source_mixing, op6_ngram_jaccard_join, op8_suffix_array_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_exact_dedup": rf"""
