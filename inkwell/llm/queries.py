@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, word_count, written
+from .shared import word_count, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, fold, identify
+
+    docs = table(spark, sf_dir, "documents")
+    got = identify(docs, fit(docs.filter(fold() != 1)))
+    return got.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources, mix_summary
 
@@ -32,25 +47,47 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(mix_sources(sizes, size=F.col("_words")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import chosen_path_join
 
     return chosen_path_join(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_diff import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .run_index import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_round_trip
+
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_source_mixing, op6_ngram_jaccard_join, op8_suffix_array_dedup, op10_best_fit_packing)}
+ALL = (
+    op1_exact_dedup, op2_language_id, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_jaccard_join,
+    op7_html_extraction, op8_suffix_array_dedup, op9_media_columns, op10_best_fit_packing,
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 ORACLES = {
     "op1_exact_dedup": rf"""
