@@ -1,6 +1,6 @@
 """All registered queries, by importing the modules that register them."""
 
-from . import search_queries  # noqa: F401
+from . import operations_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
