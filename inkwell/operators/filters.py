@@ -16,7 +16,7 @@ def namespace_of(name: Column) -> Column:
 
 def section_parts(path: Column) -> Column:
     """A section path as an array; blank and Root are empty."""
-    parts = F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"\s+/\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(path, F.lit("")), r"\s+/\s+"), lambda x: F.trim(x)), lambda p: p != "")
     return F.when(F.trim(F.coalesce(path, F.lit(""))) == "Root", F.array().cast("array<string>")).otherwise(parts)
 
 

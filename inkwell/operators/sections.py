@@ -209,7 +209,7 @@ def split_path(path: Column, file: Column) -> Column:
     name = F.lower(F.element_at(F.split(F.trim(F.coalesce(file, F.lit(""))), r"[/\\]"), -1))
 
     def arrows(part: Column, may: Column) -> Column:
-        parts = F.filter(F.transform(F.split(part, "-->"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(part, "-->"), lambda x: F.trim(x)), lambda p: p != "")
         good = may & F.contains(part, F.lit("-->")) & F.coalesce(F.try_element_at(parts, F.lit(1)).rlike(suffix), F.lit(False))
         return F.when(F.trim(part) == "", F.array().cast("array<string>")).when(good, parts).otherwise(F.array(F.trim(part)))
 
