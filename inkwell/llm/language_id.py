@@ -17,7 +17,10 @@ from .textstats import gram_counts, letter_counts, lowered
 DIMS, CENTROIDS, SAMPLE = 8192, 4, 2400
 #: A text is rejected if it is farther from its centroid than the farthest of this share of that centroid's
 #: own texts, by this factor of the cosine.
-FARTHEST, FACTOR = 0.01, 0.3
+FARTHEST, FACTOR = 0.05, 0.3
+#: A centroid that fewer than this share of its language's texts (or one text) are nearest to is dropped: a stray or
+#: mislabelled text founds no centroid.
+STRAY = 0.02
 WORK_BYTES = 2 << 20
 UNDECIDED = "und"
 
@@ -40,7 +43,9 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         own = (x @ centres.T).argmax(1)
         centres = np.vstack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-12)
-    return centres.astype(np.float32)
+    members = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
+    good = members >= max(2, STRAY * len(x))
+    return centres[good if good.any() else members == members.max()].astype(np.float32)
 
 
 class LanguageModel:
