@@ -261,7 +261,7 @@ def without_spaces(text: Column, punctuation: bool = False) -> Column:
 
 def page_title(text: Column, page: Column, most: int = 60) -> Column:
     """A page's title: its first line that is not blank, cut; else the last; else 'Page n'."""
-    lines = F.filter(F.transform(F.split(text_or_empty(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(lines) > 0, F.substring(F.try_element_at(lines, F.lit(1)), 1, most)).otherwise(F.concat(F.lit("Page "), page.cast("string")))
 
 

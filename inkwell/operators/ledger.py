@@ -83,7 +83,7 @@ def first_rules(requests: DataFrame, rules: DataFrame, default: str = "default")
     """The rule of least priority whose globs match a request's method and path. Rules are a short table, so it is broadcast."""
     glob = lambda c: F.concat(F.lit("^"), F.replace(F.regexp_replace(F.col(c), r"([.+?^${}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
     ready = rules.select("rule_id", "priority", glob("method").alias("_m"), glob("path").alias("_p"))
-    met = requests.join(F.broadcast(ready), F.col("method").rlike(F.col("_m")) & F.col("path").rlike(F.col("_p")))
+    met = requests.join(F.broadcast(ready), F.rlike("method", F.col("_m")) & F.rlike("path", F.col("_p")))
     best = met.groupBy("request_id").agg(F.min_by("rule_id", F.struct("priority", "rule_id")).alias("rule_id"))
     return requests.join(best, "request_id", "left").withColumn("rule_id", F.coalesce("rule_id", F.lit(default)))
 

@@ -145,7 +145,7 @@ def shard_errors(plan: DataFrame, most: int) -> DataFrame:
         F.when(F.col("page_start") != F.coalesce(F.lag("page_end").over(w), F.lit(0)) + 1, F.concat(name, F.lit(" is not contiguous"))), F.when(F.col("page_offset") != F.col("page_start") - 1, F.concat(name, F.lit(" has a wrong offset"))),
         F.when(size > most, F.concat(name, F.lit(f" exceeds max_pages={most}"))), F.when(size < 1, F.concat(name, F.lit(" is empty"))), F.when(F.lead("page_end").over(w).isNull() & (F.col("page_end") != F.col("page_count")), F.concat(name, F.lit(" does not end at the last page"))),
     )
-    return plan.select("doc_id", F.explode(F.array_compact(tests)).alias("error"))
+    return plan.select("doc_id", F.array_compact(tests).alias("_e")).select("doc_id", F.explode("_e").alias("error"))
 
 
 def page_lines(docs: DataFrame, key: str, text: str, per_page: int = 40) -> DataFrame:

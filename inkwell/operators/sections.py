@@ -161,12 +161,12 @@ def lineage(chunks: DataFrame, key: str = "chunk_id", parent: str = "parent_id",
     jump = chunks.select(F.col(key).alias("node"), F.coalesce(parent, key).alias("to"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("far"))
     known = jump.select(F.col("node").alias("_k"))
     jump = jump.join(known, jump["to"] == known["_k"], "left").withColumn("far", F.when(F.col("_k").isNull(), 0).otherwise(F.col("far"))).withColumn("to", F.coalesce("_k", "node")).drop("_k")
+    ends = jump.filter("far = 0").select(F.col("node").alias("_end"))
     steps = 1
     while steps < most:
         ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
         jump = jump.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("far") + F.when(F.col("node") == F.col("to"), 0).otherwise(F.col("_far"))).alias("far"))
         steps *= 2
-    ends = jump.filter("node = to").select(F.col("to").alias("_end"))
     return jump.join(ends, jump["to"] == ends["_end"], "left").select(F.col("node").alias(key), F.when(F.col("_end").isNotNull(), F.col("to")).alias("root"), F.when(F.col("_end").isNotNull(), F.col("far")).alias("depth"))
 
 

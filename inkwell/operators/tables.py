@@ -15,7 +15,7 @@ def pipe_cells(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     is_ = F.col("line").rlike(r"^\s*\|.*\|\s*$")
     marked = lines.withColumn("_is", is_)
     marked = marked.withColumn("_new", (F.col("_is") & ~F.coalesce(F.lag("_is").over(w), F.lit(False))).cast("int")).withColumn("table_no", F.sum("_new").over(w)).filter("_is")
-    body = marked.filter(~F.col("line").rlike(r"^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$"))
+    body = marked.filter(~F.col("line").rlike(r"^\s*\|(?:\s*:?-+:?\s*\|)+\s*$"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     t = Window.partitionBy(key, "table_no").orderBy("line_no")
     rows = body.withColumn("_c", cells).withColumn("row", F.row_number().over(t) - 1).withColumn("_w", F.first(F.size("_c")).over(t))
