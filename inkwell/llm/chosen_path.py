@@ -230,7 +230,7 @@ def chosen_path_join(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     sets = written(signed.groupBy("_set").agg(first, F.first("_minima").alias("_minima"), F.first("_size").alias("_size")), f"{path}/sets")
     found = leaves(sets, runs, path)
     likely = written(candidates(sets, found, least).join(sets.select("_set", F.col("_first.row").alias("_row")), "_set"), f"{path}/likely")
-    needed = likely.select("_row").distinct()
+    needed = likely.select("_row").distinct().hint("merge")  # the same plan at every size
     texts = docs.select(row_key(key, text).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(needed, "_row", "left_semi")
     links = written(linked(likely, texts, threshold, width, least), f"{path}/links")
     roots = components(links.select(F.col("_set").alias("a"), F.col("_least").alias("b")))
