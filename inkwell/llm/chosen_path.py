@@ -24,11 +24,12 @@ from .shared import shared_dir, slices, utf8, written
 #: Minima kept per set; the first ones are the roots of the runs.
 FUNCTIONS = 64
 #: Buckets of up to SMALL sets are compared exhaustively, others are split, at most DEPTH times; what can't
-#: be split by then (near-equal sets) is compared block by block, so that no pair is lost.
-SMALL, DEPTH = 256, 8
+#: be split by then, or kept the share DENSE of its parent (near-equal sets), is compared block by block, so that
+#: no pair is lost.
+SMALL, DEPTH, DENSE = 256, 8, 0.75
 #: Levels that the recall is reckoned for, and standard deviations allowed to the sketches' estimate.
 RECKONED_DEPTH, DEVIATIONS = 4, 4.0
-WORK_BYTES = 4 << 20
+WORK_BYTES = (2 << 20) - 8
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -64,21 +65,22 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def leaves(sets: DataFrame, runs: int, path: str) -> DataFrame:
     """_set, _leaf, _n of all buckets of two or more sets at which the splitting ends. sets is written."""
     first = [F.xxhash64(F.lit(r), F.element_at("_minima", r + 1)) for r in range(runs)]
-    at = sets.filter("_size > 0").select("_set", F.explode(F.array(*first)).alias("_leaf"))
+    at = sets.filter("_size > 0").select("_set", F.explode(F.array(*first)).alias("_leaf"), F.lit(None).cast("long").alias("_parent"))
     ended = None
     for level in range(1, DEPTH + 1):
         number = at.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         met = written(at.join(number, "_leaf"), f"{path}/level-{level}")
-        out = met if level == DEPTH else met.filter(F.col("_n") <= SMALL)
+        done = (F.col("_n") <= SMALL) | (F.col("_n") >= F.coalesce(F.col("_parent") * DENSE, F.lit(float("inf"))))
+        out = (met if level == DEPTH else met.filter(done)).select("_set", "_leaf", "_n")
         ended = out if ended is None else ended.unionByName(out)
-        large = met.filter(F.col("_n") > SMALL)
+        large = met.filter(~done)
         if level == DEPTH or large.isEmpty():
             break
         pick = [F.pmod(F.xxhash64(F.col("_leaf"), F.lit(f"{level}/{k}")), F.lit(FUNCTIONS - runs)).cast("int") + runs + 1 for k in (0, 1)]
         twice = F.pmod(F.xxhash64(F.col("_leaf"), F.lit(f"{level}/twice")), F.lit(4)) == 0
         next_ = [F.xxhash64(F.col("_leaf"), p, F.element_at("_minima", p)) for p in pick]
         branch = F.explode(F.when(twice & (pick[0] != pick[1]), F.array(*next_)).otherwise(F.array(next_[0])))
-        at = large.join(sets.select("_set", "_minima"), "_set").select("_set", branch.alias("_leaf"))
+        at = large.join(sets.select("_set", "_minima"), "_set").select("_set", branch.alias("_leaf"), F.col("_n").alias("_parent"))
     return ended.distinct()
 
 
