@@ -192,3 +192,27 @@ def section_relevance(sections: DataFrame, hints: DataFrame) -> DataFrame:
     down = hints.select("document_id", "score", F.col("section_path").alias("_h"), F.explode(prefixes(F.col("section_path"))).alias("section_path")).filter("section_path <> _h").join(sections.select("document_id", "section_path"), ["document_id", "section_path"])
     both = up.unionByName(down.select("document_id", "section_path", (F.col("score") * 0.65).alias("_s")))
     return sections.join(both.groupBy("document_id", "section_path").agg(F.least(F.max("_s"), F.lit(1.0)).alias("relevance")), ["document_id", "section_path"], "left").fillna(0.0, ["relevance"])
+
+
+def run_summary(steps: DataFrame) -> DataFrame:
+    """Query runs from their steps (run_id, query, document_id, tokens, seconds): results, distinct documents, tokens, time."""
+    return steps.groupBy("run_id", "query").agg(
+        F.count("document_id").alias("n_results"), F.array_sort(F.collect_set("document_id")).alias("documents"), F.sum("tokens").alias("tokens"), F.round(F.sum("seconds"), 3).alias("seconds")
+    ).withColumn("query_hash", F.substring(F.sha2("query", 256), 1, 16))
+
+
+def listed_documents(documents: DataFrame, n: int) -> DataFrame:
+    """Each user's newest n documents of a namespace that are not archived."""
+    w = Window.partitionBy("user_id", "namespace").orderBy(F.desc("updated_at"), "document_id")
+    return documents.filter("status <> 'archived'").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def archived(documents: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
+    """Documents of gone become archived at that time."""
+    marked = documents.join(gone.select("document_id").distinct().withColumn("_gone", F.lit(True)), "document_id", "left")
+    return marked.withColumn("archived_at", F.when(F.col("_gone"), at).otherwise(F.col("archived_at"))).withColumn("status", F.when(F.col("_gone"), "archived").otherwise(F.col("status"))).drop("_gone")
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Entities by a key, and the keys that are not there."""
+    return rows.join(wanted.select(on).distinct(), on, "left_semi"), wanted.join(rows.select(on), on, "left_anti").select(on).distinct()
