@@ -157,17 +157,17 @@ def renamed_repeats(rows: DataFrame, key: str = "document_id", order: str = "sor
 
 def lineage(chunks: DataFrame, key: str = "chunk_id", parent: str = "parent_id", most: int = 64) -> DataFrame:
     """key, root, depth of each chunk, by doubling: each round a pointer jumps twice as far, so rounds grow with
-    the logarithm of the depth. Chains that meet a missing parent end there; a cycle is reported as depth null."""
-    jump = chunks.select(F.col(key).alias("node"), F.coalesce(parent, key).alias("to"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("far"))
-    known = jump.select(F.col("node").alias("_k"))
-    jump = jump.join(known, jump["to"] == known["_k"], "left").withColumn("far", F.when(F.col("_k").isNull(), 0).otherwise(F.col("far"))).withColumn("to", F.coalesce("_k", "node")).drop("_k")
-    ends = jump.filter("far = 0").select(F.col("node").alias("_end"))
+    the logarithm of the depth. Chains that meet a missing parent end there; a cycle is reported as depth null. Of rows
+    with the same id the least parent counts."""
+    once = chunks.groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("to"))  # repeated ids would multiply with each jump
+    jump = once.join(once.select(F.col("node").alias("to"), F.lit(True).alias("_there")), "to", "left")
+    jump = jump.select("node", F.when(F.col("_there"), F.col("to")).otherwise(F.col("node")).alias("to"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("far"), F.col("_there").isNull().alias("ended"))
     steps = 1
     while steps < most:
-        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"))
-        jump = jump.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("far") + F.when(F.col("node") == F.col("to"), 0).otherwise(F.col("_far"))).alias("far"))
+        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("ended").alias("_ended"))
+        jump = jump.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("far") + F.when(F.col("ended"), 0).otherwise(F.col("_far"))).alias("far"), F.col("_ended").alias("ended"))
         steps *= 2
-    return jump.join(ends, jump["to"] == ends["_end"], "left").select(F.col("node").alias(key), F.when(F.col("_end").isNotNull(), F.col("to")).alias("root"), F.when(F.col("_end").isNotNull(), F.col("far")).alias("depth"))
+    return jump.select(F.col("node").alias(key), F.when(F.col("ended"), F.col("to")).alias("root"), F.when(F.col("ended"), F.col("far")).alias("depth"))
 
 
 def plan_levels(steps: DataFrame, needs: DataFrame, most: int = 20) -> DataFrame:

@@ -218,8 +218,9 @@ def orphan_events(spark: SparkSession, sf: str) -> DataFrame:
     return M.orphans(both.filter("event_type = _a").select("event_id", "key", "ts"), both.filter("event_type = _b").select("key", "ts"))
 
 
-@query("""WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS chunk_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 8 + l_linenumber - 1 END AS parent_id, l_orderkey, l_linenumber FROM lineitem)
-SELECT chunk_id, (l_orderkey * 8 + 1) AS root, l_linenumber - 1 AS depth FROM c""")
+@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS chunk_id FROM lineitem),
+i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM c)
+SELECT chunk_id, min(chunk_id) OVER (PARTITION BY l_orderkey, island) AS root, chunk_id - min(chunk_id) OVER (PARTITION BY l_orderkey, island) AS depth FROM i""")
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as a chain of chunks: each line's parent is the line before."""
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
