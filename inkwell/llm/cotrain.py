@@ -19,7 +19,8 @@ GRAMS, WORDS, NAMES = 1024, 1024, 64
 #: Bounds of the labelled sample and of the unlabelled pool (drawn by hash); rounds and pseudo-labels per round,
 #: view and class.
 LABELLED, POOL, ROUNDS, EXCHANGED = 4000, 4000, 5, 100
-WORK_BYTES = 2 << 20
+#: Bytes and rows whose vectors are made at once.
+WORK_BYTES, WORK_ROWS = 1 << 20, 256
 TEXT_DIMS, META_DIMS = GRAMS + WORDS, NAMES + 8
 
 
@@ -140,7 +141,7 @@ class QualityModel:
 def _viewed(batch: pa.RecordBatch, text: int, names: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, offsets = utf8(batch.column(text))
     own = list(zip(*(batch.column(k).to_pylist() for k in names), strict=True))
-    for a, b in slices(offsets, WORK_BYTES):
+    for a, b in slices(offsets, WORK_BYTES, WORK_ROWS):
         part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         yield a, b, text_view(part, at), meta_view(part, at, own[a:b])
 

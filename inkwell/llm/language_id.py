@@ -14,19 +14,22 @@ from .textstats import gram_counts, letter_counts, lowered
 
 #: Hashed n-grams; centroids per language; labelled texts that the model is fitted on, over all languages
 #: (the bound of the sample, drawn by a hash of the text with a rate per language).
-DIMS, CENTROIDS, SAMPLE = 8192, 4, 2400
+DIMS, CENTROIDS, SAMPLE = 8192, 4, 1600
 #: A text is rejected if it is farther from its centroid than the farthest of this share of that centroid's
 #: own texts, by this factor of the cosine.
-FARTHEST, FACTOR = 0.05, 0.3
+FARTHEST, FACTOR = 0.05, 0.1
 #: A centroid that fewer than this share of its language's texts (or one text) are nearest to is dropped: a stray or
 #: mislabelled text founds no centroid.
 STRAY = 0.02
-WORK_BYTES = 2 << 20
+#: A new start is the text at this place, as a share, when texts are ordered from the farthest on.
+APART = 0.2
+#: Bytes and rows whose vectors are made at once.
+WORK_BYTES, WORK_ROWS = 1 << 20, 256
 UNDECIDED = "und"
 
 
 def vectors(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Rows of unit length: 1 + log of counts, times weight."""
+    """Rows of unit length: log of 1 + counts, times weight."""
     x = counts.astype(np.float32)
     np.log1p(x, out=x)
     x *= weight
@@ -35,10 +38,11 @@ def vectors(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of spherical k-means; the first is the mean direction, each next one the text farthest from all."""
+    """Unit centroids of spherical k-means. The first start is the mean direction, each next one a text far from all
+    before, though not among the farthest, which are odd ones."""
     centres = x.mean(0, keepdims=True)
     for _ in range(min(k, len(x)) - 1):
-        centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
+        centres = np.vstack([centres, x[np.argsort((x @ centres.T).max(1), kind="stable")[int(APART * (len(x) - 1))]]])
     for _ in range(rounds):
         own = (x @ centres.T).argmax(1)
         centres = np.vstack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
@@ -79,7 +83,7 @@ def counted(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, WORK_BYTES):
+            for a, b in slices(offsets, WORK_BYTES, WORK_ROWS):
                 got = gram_counts(*lowered(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), dims)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in np.minimum(got, 65535).astype("<u2")], pa.binary())], names=["_label", "_counts"])
 
@@ -94,10 +98,10 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text", sample: in
     rates = rates.withColumn("_rate", F.lit(float(sample)) / F.count(F.lit(1)).over(_all()) / F.col("_n"))
     draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = rows.join(F.broadcast(rates), "_label").filter((draw < F.col("_rate")) | (F.col("_n") < 8)).distinct()
-    got = counted(drawn).toPandas()
-    got = got.sort_values(["_label", "_counts"])  # the same order on every run
-    counts = np.frombuffer(b"".join(got["_counts"]), "<u2").reshape(-1, DIMS)
-    return LanguageModel(counts, got["_label"].tolist())
+    got = sorted((r[0], bytes(r[1])) for r in counted(drawn).collect())  # the same order on every run
+    names, counts = [r[0] for r in got], np.frombuffer(b"".join(r[1] for r in got), "<u2").reshape(-1, DIMS)
+    del got
+    return LanguageModel(counts, names)
 
 
 def _all():
@@ -120,7 +124,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
         model = shared.value
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, WORK_BYTES):
+            for a, b in slices(offsets, WORK_BYTES, WORK_ROWS):
                 points, bounds = lowered(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 some = letter_counts(points, bounds) > 0
                 if model.languages:
@@ -149,7 +153,7 @@ def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
         model = shared.value
         for batch in batches:
             raw, offsets = utf8(batch.column(at))
-            for a, b in slices(offsets, WORK_BYTES):
+            for a, b in slices(offsets, WORK_BYTES, WORK_ROWS):
                 points, bounds = lowered(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 use = letter_counts(points, bounds) > 0
                 if model.languages:

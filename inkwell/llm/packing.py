@@ -18,7 +18,7 @@ from .shared import running, slices, spread, utf8, written
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 #: Bytes of text that are tokenised at once; words that a worker remembers before it starts afresh.
-WORK_BYTES, WORDS = 8 << 20, 400_000
+WORK_BYTES, WORDS = 4 << 20, 300_000
 #: Letters and digits (fixed values) of the characters in PLAIN, as the vocabulary's pattern splits them.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A character outside this set, or an apostrophe, sends its whole text to the tokenizer itself.

@@ -92,11 +92,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Row ranges whose bytes stay near most, so that work arrays stay small; a longer row stands alone."""
+def slices(offsets: np.ndarray, most: int, rows: int = 1 << 20) -> list[tuple[int, int]]:
+    """Row ranges of at most so many bytes and rows, so that work arrays stay small; a longer row stands alone."""
     out, a, n = [], 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
-        out.append((a, min(b, n)))
+        out.append((a, min(b, n, a + rows)))
         a = out[-1][1]
     return out
