@@ -87,3 +87,29 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", know
     got = whole.withColumn("_row", F.xxhash64("_key", "_text")).drop("_text").join(lists.join(times, "_row"), "_row", "left")
     n = F.coalesce((F.col("_all") / F.col("_times")).cast("long"), F.lit(0).cast("long"))
     return got.select(F.col("_key").alias(key), "text_digest", "license_id", F.coalesce("notice_ids", F.array().cast("array<string>")).alias("notice_ids"), n.alias("n_notices"))
+
+
+def canonical_sql(text: str) -> str:
+    """canonical() as DuckDB SQL."""
+    own = f"lower(coalesce({text}, ''))"
+    for pattern in (
+        r"(?m)^[^\p{L}\p{N}©\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$",
+        r"(?m)^[ \t]*(?:the )?[\p{L}\p{N}.\- ]{1,40} licen[sc]e[ \t]*(?:\([^)\n]*\))?[ \t]*$",
+        r"(?m)^[ \t]*(?:\d{1,2}|[a-z])[.)][ \t]",
+        r"[^\p{L}\p{N}]+",
+    ):
+        own = f"regexp_replace({own}, '{pattern}', ' ', 'g')"
+    words = ", ".join(f"'{k}': '{v}'" for k, v in SPELLINGS.items())
+    return f"trim(array_to_string(list_transform(string_split({own}, ' '), lambda w: coalesce(MAP {{{words}}}[w], w)), ' '), ' ')"
+
+
+def scan_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """scan_licenses() as DuckDB SQL, for keys that do not repeat."""
+    known = ", ".join("('{}', '{}')".format(name, own.replace("'", "''")) for name, own in KNOWN)
+    return f"""
+        WITH known AS (SELECT sha256({canonical_sql("own")}) AS digest, min(name) AS license_id FROM (VALUES {known}) AS t(name, own) GROUP BY 1),
+        whole AS (SELECT {key}, sha256({canonical_sql(text)}) AS text_digest FROM {table}),
+        lines AS (SELECT {key}, sha256({canonical_sql("line")}) AS digest FROM (SELECT {key}, unnest(string_split({text}, chr(10))) AS line FROM {table}) WHERE line <> ''),
+        found AS (SELECT {key}, list_sort(list(DISTINCT license_id)) AS notice_ids, count(*) AS n_notices FROM lines JOIN known USING (digest) GROUP BY {key})
+        SELECT w.{key}, text_digest, k.license_id, coalesce(notice_ids, []) AS notice_ids, coalesce(n_notices, 0) AS n_notices
+        FROM whole w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN found f ON f.{key} = w.{key}"""

@@ -24,7 +24,7 @@ from .shared import mixed, shared_dir, slices, utf8, written
 
 ANCHOR = 50
 #: Distinct run texts of an anchor in one index at most; bytes that share an index; bytes hashed at once.
-GROUP, INDEX_BYTES, WORK_BYTES = 4096, 1 << 20, 4 << 20
+GROUP, INDEX_BYTES, WORK_BYTES = 4096, 1 << 20, (2 << 20) - 8
 #: Bits of an anchor's hash that decide between anchors; the others hold a position.
 ORDER_BITS = 34
 NONE = np.zeros(0, np.int64)
@@ -136,7 +136,7 @@ class RunIndex:
     def __init__(self, text: np.ndarray):
         self.size = len(text)
         order = suffix_array(text)
-        transform = text[order - 1]
+        transform = np.where(order == 0, -1, text[order - 1].astype(np.int16))  # before the text stands an end mark
         heads = np.append(0, np.flatnonzero(transform[1:] != transform[:-1]) + 1)
         self.heads = transform[heads]
         tails = np.append(heads[1:], self.size) - 1
@@ -279,6 +279,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", long: int = 200, path: s
     part = indexed(around.filter(F.col("_n") <= GROUP), long).unionByName(dealt(around.filter(F.col("_n") > GROUP), long))
     part = written(part.groupBy("_anchor", "_run").agg(F.flatten(F.collect_list("_cover")).alias("_cover")), f"{path}/parts")
     state = kinds.select("_anchor", "_run", "_whole").join(part, ["_anchor", "_run"], "left").filter("_whole or _cover is not null")
+    state = written(state, f"{path}/state")  # so that both sides of the next join are dealt anew, and a hot run can be split
     spans_ = F.when(F.col("_whole"), F.array("_a", F.col("_b") + long)).otherwise(F.transform("_cover", lambda c: c + F.col("_p")))
     marks = kept.join(state, ["_anchor", "_run"]).groupBy("_tid").agg(F.flatten(F.collect_list(spans_)).alias("_marks"))
     return texts.select("_tid", "_text"), marks
