@@ -97,4 +97,18 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
     "op5_license_scan": scan_sql(),
+    # all pairs that share a shingle: for small tables only, the query itself runs over any
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT min(doc_id) AS text_id, ws FROM w GROUP BY ws),
+        s AS (SELECT text_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM t),
+        n AS (SELECT text_id, count(*) AS n FROM s GROUP BY text_id),
+        p AS (SELECT a.text_id AS x, b.text_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.text_id < b.text_id GROUP BY ALL),
+        l AS (SELECT p.x, p.y FROM p JOIN n a ON a.text_id = p.x JOIN n b ON b.text_id = p.y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT text_id, text_id AS root FROM t UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.text_id),
+        c AS (SELECT text_id, min(root) AS class_id FROM r GROUP BY text_id)
+        SELECT w.doc_id, c.class_id, t.text_id, (SELECT count(*) FROM e WHERE e.x = t.text_id) AS n_links, w.doc_id = c.class_id AS kept
+        FROM w JOIN t USING (ws) JOIN c USING (text_id)""",
 }
