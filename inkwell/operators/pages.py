@@ -37,11 +37,11 @@ def kind_samples(labelled: DataFrame, by: list[str], most: int = 8) -> DataFrame
     return rows.groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("n_pages"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("page")))).alias("pages"))
 
 
-def profile(pages: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def profile(pages: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS, digits: int = 4) -> DataFrame:
     """Mean, median, 90th percentile and extremes (with the lowest page) of each metric."""
     long = pages.select(*by, "page", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select(*by, "page", "_m.*")
     return long.groupBy(*by, "metric").agg(
-        F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("value", F.lit(0.9)), 4).alias("p90"), F.min("value").alias("least"),
+        F.round(F.avg("value"), digits).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), digits).alias("p50"), F.round(F.percentile("value", F.lit(0.9)), digits).alias("p90"), F.min("value").alias("least"),
         F.min_by("page", F.struct("value", "page")).alias("least_page"), F.max("value").alias("most"), F.min_by("page", F.struct((-F.col("value")).alias("v"), F.col("page").alias("p"))).alias("most_page"),
     )
 

@@ -57,10 +57,10 @@ def page_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PAGE_LINES}, m AS (UNPIVOT (SELECT doc_id, page, raw_text_length::DOUBLE AS raw_text_length, text_density::DOUBLE AS text_density, image_coverage::DOUBLE AS image_coverage, table_count::DOUBLE AS table_count, drawings_count::DOUBLE AS drawings_count FROM feats)
 ON raw_text_length, text_density, image_coverage, table_count, drawings_count INTO NAME metric VALUE value)
-SELECT doc_id, metric, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, min(value) AS least, min_by(page, (value, page)) AS least_page, max(value) AS most, min_by(page, (-value, page)) AS most_page
+SELECT doc_id, metric, round(avg(value), 7) AS mean, round(quantile_cont(value, 0.5), 7) AS p50, round(quantile_cont(value, 0.9), 7) AS p90, min(value) AS least, min_by(page, (value, page)) AS least_page, max(value) AS most, min_by(page, (-value, page)) AS most_page
 FROM m GROUP BY doc_id, metric""")
 def page_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return P.profile(page_features(spark, sf), ["doc_id"])
+    return P.profile(page_features(spark, sf), ["doc_id"], digits=7)
 
 
 @query(f"""WITH {PAGE_LINES} SELECT doc_id, round(avg((orientation = 'landscape')::INT), 4) AS landscape, round(avg((raw_text_length < 50 AND image_coverage >= 0.5)::INT), 4) AS scan_like, round(avg((image_coverage >= 0.35)::INT), 4) AS image_heavy,
