@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements whose content is not text, elements without content, and inline elements.
@@ -22,6 +23,8 @@ NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies pagination pager widget widgets toolbar skip copyright".split()
 )
 MAIN = {"article", "main"}
+#: Ranges of the URL order: so many per shuffle partition, so many at most; pages drawn to place their bounds (by hash).
+SPREAD, RANGES, SAMPLE = 4, 4096, 16384
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -140,20 +143,93 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def main_text(parts: list[tuple[str, int]], shared: set[int]) -> str:
-    """The article's blocks; without an article, the blocks outside frames that the nearest pages don't share."""
-    if any(place == 2 for _, place in parts):
-        return "\n".join(t for t, place in parts if place == 2)
-    return "\n".join(t for k, (t, place) in enumerate(parts) if place == 1 and k not in shared)
+    """The article's blocks and, of those outside article and frames, the ones that the nearest pages don't share."""
+    return "\n".join(t for k, (t, place) in enumerate(parts) if place == 2 or (place == 1 and k not in shared))
+
+
+class Compared:
+    """A page and what its neighbours by URL share with it; identical pages that follow each other stand for one."""
+
+    def __init__(self, part: int, host: str, parts: list[tuple[str, int]]):
+        self.part, self.host, self.parts = part, host, parts
+        self.members: list[tuple] = []  # key and url of each row to return
+        self.shared: set[int] = set()
+        self.outside = [k for k, (_, place) in enumerate(parts) if place != 2]
+
+    def compare(self, other: Compared) -> None:
+        """Notes what this page and the next one share outside their articles."""
+        a, b = ([page.parts[k][0] for k in page.outside] for page in (self, other))
+        for i, j in common_lines(a, b):
+            self.shared.add(self.outside[i])
+            other.shared.add(other.outside[j])
+
+    def text(self) -> str:
+        return main_text(self.parts, self.shared)
+
+
+def _beside(at: int, step: int, near: dict[int, list], first: tuple, parts: list[int]):
+    """The order of the page nearest to range parts[at], before (step -1) or behind it (1), that is of the host of first
+    (order, digest) and has another digest; None if there is none."""
+    at += step
+    while 0 <= at < len(parts):
+        for order, digest in near[parts[at]]:
+            if order[0] != first[0][0]:
+                return None
+            if digest != first[1]:
+                return order
+        at += step
+    return None
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """rows (with _order) dealt to ranges of _order: adds _part and _own. The nearest page on either side of a range that
+    differs from the range's own outermost page also comes to it, with _own false, so that no neighbours are cut apart."""
+    spark, kind = rows.sparkSession, rows.schema["_order"].dataType.simpleString()
+    n, most = rows.count(), min(RANGES, SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    draw = F.pmod(F.xxhash64("_order"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = [r[0] for r in rows.filter(draw < SAMPLE / max(1, n)).select("_order").orderBy("_order").collect()]
+    cuts = [drawn[k * len(drawn) // most] for k in range(1, most)] if len(drawn) >= most else drawn
+    bounds = spark.createDataFrame([(cuts,)], f"_bounds array<{kind}>")
+    middle = "cast((s.lo + s.hi) div 2 as int)"
+    step = f"if(s.lo >= s.hi, s, if(get(_bounds, {middle}) <= _order, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})))"
+    part = F.expr(f"aggregate(sequence(1, {len(cuts).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> {step}, s -> s.lo)")
+    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_part", part).drop("_bounds")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashlib.blake2b(repr(blocks(x)).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["_part", "_order", "_digest"])
+
+    each = placed.filter("_host <> ''").select("_part", "_order", "_html").mapInArrow(digests, f"_part int, _order {kind}, _digest binary")
+    each = each.groupBy("_part", "_digest").agg(F.min("_order").alias("_low"), F.max("_order").alias("_high"))
+    rank = lambda by: F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    each = each.withColumn("_a", rank(F.col("_low"))).withColumn("_z", rank(F.col("_high").desc())).filter("_a <= 2 or _z <= 2")
+    lows, highs = {}, {}
+    for r in each.collect():  # four rows a range at most
+        lows.setdefault(r["_part"], []).append((r["_a"], r["_low"], bytes(r["_digest"])))
+        highs.setdefault(r["_part"], []).append((r["_z"], r["_high"], bytes(r["_digest"])))
+    lows, highs = ({k: [x[1:] for x in sorted(v, key=lambda x: x[0])[:2]] for k, v in d.items()} for d in (lows, highs))
+    sent: dict = {}
+    parts = sorted(lows)
+    for at, k in enumerate(parts):
+        for order in (_beside(at, -1, highs, lows[k][0], parts), _beside(at, 1, lows, highs[k][0], parts)):
+            if order is not None:
+                sent.setdefault(order, []).append(k)
+    also = spark.createDataFrame(list(sent.items()), f"_order {kind}, _also array<int>")
+    placed = placed.join(F.broadcast(also), "_order", "left").withColumn("_to", F.explode(F.concat(F.array("_part"), F.coalesce("_also", F.array().cast("array<int>")))))
+    return placed.withColumn("_own", F.col("_to") == F.col("_part")).withColumn("_part", F.col("_to"))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per row of pages: key, url, text, n_chars.
 
     Pages are ordered by host and URL path, spread over tasks by ranges of these, so that a host may hold any
-    share of them; each page is compared with its neighbours of the same host in its range. Lines outside
-    the article that a longest common subsequence shares with a neighbour are template and are deleted, as
-    are frames (menus, headers, footers, sidebars, notices, adverts, forms, comments), scripts and styles.
-    Blocks of an article are never deleted for being shared: articles quote common lines.
+    share of them; each page is compared with its neighbours of the same host, those of the ranges beside
+    included. Lines outside the article that a longest common subsequence shares with a neighbour are
+    template and are deleted, as are frames (menus, headers, footers, sidebars, notices, adverts, forms,
+    comments), scripts and styles; what is left outside the article belongs to the text. Blocks of an article
+    are never deleted for being shared: articles quote common lines. Identical pages are not compared with
+    each other, but with the pages around them.
 
     Null html: empty text. Null urls: one host of their own, not compared. Null keys are kept, repeated rows
     give repeated results, empty input an empty result; other columns are not read.
@@ -161,36 +237,36 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     address = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.lower(F.regexp_replace(F.regexp_extract(address, r"^([^/?#]*)", 1), r"^www\.", ""))
     path = F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1)
-    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_html"), host.alias("_host"), path.alias("_path"))
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_html"), host.alias("_host"), F.struct(host.alias("h"), path.alias("p"), F.col(key).alias("k"), F.xxhash64(url, page).alias("x")).alias("_order"))
     kinds = f"_key {rows.schema['_key'].dataType.simpleString()}, _url {rows.schema['_url'].dataType.simpleString()}, text string, n_chars long"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, url, host, blocks, shared places
-
-        def lines(parts: list[tuple[str, int]]) -> tuple[list[int], list[str]]:
-            at = [k for k, (_, place) in enumerate(parts) if place != 2]
-            return at, [parts[k][0] for k in at]
+        last: Compared | None = None
 
-        def emit(done: list[tuple]) -> pa.RecordBatch:
-            texts = [main_text(x[3], x[4]) for x in done]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), pa.array([x[1] for x in done], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_key", "_url", "text", "n_chars"])
+        def emit(done: list[Compared]) -> pa.RecordBatch:
+            texts = [(*m, text) for x in done if x.members for text in [x.text()] for m in x.members]
+            columns = list(zip(*texts, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array([len(t) for t in columns[2]], pa.int64())], names=["_key", "_url", "text", "n_chars"])
 
         kind = None
         for batch in batches:
             done, kind = [], batch.column(0).type
-            for own, link, source, host in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                here = (own, link, host, blocks(source), set())
-                if last is not None:
-                    if host and last[2] == host:
-                        (at, a), (to, b) = lines(last[3]), lines(here[3])
-                        for i, j in common_lines(a, b):
-                            last[4].add(at[i])
-                            here[4].add(to[j])
-                    done.append(last)
-                last = here
+            for own, link, source, host, part, returned in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                here = Compared(part, host, blocks(source))
+                near = last is not None and host and (last.part, last.host) == (part, host)
+                if near and last.parts == here.parts:
+                    here = last
+                else:
+                    if near:
+                        last.compare(here)
+                    if last is not None:
+                        done.append(last)
+                    last = here
+                if returned:
+                    here.members.append((own, link))
             yield emit(done)
         if last is not None:
             yield emit([last])
 
-    ordered = rows.repartitionByRange("_host", "_path", "_key").sortWithinPartitions("_host", "_path", "_key")
-    return ordered.select("_key", "_url", "_html", "_host").mapInArrow(extract, kinds).select(F.col("_key").alias(key), F.col("_url").alias(url), "text", "n_chars")
+    ordered = _ranges(rows).repartitionByRange("_part").sortWithinPartitions("_part", "_order")
+    return ordered.select("_key", "_url", "_html", "_host", "_part", "_own").mapInArrow(extract, kinds).select(F.col("_key").alias(key), F.col("_url").alias(url), "text", "n_chars")
