@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,33 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain."),
 ]
+#: Whole licence texts, a file per licence, and the line that ends the terms of some; an appendix follows it.
+TEXTS, END = Path(__file__).with_name("license_texts"), "END OF TERMS AND CONDITIONS"
+#: A copyright line names a year, (c), a holder or that rights are reserved; lines of licence texts that merely begin with
+#: "copyright notice ..." or with the list mark "(c)" are none.
+_NAMED = r"(?=[^\n]*(?:\b\d{4}\b|©|all rights reserved))"
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}©(\n]*(?:copyright\b(?:" + _NAMED + r"|(?=[^\n]*\(c\))|(?![ \t]*(?:(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|and|or|in|to|on|is|interests?|protection|permissions?|disclaimers?|treaty)\b|[^\p{L}\p{N}\n]*$)))"
+    r"|\(c\)(?:" + _NAMED + r"|(?=(?:[ \t]+(?!(?:you|the|an?|if|in|any|to|for|each|all)\b)[^\s]+){1,5}[ \t]*$))|©|all rights reserved)[^\n]*$"
+)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN and the texts of TEXTS, those with an appendix also without it."""
+    out = list(KNOWN)
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        out.append((file.stem, text))
+        if END in text:
+            terms = text[: text.index(END)]
+            out += [(file.stem, terms), (file.stem, terms + END)]
+    return out
 
 
 def canonical(text: Column) -> Column:
     """text (null: empty) in lower case, without licence titles' and copyright lines, punctuation and list
     marks, in one spelling, its words joined by one space. Text of copyright lines alone is empty."""
-    own = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[^\p{L}\p{N}©\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    own = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
     own = F.regexp_replace(own, r"(?m)^[ \t]*(?:the )?[\p{L}\p{N}.\- ]{1,40} licen[sc]e[ \t]*(?:\([^)\n]*\))?[ \t]*$", " ")
     own = F.regexp_replace(own, r"(?m)^[ \t]*(?:\d{1,2}|[a-z])[.)][ \t]", " ")
     own = F.concat(F.lit(" "), F.regexp_replace(own, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
@@ -63,7 +86,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license_id and _digest of the known texts; a digest of several licences has the first by name."""
-    table = spark.createDataFrame(KNOWN if known is None else known, "license_id string, _known string").select("license_id", digest(F.col("_known")).alias("_digest"))
+    table = spark.createDataFrame(known_texts() if known is None else known, "license_id string, _known string").select("license_id", digest(F.col("_known")).alias("_digest"))
     return table.groupBy("_digest").agg(F.min("license_id").alias("license_id"))
 
 
