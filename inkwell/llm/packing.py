@@ -6,7 +6,9 @@ import bisect
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running, slices, spread, utf8, written
+from .shared import lean, running, slices, spread, utf8, written
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
-#: Bytes of text that are tokenised at once; words that a worker remembers before it starts afresh.
-WORK_BYTES, WORDS = 4 << 20, 300_000
+#: Bytes of text that are tokenised at once; words that a worker remembers before it starts afresh, and the longest of them in
+#: characters, so that its memory stays below about 16 MB.
+WORK_BYTES, WORDS, REMEMBERED = 512 << 10, 30_000, 100
 #: Letters and digits (fixed values) of the characters in PLAIN, as the vocabulary's pattern splits them.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A character outside this set, or an apostrophe, sends its whole text to the tokenizer itself.
@@ -41,11 +44,10 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = json.load(open(path, encoding="utf-8"))
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
         special = {x["content"] for x in vocabulary.get("added_tokens", ())}
         # byte-level vocabularies write each byte as a printable character: those that are printable as themselves, the others from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -53,15 +55,26 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): rank for token, rank in vocabulary["model"]["vocab"].items() if token not in special}
         self.words = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.ascii, self.latin = _classes()
-        self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.known: dict[str, array] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded for the texts that need it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
 
-    def _word(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            at = self.known[word] = len(self.ids)
-            self.ids.append(self.words._encode_single_piece(word) if len(word) < 500 else self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return at
+    def _word(self, word: str) -> array:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = array("I", self.words._encode_single_piece(word) if len(word) < 500 else self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if len(word) <= REMEMBERED:
+                if len(self.known) >= WORDS:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
 
     def _starts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Byte positions at which the pattern's words start, for texts of plain characters."""
@@ -86,12 +99,9 @@ class Encoder:
         starts = self._starts(raw, offsets)
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = pc.dictionary_encode(words)
-        if len(self.ids) > WORDS:
-            self.known, self.ids = {}, []
-        at = [self._word(w) for w in coded.dictionary.to_pylist()]
-        each = [self.ids[k] for k in at]
+        each = [self._word(w) for w in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.uint32, int(size.sum()))
+        flat = np.frombuffer(b"".join(each), np.uint32)
         begin = np.cumsum(size) - size
         code = coded.indices.to_numpy()
         sizes = size[code]
@@ -141,7 +151,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=[key, "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(pieces, f"`{key}` {rows.schema[key].dataType.simpleString()}, {PIECES}")
+    return rows.mapInArrow(lean(pieces), f"`{key}` {rows.schema[key].dataType.simpleString()}, {PIECES}")
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

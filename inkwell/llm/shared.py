@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,21 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def sealed(docs: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of docs (or those named) as c0, c1, ..., so that no name of theirs clashes with a working column."""
+    return [named(c).alias(f"c{k}") for k, c in enumerate(docs.columns if names is None else names)]
+
+
+def unsealed(names: list[str]) -> list[Column]:
+    """The columns that sealed() made of these names, under their own names."""
+    return [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
+
+
 def collapsed(text: Column) -> Column:
     """text (null: empty) with each run of white space replaced by one space.
 
@@ -69,6 +86,19 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     return got.drop("_offset")
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, after which the Python worker hands freed memory back: workers outlive their tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte buffer and its n + 1 offsets, without a copy; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
