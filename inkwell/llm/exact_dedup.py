@@ -8,27 +8,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import collapsed, shared_dir, written
+from .shared import collapsed, sealed, shared_dir, unsealed, written
 
 #: The state store on local disk, backed up in the checkpoint folder; memory for all its instances together.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 #: Salts of a group's texts while their bytes are compared.
 SALTS = 16
 
 
-def _located(docs: DataFrame, key: str) -> Column:
-    """Where a row's content lies: file and row of a file scan, else its key."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
-        return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    except AnalysisException:
-        return F.concat(F.lit("key:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+def located(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns of docs as c0, c1, ... and _locator: the file and row where the content lies.
+
+    A frame that is not a scan of files is written first, so that every row has a locator of its own.
+    """
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_locator")
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*sealed(docs, names), place)
+        except AnalysisException:
+            pass
+    return written(docs.select(*sealed(docs, names))).select("*", place)
 
 
 def stream_state(fingerprints: DataFrame, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -69,17 +75,22 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     rows of a digest whose texts differ are grouped anew by their whole texts.
 
     Null text: equal to the empty text. Null key: after all other keys; a group of null keys only keeps
-    one. Repeated rows (equal key and text): all are in the group, one of them is kept. Empty input:
-    empty result. Other columns of docs are not read.
+    one. Repeated rows (equal key and text): all are in the group, just one of them is kept, in any frame:
+    rows are told apart by locators (file and row; a frame that is not a scan of files is written first).
+    Empty input: empty result. Other columns of docs are not read.
     """
-    path = shared_dir(docs.sparkSession)
-    norm = collapsed(F.col(text))
-    base = docs.select(F.col(key).alias("_key"), norm.alias("_norm"), _located(docs, key).alias("_locator"))
+    return _grouped_texts(located(docs, [key, text]), digest, files_per_batch).withColumnRenamed("_key", key)
+
+
+def _grouped_texts(rows: DataFrame, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
+    """exact_dedup of rows (c0: key, c1: text, _locator); the key is named _key."""
+    path = shared_dir(rows.sparkSession)
+    base = rows.select(F.col("c0").alias("_key"), collapsed(F.col("c1")).alias("_norm"), "_locator")
     base = base.select("_key", "_norm", "_locator", digest(F.col("_norm")).alias("_digest"))
     fingerprints = base.select("_key", "_locator", "_digest", F.sha2("_norm", 256).alias("_sha"))
     state = stream_state(fingerprints, path, files_per_batch)
     state = written(state, f"{path}/digests")
-    rows = docs.sparkSession.read.schema(fingerprints.schema).parquet(f"{path}/fingerprints")
+    rows = rows.sparkSession.read.schema(fingerprints.schema).parquet(f"{path}/fingerprints")
 
     # full bytes on hits: a salted comparison, with the extremes of a group's texts built map-side
     hits = state.filter("_n > 1").select("_digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -88,18 +99,20 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     differ = extremes.groupBy("_digest").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).filter("_a <> _b").select("_digest")
     differ = written(differ, f"{path}/collisions")
 
-    named = rows.join(state, "_digest").select("_key", "_locator", "_digest", "_sha", F.col("_first.key").alias("_keep"), F.col("_first.locator").alias("_keeper"), "_n")
+    grouped = rows.join(state, "_digest").select("_key", "_locator", "_digest", "_sha", F.col("_first.key").alias("_keep"), F.col("_first.locator").alias("_keeper"), "_n")
     if not differ.isEmpty():
         again = base.join(differ, "_digest", "left_semi")
         first = F.min(F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"), F.col("_locator").alias("locator")))
         exact = again.groupBy("_digest", "_norm").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
         exact = again.join(exact, ["_digest", "_norm"]).select("_key", "_locator", "_digest", F.sha2("_norm", 256).alias("_sha"), F.col("_first.key").alias("_keep"), F.col("_first.locator").alias("_keeper"), "_n")
-        named = named.join(differ, "_digest", "left_anti").unionByName(exact)
-    kept = (F.col("_locator") == F.col("_keeper")) & F.col("_key").eqNullSafe(F.col("_keep"))
-    return named.select(F.col("_key").alias(key), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"), F.col("_locator").alias("locator"))
+        grouped = grouped.join(differ, "_digest", "left_anti").unionByName(exact)
+    return grouped.select("_key", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_locator") == F.col("_keeper")).alias("kept"), F.col("_sha").alias("text_sha256"), F.col("_locator").alias("locator"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    found = exact_dedup(docs, key, text, **how).filter("kept").select(F.col("locator").alias("_locator"))
-    return docs.select("*", _located(docs, key).alias("_locator")).join(found, "_locator", "left_semi").select(*docs.columns)
+    names = docs.columns
+    rows = located(docs, names)
+    keyed = rows.select(F.col(f"c{names.index(key)}").alias("c0"), F.col(f"c{names.index(text)}").alias("c1"), "_locator")
+    found = _grouped_texts(keyed, digest, files_per_batch).filter("kept").select(F.col("locator").alias("_locator"))
+    return rows.join(found, "_locator", "left_semi").select(*unsealed(names))

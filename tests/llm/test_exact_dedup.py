@@ -39,5 +39,13 @@ def test_kept_rows_from_files(spark, tmp_path):
     assert got == len(texts) and kept.columns == docs.columns and kept.count() == len(texts)
 
 
+def test_any_frame_keeps_one_of_each_group(spark):
+    rows = [(4, "c", 1, "a", "x"), (4, "c", 1, "b", "y"), (1, "z", None, None, None), (None, "q", 2, "", "w"), (None, " q", 3, "", "w"), (None, "q", 2, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _locator int, _metadata string, _digest string")
+    assert sorted([(r.doc_id, r.kept) for r in exact_dedup(docs).collect()], key=str) == sorted([(4, True), (4, False), (1, True), (None, True), (None, False), (None, True)], key=str)
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns and sorted([(r[0], r[1].strip()) for r in kept.collect()], key=str) == sorted([(4, "c"), (1, "z"), (None, "q"), (None, "q")], key=str)
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
