@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, running, spread, word_count
+from .shared import SPACE, named, running, sealed, spread, unsealed, word_count
 
 #: Buckets of the per-source shuffle and of virtual time are 2 to these powers.
 SHUFFLE_BITS, TIME_BINS = 12, 4096
@@ -52,14 +52,13 @@ def mix_sources(
 
     Null source: a source of its own, after all others. Null text: size 0. Documents of size 0 are never
     taken. Empty input: empty result. Repeated rows are documents of their own; between wholly equal rows
-    the order is arbitrary and of no effect. Columns of docs named as outputs are replaced.
+    the order is arbitrary and of no effect. Columns of docs named as outputs are replaced; others may have any name.
     """
     outputs = ["size", "source_size", "target", "copy", "taken", "finish", "mix_start", "slot"]
-    size = word_count(F.col(text)) if size is None else size
+    size = word_count(named(text)) if size is None else size
     own = [c for c in docs.columns if c not in outputs]
-    base = docs.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).select(
-        *own, "_size", F.col(source).isNull().alias("_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_src"), F.xxhash64(F.lit(seed), F.col(key), F.col("_size")).alias("_hash")
-    )
+    base = docs.select(*sealed(docs, own), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), named(source).isNull().alias("_null"), F.coalesce(named(source).cast("string"), F.lit("")).alias("_src"), named(key).alias("_key"))
+    base = base.withColumn("_hash", F.xxhash64(F.lit(seed), "_key", "_size"))
     base = base.withColumn("_bucket", spread(F.col("_hash"), SHUFFLE_BITS))
     parts = base.groupBy("_null", "_src", "_bucket").agg(F.sum("_size").alias("_part"))
     before = Window.partitionBy("_null", "_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +70,7 @@ def mix_sources(
     targets = source_targets(totals.select("_null", "_src", "source_size", "_budget"), weights, most_repeats, F.col("_budget"))
     parts = parts.drop("source_size").join(targets.join(totals.select("_null", "_src", "_budget"), ["_null", "_src"]), ["_null", "_src"])
     at = ["_null", "_src", "_bucket"]
-    order = Window.partitionBy(*at).orderBy("_hash", key, "_size")
+    order = Window.partitionBy(*at).orderBy("_hash", "_key", "_size")
     placed = base.join(parts, at).withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_offset")
     placed = placed.withColumn("_slot", F.shiftleft(F.col("_bucket").cast("long"), 48) + F.row_number().over(order))
     goal = F.floor(F.col("target"))
@@ -86,7 +85,7 @@ def mix_sources(
     placed = running(placed.withColumn("_one", F.lit(0)), ["_one"], "_bin", ["finish", "_null", "_src", "_hash"], "_take", "mix_start")
     taken = F.greatest(F.lit(0), F.least(F.col("_take"), F.ceil(F.col("_budget")) - F.col("mix_start"))).cast("long")
     return placed.select(
-        *own, F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), (F.coalesce(F.col("_i"), F.lit(0)) + 1).cast("int").alias("copy"), taken.alias("taken"), "finish", "mix_start", F.col("_slot").alias("slot")
+        *unsealed(own), F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), (F.coalesce(F.col("_i"), F.lit(0)) + 1).cast("int").alias("copy"), taken.alias("taken"), "finish", "mix_start", F.col("_slot").alias("slot")
     )
 
 
@@ -103,9 +102,15 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     A copy taken in part keeps its first words, joined by one space; n_chars, if there, follows.
     Options as for mix_sources.
     """
-    got = mix_sources(docs, text=text, **how).filter("taken > 0")
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(text), rf"[{SPACE}]+"), lambda w: w != ""), 1, F.col("taken").cast("int")), " ")
-    got = got.withColumn("_cut", F.col("taken") < F.col("size")).withColumn(text, F.when(F.col("_cut"), cut).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.col("_cut"), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    names = docs.columns
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    source, key, size = how.pop("source", "source"), how.pop("key", "doc_id"), how.pop("size", None)
+    packed = docs.select(*sealed(docs), *([] if size is None else [size.alias("_words")]))
+    got = mix_sources(packed, size=None if size is None else F.col("_words"), text=at[text], source=at[source], key=at[key], **how).filter("taken > 0")
+    own, partly = F.col(at[text]), F.col("taken") < F.col("size")
+    first = F.array_join(F.slice(F.filter(F.split(own, rf"[{SPACE}]+"), lambda w: w != ""), 1, F.col("taken").cast("int")), " ")
+    kept = F.when(partly, first).otherwise(own)
+    out = {text: kept}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(partly, F.char_length(kept)).otherwise(F.col(at["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return got.select(*[out.get(c, F.col(at[c])).alias(c) for c in names])

@@ -56,5 +56,14 @@ def test_documents_of_the_mix(spark):
     assert abs(words - sum(range(1, 51))) <= 2
 
 
+def test_clashing_names(spark):
+    names = ["_hash", "_null", "_src", "_size", "_bucket", "_one", "_key", "c0", "size"]
+    docs = spark.createDataFrame([(k, "w " * 10, f"s{k % 2}", *range(9)) for k in range(20)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mix_sources(docs).filter("copy = 1").collect()
+    assert len(got) == 20 and all([r[n] for n in names[:-1]] == list(range(8)) and r["size"] == 10 for r in got)
+    rows = mixed_documents(docs).collect()
+    assert [list(r)[3:] for r in rows] == [list(range(9))] * len(rows)
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
