@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .grams import min_hashes, sequence_digests, shingles, words
-from .shared import shared_dir, slices, utf8, written
+from .shared import lean, sealed, shared_dir, slices, unsealed, utf8, written
 
 #: Minima kept per set; the first ones are the roots of the runs.
 FUNCTIONS = 64
@@ -27,19 +27,29 @@ FUNCTIONS = 64
 #: be split by then, or kept the share DENSE of its parent (near-equal sets), is compared block by block, so that
 #: no pair is lost.
 SMALL, DEPTH, DENSE = 256, 8, 0.75
-#: Levels that the recall is reckoned for, and standard deviations allowed to the sketches' estimate.
-RECKONED_DEPTH, DEVIATIONS = 4, 4.0
+#: One in so many large buckets branches twice; standard deviations allowed to the sketches' estimate.
+TWICE, DEVIATIONS = 4, 4.0
 WORK_BYTES = (2 << 20) - 8
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold has met with the wanted probability at RECKONED_DEPTH levels."""
-    meets = threshold**RECKONED_DEPTH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    """Runs after which a pair at the threshold has met with the wanted probability even in buckets of the deepest level.
+
+    One level keeps a pair together with probability threshold; a bucket that branches twice gives it two chances.
+    Raises ValueError where the positions kept as roots don't suffice: the recall or the threshold is to be changed then.
+    """
+    meets = 1.0
+    for _ in range(DEPTH):
+        meets = threshold * ((1 - 1 / TWICE) * meets + 1 / TWICE * (1 - (1 - meets) ** 2))
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    if runs > FUNCTIONS // 2:
+        raise ValueError(f"recall {recall} at similarity {threshold} takes {runs} runs, {FUNCTIONS // 2} are possible")
+    return runs
 
 
 def row_key(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    """128 bits that name a row by key and text; null and empty differ."""
+    return F.md5(F.concat_ws("|", F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).isNull().cast("string"), F.coalesce(F.col(text), F.lit(""))))
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -59,7 +69,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     names=["_key", "_row", "_set", "_minima", "_size"],
                 )
 
-    return rows.mapInArrow(sign, f"_key {rows.schema['_key'].dataType.simpleString()}, _row long, _set binary, _minima array<int>, _size long")
+    return rows.mapInArrow(lean(sign), f"_key {rows.schema['_key'].dataType.simpleString()}, _row string, _set binary, _minima array<int>, _size long")
 
 
 def leaves(sets: DataFrame, runs: int, path: str) -> DataFrame:
@@ -77,7 +87,7 @@ def leaves(sets: DataFrame, runs: int, path: str) -> DataFrame:
         if level == DEPTH or large.isEmpty():
             break
         pick = [F.pmod(F.xxhash64(F.col("_leaf"), F.lit(f"{level}/{k}")), F.lit(FUNCTIONS - runs)).cast("int") + runs + 1 for k in (0, 1)]
-        twice = F.pmod(F.xxhash64(F.col("_leaf"), F.lit(f"{level}/twice")), F.lit(4)) == 0
+        twice = F.pmod(F.xxhash64(F.col("_leaf"), F.lit(f"{level}/twice")), F.lit(TWICE)) == 0
         next_ = [F.xxhash64(F.col("_leaf"), p, F.element_at("_minima", p)) for p in pick]
         branch = F.explode(F.when(twice & (pick[0] != pick[1]), F.array(*next_)).otherwise(F.array(next_[0])))
         at = large.join(sets.select("_set", "_minima"), "_set").select("_set", branch.alias("_leaf"), F.col("_n").alias("_parent"))
@@ -151,7 +161,7 @@ def candidates(sets: DataFrame, found: DataFrame, least: int) -> DataFrame:
             if use.any():
                 yield from group.filter(pa.array(use)).combine_chunks().to_batches()
 
-    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInArrow(likely, rows.schema)
+    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInArrow(lean(likely), rows.schema)
 
 
 def linked(likely: DataFrame, texts: DataFrame, threshold: float, width: int, least: int) -> DataFrame:
@@ -209,7 +219,7 @@ def linked(likely: DataFrame, texts: DataFrame, threshold: float, width: int, le
                     low[root(int(x))] = min(low.get(root(int(x)), names[x]), names[x])
                 yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in some], pa.binary()), pa.array(links[some]), pa.array([low[root(int(x))] for x in some], pa.binary())], names=["_set", "_links", "_least"])
 
-    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInArrow(compare, "_set binary, _links long, _least binary")
+    return rows.repartition("_leaf", "_a", "_b").sortWithinPartitions("_leaf", "_a", "_b").mapInArrow(lean(compare), "_set binary, _links long, _least binary")
 
 
 def chosen_path_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.99) -> DataFrame:
@@ -225,7 +235,7 @@ def chosen_path_join(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     meant. Empty input: empty result. Columns other than key and text are not read.
     """
     path = shared_dir(docs.sparkSession)
-    runs = min(runs_for(recall, threshold), FUNCTIONS // 2)
+    runs = runs_for(recall, threshold)
     least = max(1, math.floor(FUNCTIONS * (threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / FUNCTIONS))))
     signed = written(signatures(docs, key, text, width), f"{path}/signatures")
     first = F.min(F.struct(F.col("_key").isNull().alias("no_key"), F.col("_key").alias("key"), F.col("_row").alias("row"))).alias("_first")
@@ -245,6 +255,9 @@ def chosen_path_join(docs: DataFrame, key: str = "doc_id", text: str = "text", t
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each class of chosen_path_join, all columns as they are."""
-    kept = chosen_path_join(docs, key, text, **how).filter("kept").select(F.col("row_key").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key(key, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """docs with one document of each class of chosen_path_join, all columns as they are. Of rows with equal key and text
+    any one stays; columns may have any name."""
+    names = docs.columns
+    rows = docs.select(*sealed(docs), row_key(key, text).alias("_row"))
+    kept = chosen_path_join(docs.select(key, text), key, text, **how).filter("kept").select(F.col("row_key").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*unsealed(names))
