@@ -18,6 +18,37 @@ def test_held_out_languages(spark, sf):
     assert identify(odd.limit(0), model).count() == 0
 
 
+FOREIGN = [
+    "La città era tranquilla quella mattina e il mercato apriva lentamente mentre le persone arrivavano da ogni parte della regione per comprare il pane.",
+    "De stad was die ochtend rustig en de markt ging langzaam open terwijl mensen uit de hele streek aankwamen om brood en fruit te kopen.",
+    "Kaupunki oli sinä aamuna hiljainen ja tori avautui hitaasti, kun ihmisiä saapui kaikkialta ostamaan leipää ja hedelmiä.",
+    "Miasto było tego ranka ciche, a targ otwierał się powoli, podczas gdy ludzie przybywali z całego regionu, aby kupić chleb i owoce.",
+    "Şehir o sabah sessizdi ve pazar yavaş yavaş açılırken bölgenin her yerinden insanlar ekmek ve meyve almaya geliyordu.",
+    "Mji ulikuwa kimya asubuhi hiyo na soko lilifunguliwa polepole huku watu wakifika kutoka kila mahali kununua mkate na matunda.",
+    "for (int i = 0; i < n; i++) { sum += a[i] * b[i]; } return sum; if (x == NULL) { free(ptr); ptr = malloc(sizeof(struct node)); }",
+    "xkq zvj wqpl bnrt ghjk zzxq vwty plmk qwrt jhgf dsqz xcvb nmlk poiu ytrw qsdf ghjk lmwx cvbn",
+]
+
+
+def test_unlearnt_languages_are_rejected_and_short_texts_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit(docs.filter(fold() != 1))
+    odd = spark.createDataFrame([(k, t * n) for k, t in enumerate(FOREIGN) for n in (1, 8)], "doc_id int, text string")
+    assert identify(odd, model).filter("not rejected").count() == 0
+    held = docs.filter(fold() == 1).filter("text rlike '[a-zA-Z]'")
+    short = held.withColumn("text", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 6)))
+    for rows in (held, short):
+        assert identify(rows, model).filter("rejected").count() <= 0.01 * rows.count()
+
+
+def test_a_language_of_copies_is_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('de', 'fr')")
+    one = docs.filter("lang = 'de'").limit(1).crossJoin(spark.range(20000)).drop("id")
+    model = fit(docs.unionByName(one), sample=200)
+    got = identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert model.languages == ["de", "fr"] and got.filter("lang = lang_pred").count() >= 0.97 * got.count()
+
+
 def test_accepted_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = spark.createDataFrame([(10**6, "Привет, как дела? " * 20, "en", "s", 1), (10**6 + 1, None, "en", "s", 0)], docs.schema)
