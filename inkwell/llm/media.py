@@ -6,13 +6,15 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Magic bytes (fixed values of the formats) by type, and where in the file they stand.
 SIGNATURES = {
     "png": (b"\x89PNG\r\n\x1a\n", 0),
@@ -30,7 +32,31 @@ SIGNATURES = {
 }
 
 
-def _png(data: memoryview, at: int) -> int | None:
+class Content(bytes):
+    """Bytes of a cell that remember where end marks stand, so that each is looked for once, however many hits there are."""
+
+    @cached_property
+    def last_image_end(self) -> int:
+        return self.rfind(b"\xff\xd9")
+
+    @cached_property
+    def last_page_end(self) -> int:
+        return self.rfind(b"%%EOF")
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Begin -> end of the archives, by their directories' ends."""
+        out: dict[int, int] = {}
+        k = self.find(b"PK\x05\x06")
+        while k >= 0 and k + 22 <= len(self):
+            size, begin, note = struct.unpack_from("<IIH", self, k + 12)
+            if k + 22 + note <= len(self):
+                out.setdefault(k - begin - size, k + 22 + note)
+            k = self.find(b"PK\x05\x06", k + 1)
+        return out
+
+
+def _png(data: Content, at: int) -> int | None:
     place = at + 8
     while place + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, place)
@@ -45,7 +71,7 @@ def _png(data: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(data: memoryview, at: int) -> int | None:
+def _jpeg(data: Content, at: int) -> int | None:
     place = at + 2
     while place + 4 <= len(data):
         if data[place] != 0xFF:
@@ -59,13 +85,11 @@ def _jpeg(data: memoryview, at: int) -> int | None:
             return None
         place += 2 + size
         if mark == 0xDA:
-            rest = bytes(data[place:])
-            k = rest.find(b"\xff\xd9")
-            return place + k + 2 - at if k >= 0 else None
+            return data.find(b"\xff\xd9", place) + 2 - at if place <= data.last_image_end else None
     return None
 
 
-def _gif(data: memoryview, at: int) -> int | None:
+def _gif(data: Content, at: int) -> int | None:
     if bytes(data[at : at + 6]) not in (b"GIF87a", b"GIF89a") or at + 13 > len(data):
         return None
     flags = data[at + 10]
@@ -90,7 +114,7 @@ def _gif(data: memoryview, at: int) -> int | None:
     return None
 
 
-def _bmp(data: memoryview, at: int) -> int | None:
+def _bmp(data: Content, at: int) -> int | None:
     if at + 30 > len(data):
         return None
     size, zero, begin, head, _, _, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -98,8 +122,8 @@ def _bmp(data: memoryview, at: int) -> int | None:
     return size if good and at + size <= len(data) else None
 
 
-def _riff(form: bytes, need: tuple[bytes, ...]) -> Callable[[memoryview, int], int | None]:
-    def valid(data: memoryview, at: int) -> int | None:
+def _riff(form: bytes, need: tuple[bytes, ...]) -> Callable[[Content, int], int | None]:
+    def valid(data: Content, at: int) -> int | None:
         if at + 12 > len(data) or bytes(data[at : at + 4]) != b"RIFF" or bytes(data[at + 8 : at + 12]) != form:
             return None
         end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -115,7 +139,7 @@ def _riff(form: bytes, need: tuple[bytes, ...]) -> Callable[[memoryview, int], i
     return valid
 
 
-def _ogg(data: memoryview, at: int) -> int | None:
+def _ogg(data: Content, at: int) -> int | None:
     place = at
     while place + 27 <= len(data) and bytes(data[place : place + 5]) == b"OggS\0":
         n = data[place + 26]
@@ -123,7 +147,7 @@ def _ogg(data: memoryview, at: int) -> int | None:
     return place - at if at < place <= len(data) else None
 
 
-def _flac(data: memoryview, at: int) -> int | None:
+def _flac(data: Content, at: int) -> int | None:
     place, first = at + 4, True
     while place + 4 <= len(data):
         kind, size = data[place], int.from_bytes(data[place + 1 : place + 4], "big")
@@ -135,7 +159,7 @@ def _flac(data: memoryview, at: int) -> int | None:
     return None
 
 
-def _mp4(data: memoryview, at: int) -> int | None:
+def _mp4(data: Content, at: int) -> int | None:
     place, seen = at, 0
     while place + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, place)
@@ -147,24 +171,16 @@ def _mp4(data: memoryview, at: int) -> int | None:
     return place - at if seen > 1 else None
 
 
-def _pdf(data: memoryview, at: int) -> int | None:
-    k = bytes(data[at:]).rfind(b"%%EOF")
-    return k + 5 if k >= 0 else None
+def _pdf(data: Content, at: int) -> int | None:
+    return data.last_page_end + 5 - at if data.last_page_end > at else None
 
 
-def _zip(data: memoryview, at: int) -> int | None:
-    rest = bytes(data[at:])
-    k = rest.find(b"PK\x05\x06")
-    while k >= 0:
-        if k + 22 <= len(rest):
-            size, begin, note = struct.unpack_from("<IIH", rest, k + 12)
-            if begin + size == k and k + 22 + note <= len(rest):
-                return k + 22 + note
-        k = rest.find(b"PK\x05\x06", k + 1)
-    return None
+def _zip(data: Content, at: int) -> int | None:
+    end = data.archives.get(at)
+    return end - at if end else None
 
 
-def _gzip(data: memoryview, at: int) -> int | None:
+def _gzip(data: Content, at: int) -> int | None:
     reader = zlib.decompressobj(31)
     place = at
     try:
@@ -176,7 +192,7 @@ def _gzip(data: memoryview, at: int) -> int | None:
     return min(place, len(data)) - len(reader.unused_data) - at if reader.eof else None
 
 
-VALIDATORS: dict[str, Callable[[memoryview, int], int | None]] = {
+VALIDATORS: dict[str, Callable[[Content, int], int | None]] = {
     "png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "wav": _riff(b"WAVE", (b"fmt ",)), "webp": _riff(b"WEBP", (b"VP8 ", b"VP8L", b"VP8X")),
     "ogg": _ogg, "flac": _flac, "mp4": _mp4, "pdf": _pdf, "zip": _zip, "gzip": _gzip,
 }
@@ -196,7 +212,7 @@ def _automaton():
 def find_media(content: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid media in content that no earlier one contains, by offset."""
     hits = sorted({(end - back, kind) for end, (kind, back) in _automaton().iter(content.decode("latin-1")) if end >= back})
-    out, view, free = [], memoryview(content), 0
+    out, view, free = [], Content(content), 0
     for at, kind in hits:
         if at >= free and (length := VALIDATORS[kind](view, at)):
             out.append((kind, at, length))
@@ -267,30 +283,48 @@ def features(payload: bytes) -> str:
 
 
 BLOCK = 64
+#: What stands before the medium in a record of the query, and the type that the record declares, which is wrong.
+RECORD, DECLARED = b"inkwell record.\n", "mp4"
 
 
-def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: its text as samples in a wave file, sniffed, carved, read back and described.
+def media_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes, content and declared: each text as samples of a wave file inside a record that declares another type.
 
-    Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    media_type. The payload is the UTF-8 text (null: empty) and bytes 0 up to a positive multiple of BLOCK.
-    The file is declared as raw audio, so that its type comes from its bytes. Null keys are kept, repeated
-    rows give repeated results, empty input an empty result; other columns are not read.
+    The samples are the UTF-8 text (null: empty) and bytes 0 up to a positive multiple of BLOCK.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [d.as_buffer().to_pybytes() for d in batch.column(1)]
+            files = [RECORD + stored(d + bytes(-len(d) % BLOCK or (0 if d else BLOCK))) for d in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in each], pa.int64()), pa.array(files, pa.binary())], names=["_key", "n_bytes", "content"])
+
+    return rows.mapInArrow(lean(work), f"_key {rows.schema['_key'].dataType.simpleString()}, n_bytes long, content binary").withColumn("declared", F.lit(DECLARED))
+
+
+def media_round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: its text stored as a medium in a record, found there, read back and described.
+
+    Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media_type,
+    media_offset, corrected. The records of media_records go through sniff_media, which finds the medium by its bytes,
+    corrects the declared type and carves it; the samples come from what was carved. Null keys are kept, repeated rows give
+    repeated results, empty input an empty result; other columns are not read.
+    """
+    records = media_records(docs, key, text)
+    found = sniff_media(records.select(F.struct("_key", "n_bytes").alias("_id"), "content", "declared"), "_id", "content", "declared")
+    found = found.filter("media_index = 0").select("_id.*", "type", "offset", "corrected", "carved")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data in batch.column(1):
-                data = data.as_buffer().to_pybytes()
-                file = stored(data + bytes(-len(data) % BLOCK or (0 if data else BLOCK)))
-                kind, at, length = find_media(file)[0]
-                carved = file[at : at + length]
+            for carved in batch.column(5):
+                carved = carved.as_buffer().to_pybytes()
                 back = samples(carved)
-                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(carved), hashlib.sha256(carved).hexdigest(), features(back), kind))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], names=["_key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"])
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(carved), hashlib.sha256(carved).hexdigest(), features(back)))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            made = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[2:5]], names=["_key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "media_offset", "corrected"])
 
-    schema = f"_key {rows.schema['_key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
-    return rows.mapInArrow(work, schema).withColumnRenamed("_key", key)
+    schema = f"_key {records.schema['_key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, media_offset long, corrected boolean"
+    return found.mapInArrow(lean(work), schema).withColumnRenamed("_key", key)
