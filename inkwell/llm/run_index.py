@@ -5,7 +5,8 @@ ANCHOR bytes in it with the least hash, and consecutive strings with one anchor
 at one place only are dropped; of the others, the distinct run texts of an anchor come to one task, which
 indexes them (run-compressed transform, sampled run ends) and streams their matching statistics. Equal
 run texts are counted before that, so copies cost nothing. An anchor with very many distinct run texts is
-dealt out by the hashes of its strings instead and counted there.
+split by a longer anchor, the WIDE bytes that all strings at about the same distance from it share, and the
+parts are indexed in the same way; what is still too large for one index is counted string by string in Spark.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chosen_path import _grouped
 from .grams import prefix, spans
-from .shared import mixed, shared_dir, slices, utf8, written
+from .shared import lean, mixed, shared_dir, slices, utf8, written
 
 ANCHOR = 50
-#: Distinct run texts of an anchor in one index at most; bytes that share an index; bytes hashed at once.
-GROUP, INDEX_BYTES, WORK_BYTES = 4096, 1 << 20, (2 << 20) - 8
+#: Distinct run texts of an anchor in one index at most; bytes that share an index; bytes hashed at once (longer texts in blocks).
+GROUP, INDEX_BYTES, WORK_BYTES = 4096, 512 << 10, (1 << 20) - 8
+#: Distances of strings from their anchor that share a longer anchor.
+STEP = 16
+#: The two hashes that name a text together.
+TID = ["_tid", "_tid2"]
 #: Bits of an anchor's hash that decide between anchors; the others hold a position.
 ORDER_BITS = 34
 NONE = np.zeros(0, np.int64)
@@ -70,16 +75,22 @@ def anchored_runs(raw: np.ndarray, offsets: np.ndarray, long: int) -> tuple[np.n
 
 
 def runs(docs: DataFrame, long: int) -> DataFrame:
-    """_tid, _anchor, _run, _a, _b, _p of all texts (columns _tid, _text): see anchored_runs."""
+    """_tid, _tid2, _anchor, _run, _a, _b, _p of all texts (columns _tid, _tid2, _text): see anchored_runs. A long text is cut
+    into blocks of starts, which also ends runs there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             for x, y in slices(offsets, WORK_BYTES):
-                row, a, b, p, anchor, run = anchored_runs(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], long)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + x)), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), *(pa.array(v.astype(np.int32)) for v in (a, b, p))], names=["_tid", "_anchor", "_run", "_a", "_b", "_p"])
+                size = int(offsets[y] - offsets[x])
+                for begin in range(0, max(1, size - long + 1) if y == x + 1 else 1, WORK_BYTES):
+                    end = min(size, begin + WORK_BYTES + long - 1) if y == x + 1 else size
+                    at = np.array([0, end - begin]) if y == x + 1 else offsets[x : y + 1] - offsets[x]
+                    row, a, b, p, anchor, run = anchored_runs(raw[offsets[x] + begin : offsets[x] + end], at, long)
+                    names = [batch.column(k).take(pa.array(row + x)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), *(pa.array((v + begin).astype(np.int32)) for v in (a, b, p))], names=[*TID, "_anchor", "_run", "_a", "_b", "_p"])
 
-    return docs.select("_tid", "_text").mapInArrow(cut, "_tid long, _anchor long, _run long, _a int, _b int, _p int")
+    return docs.select(*TID, "_text").mapInArrow(lean(cut), "_tid long, _tid2 long, _anchor long, _run long, _a int, _b int, _p int")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -211,61 +222,94 @@ def indexed(contexts: DataFrame, long: int) -> DataFrame:
             total += size
         yield from flush()
 
-    return contexts.select("_anchor", "_run", "_before", "_bytes").repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(search, FOUND)
+    return contexts.select("_anchor", "_run", "_before", "_bytes").repartition("_anchor").sortWithinPartitions("_anchor").mapInArrow(lean(search), FOUND)
 
 
-def dealt(contexts: DataFrame, long: int) -> DataFrame:
-    """The same for anchors with very many run texts (_n): their strings are dealt by hash to tasks of bounded size."""
+def split(contexts: DataFrame, long: int) -> DataFrame:
+    """Parts of run texts (_anchor, _run, _before, _bytes) by a longer anchor: _anchor, _run, _wide, _part, _before, _bytes.
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The strings of a run text whose distance from the anchor lies in the same STEP share long - STEP + 1 bytes around it; _wide
+    names these bytes, _part the text of the part. Equal strings have equal distances, so they stay together.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             out = []
-            for anchor, run, before, data, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for anchor, run, before, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                sums = prefix(np.frombuffer(data, np.uint8))
+                k = np.arange(max(0, before - len(data) + long) // STEP, before // STEP + 1)
+                low, high = np.maximum(before - STEP * k - STEP + 1, 0), np.minimum(before - STEP * k, len(data) - long)
+                use = low <= high
+                k, low, high = k[use], low[use], high[use]
+                begin = before - STEP * k
+                with np.errstate(over="ignore"):
+                    wide = mixed(spans(sums, begin, begin + long - STEP + 1) + mixed(np.uint64(anchor & (1 << 64) - 1) + mixed(k.astype(np.uint64))))
+                    part = mixed(spans(sums, low, high + long) + mixed((begin - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64)))
+                out += [(anchor, run, w, r, before - int(a), data[a : b + long]) for w, r, a, b in zip(wide.view(np.int64).tolist(), part.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["_anchor", "_run", "_wide", "_part", "_before", "_bytes"])
+
+    return contexts.select("_anchor", "_run", "_before", "_bytes").mapInArrow(lean(cut), "_anchor long, _run long, _wide long, _part long, _before int, _bytes binary")
+
+
+def counted_strings(contexts: DataFrame, long: int) -> DataFrame:
+    """Repeated parts of run texts (_anchor, _run, _before, _bytes), each string counted in Spark under two hashes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, run, before, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = np.frombuffer(data, np.uint8)
                 at = np.arange(len(raw) - long + 1)
-                name = spans(prefix(raw), at, at + long)
-                part = (name % np.uint64(-(-n // GROUP))).astype(np.int64)
-                for k in np.unique(part):
-                    use = part == k
-                    out.append((anchor, int(k), run, (at[use] - before).tolist(), name[use].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["_anchor", "_part", "_run", "_at", "_names"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, ["_anchor", "_part"]):
-            once = {r["_run"]: r for r in group.to_pylist()}.values()
-            names = np.concatenate([np.array(r["_names"]) for r in once])
-            _, code, number = np.unique(names, return_inverse=True, return_counts=True)
-            many, done, rows = number[code] > 1, 0, []
-            for r in once:
-                use = many[done : done + len(r["_at"])]
-                done += len(use)
-                if use.any():
-                    rows.append((r["_anchor"], r["_run"], [v for s in np.array(r["_at"])[use].tolist() for v in (s, s + long)]))
-            if rows:
-                yield _found(rows)
-
-    parts = contexts.select("_anchor", "_run", "_before", "_bytes", "_n").mapInArrow(deal, "_anchor long, _part long, _run long, _at array<int>, _names array<long>")
-    return parts.repartition("_anchor", "_part").sortWithinPartitions("_anchor", "_part").mapInArrow(count, FOUND)
+                names = [spans(prefix(v), at, at + long).view(np.int64) for v in (raw, raw ^ 0xFF)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)) for v in (anchor, run)] + [pa.array((at - before).astype(np.int32)), *(pa.array(n) for n in names)], names=["_anchor", "_run", "_at", "_x", "_y"])
+
+    strings = written(contexts.select("_anchor", "_run", "_before", "_bytes").mapInArrow(lean(cut), "_anchor long, _run long, _at int, _x long, _y long"))
+    name = ["_anchor", "_x", "_y"]
+    many = strings.groupBy(*name).agg(F.min(F.struct("_run", "_at")).alias("_i"), F.max(F.struct("_run", "_at")).alias("_j")).filter("_i <> _j").select(*name)
+    found = strings.join(many, name).groupBy("_anchor", "_run").agg(F.sort_array(F.collect_list("_at")).alias("_at"))
+    return found.select("_anchor", "_run", F.flatten(F.transform("_at", lambda s: F.array(s, s + long))).alias("_cover"))
+
+
+def divided(contexts: DataFrame, long: int, path: str) -> DataFrame:
+    """The same as indexed() for anchors with very many run texts, which are split by longer anchors first."""
+    parts = written(split(contexts, long), f"{path}/split")
+    ends = [f(F.struct("_anchor", "_run")).alias(n) for f, n in ((F.min, "_i"), (F.max, "_j"))]
+    kinds = parts.groupBy("_wide", "_part").agg(*ends, F.first("_before").alias("_before"), F.first("_bytes").alias("_bytes"))
+    kinds = written(kinds.withColumn("_whole", F.col("_i") != F.col("_j")).drop("_i", "_j"), f"{path}/split-kinds")
+    number = kinds.groupBy("_wide").agg(F.count(F.lit(1)).alias("_n"), F.min("_whole").alias("_all")).filter("_n > 1 and not _all").select("_wide", "_n")
+    around = written(kinds.join(number, "_wide").select(F.col("_wide").alias("_anchor"), F.col("_part").alias("_run"), "_before", "_bytes", "_n"), f"{path}/split-contexts")
+    found = indexed(around.filter(F.col("_n") <= GROUP), long).unionByName(counted_strings(around.filter(F.col("_n") > GROUP), long))
+    found = found.select(F.col("_anchor").alias("_wide"), F.col("_run").alias("_part"), "_cover")
+    all_of = F.array(-F.col("_before"), F.octet_length("_bytes") - F.col("_before"))
+    marked = kinds.join(found, ["_wide", "_part"], "left").select("_wide", "_part", F.when(F.col("_whole"), all_of).otherwise(F.col("_cover")).alias("_cover")).filter("_cover is not null")
+    marked = written(marked, f"{path}/split-marks")
+    return parts.select("_anchor", "_run", "_wide", "_part").join(marked, ["_wide", "_part"]).groupBy("_anchor", "_run").agg(F.flatten(F.collect_list("_cover")).alias("_cover"))
+
+
+def text_names(text: str) -> list[Column]:
+    """TID of a text (null counts as empty): 128 bits."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(own).alias(TID[0]), F.xxhash64(F.lit(1), own, F.octet_length(own)).alias(TID[1])]
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", long: int = 200, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables by _tid, the hash of a text: texts (_tid, _text of each text with repeated anchors, once) and
-    marks (_tid, _marks: begins and ends of byte spans to remove, flat, unsorted, overlapping)."""
+    """Two tables by TID, the hashes of a text: texts (TID, _text of each text with repeated anchors, once) and
+    marks (TID, _marks: begins and ends of byte spans to remove, flat, unsorted, overlapping)."""
     path = path or shared_dir(docs.sparkSession)
-    base = docs.select(F.xxhash64(text).alias("_tid"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    base = docs.select(*text_names(text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = runs(base, long)
-    where = F.xxhash64("_tid", "_p")
+    where = F.xxhash64(*TID, "_p")
     twice = found.select("_anchor", where.alias("_w")).groupBy("_anchor").agg(F.min("_w").alias("_x"), F.max("_w").alias("_y")).filter("_x <> _y").select("_anchor")
     twice = written(twice, f"{path}/anchors")
-    kept = written(found.join(twice, "_anchor", "left_semi").dropDuplicates(["_tid", "_p", "_a"]), f"{path}/runs")
-    first = F.min(F.struct("_tid", "_p", "_a", "_b")).alias("_first")
-    kinds = kept.groupBy("_anchor", "_run").agg(first, F.max(F.struct("_tid", "_p", "_a", "_b")).alias("_last"))
+    kept = written(found.join(twice, "_anchor", "left_semi").dropDuplicates([*TID, "_p", "_a"]), f"{path}/runs")
+    place = F.struct(*TID, "_p", "_a", "_b")
+    kinds = kept.groupBy("_anchor", "_run").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     kinds = written(kinds.select("_anchor", "_run", "_first", (F.col("_first") != F.col("_last")).alias("_whole")), f"{path}/kinds")
     number = kinds.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("_whole").alias("_all")).filter("_n > 1 and not _all")
     need = kinds.join(number.select("_anchor", "_n"), "_anchor").select("_anchor", "_run", "_n", "_first.*")
-    need = need.groupBy("_tid").agg(F.collect_list(F.struct("_anchor", "_run", "_n", F.col("_p").alias("p"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_need"))
-    tids = kept.select("_tid").distinct().join(need, "_tid", "left")
-    texts = written(base.join(tids, "_tid").dropDuplicates(["_tid"]), f"{path}/texts")
+    need = need.groupBy(*TID).agg(F.collect_list(F.struct("_anchor", "_run", "_n", F.col("_p").alias("p"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_need"))
+    tids = kept.select(*TID).distinct().join(need, TID, "left")
+    texts = written(base.join(tids, TID).dropDuplicates(TID), f"{path}/texts")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,14 +319,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", long: int = 200, path: s
                 out += [(x["_anchor"], x["_run"], x["_n"], x["p"] - x["a"], data[x["a"] : x["b"] + long]) for x in need]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["_anchor", "_run", "_n", "_before", "_bytes"])
 
-    around = written(texts.filter("_need is not null").select("_text", "_need").mapInArrow(contexts, "_anchor long, _run long, _n long, _before int, _bytes binary"), f"{path}/contexts")
-    part = indexed(around.filter(F.col("_n") <= GROUP), long).unionByName(dealt(around.filter(F.col("_n") > GROUP), long))
+    around = written(texts.filter("_need is not null").select("_text", "_need").mapInArrow(lean(contexts), "_anchor long, _run long, _n long, _before int, _bytes binary"), f"{path}/contexts")
+    part = indexed(around.filter(F.col("_n") <= GROUP), long).unionByName(divided(around.filter(F.col("_n") > GROUP), long, path))
     part = written(part.groupBy("_anchor", "_run").agg(F.flatten(F.collect_list("_cover")).alias("_cover")), f"{path}/parts")
     state = kinds.select("_anchor", "_run", "_whole").join(part, ["_anchor", "_run"], "left").filter("_whole or _cover is not null")
     state = written(state, f"{path}/state")  # so that both sides of the next join are dealt anew, and a hot run can be split
     spans_ = F.when(F.col("_whole"), F.array("_a", F.col("_b") + long)).otherwise(F.transform("_cover", lambda c: c + F.col("_p")))
-    marks = kept.join(state, ["_anchor", "_run"]).groupBy("_tid").agg(F.flatten(F.collect_list(spans_)).alias("_marks"))
-    return texts.select("_tid", "_text"), marks
+    marks = kept.join(state, ["_anchor", "_run"]).groupBy(*TID).agg(F.flatten(F.collect_list(spans_)).alias("_marks"))
+    return texts.select(*TID, "_text"), marks
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", long: int = 200, with_text: bool = False) -> DataFrame:
@@ -291,7 +335,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lon
     Of each text's UTF-8 bytes, those go that are covered by a string of long bytes which also starts anywhere
     else in the corpus, the same text included. Null text counts as empty, keys may be null or repeat, equal
     rows are copies of each other; copies of a text of long bytes or more lose all their bytes. Texts are
-    told apart by 64-bit hashes. Empty input: empty result. Other columns are not read.
+    told apart by two 64-bit hashes and run texts by those of anchor and run. Texts may have up to 2**31 - 1 bytes, the most
+    that a cell of Spark holds. Empty input: empty result. Other columns are not read.
     """
     path = shared_dir(docs.sparkSession)
     texts, marks = repeated_spans(docs, text, long, path)
@@ -299,7 +344,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lon
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for tid, data, flat in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for data, flat in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
                 data = data.encode()
                 edges = np.zeros(len(data) + 1, np.int32)
                 np.add.at(edges, flat[0::2], 1)
@@ -307,14 +352,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lon
                 gone = np.cumsum(edges[:-1]) > 0
                 rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((tid, int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["_tid", "_removed", "_spans", "_sha", "_rest"])
+                out.append((int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[*TID, "_removed", "_spans", "_sha", "_rest"])
 
-    done = texts.join(marks, "_tid").mapInArrow(cut, "_tid long, _removed long, _spans long, _sha string, _rest binary")
+    done = texts.join(marks, TID).select(*TID, "_text", "_marks").mapInArrow(lean(cut), "_tid long, _tid2 long, _removed long, _spans long, _sha string, _rest binary")
     own = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), F.xxhash64(text).alias("_tid"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("_own"), *([own.cast("binary").alias("_all")] if with_text else []))
-    copies = docs.groupBy(F.xxhash64(text).alias("_tid")).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    got = rows.join(copies, "_tid", "left").join(done, "_tid", "left")
+    rows = docs.select(F.col(key), *text_names(text), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("_own"), *([own.cast("binary").alias("_all")] if with_text else []))
+    copies = docs.groupBy(*text_names(text)).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    got = rows.join(copies, TID, "left").join(done, TID, "left")
     all_gone = F.col("_copies").isNotNull() & (F.col("n_bytes") >= long)
     out = [
         F.col(key),

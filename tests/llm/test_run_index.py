@@ -68,9 +68,10 @@ def corpus(seed):
     return [*rows, (200, rows[0][1]), (201, None), (202, ""), (203, "x" * 199), (204, "x" * 199), (205, "q" * 450), (None, "short"), (206, "short"), (207, rows[5][1]), (207, rows[5][1])]
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-def test_against_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(R, "GROUP", group)
+@pytest.mark.parametrize("group,work", [(4096, R.WORK_BYTES), (3, R.WORK_BYTES), (1, 300)])
+def test_against_brute_force(spark, monkeypatch, group, work):
+    monkeypatch.setattr(R, "GROUP", group)  # 3: anchors are split; 1: strings are counted; texts are cut into blocks
+    monkeypatch.setattr(R, "WORK_BYTES", work)
     rows = corpus(group)
     docs = spark.createDataFrame([(k, t, "n") for k, t in rows], "doc_id long, text string, n_bytes string")
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()], key=str)
