@@ -260,9 +260,11 @@ def without_spaces(text: Column, punctuation: bool = False) -> Column:
 
 
 def page_title(text: Column, page: Column, most: int = 60) -> Column:
-    """A page's title: its first line that is not blank, cut; else the last; else 'Page n'."""
+    """A page's title: its first line that is not blank if that has letters, else the last one that has, cut; else 'Page n'."""
     lines = F.filter(F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(lines) > 0, F.substring(F.try_element_at(lines, F.lit(1)), 1, most)).otherwise(F.concat(F.lit("Page "), page.cast("string")))
+    said = lambda at: F.filter(F.array(F.try_element_at(lines, F.lit(at))), lambda x: x.rlike(r"\p{L}"))
+    best = F.try_element_at(F.concat(said(1), said(-1)), F.lit(1))
+    return F.coalesce(F.substring(best, 1, most), F.concat(F.lit("Page "), page.cast("string")))
 
 
 def table_name(header: Column, most: int = 80) -> Column:

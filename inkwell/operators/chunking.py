@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import dealt
 
 MOST, LEAST = 2000, 500
 
@@ -16,40 +17,42 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", blank: bo
     return out if blank else out.filter(F.trim("line") != "")
 
 
-def pack_ids(sizes: Column, most: int = MOST) -> Column:
-    """array of sizes -> array of group numbers: items join the open group while the sum stays within most."""
-    kind = "struct<sum:bigint,group:int,out:array<int>>"
-    start = F.struct(F.lit(-1).cast("bigint").alias("sum"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out")).cast(kind)
+def pack_bounds(sizes: Column, most: int = MOST) -> Column:
+    """array of sizes -> places (from 1) at which groups begin: items join the open group while the sum stays within most."""
+    kind = "struct<sum:bigint,at:int,out:array<int>>"
+    start = F.struct(F.lit(-1).cast("bigint").alias("sum"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
 
     def step(s: Column, n: Column) -> Column:
-        fits = (s["sum"] < 0) | (s["sum"] + n <= most)
-        group = F.when(fits, s["group"]).otherwise(s["group"] + 1)
-        return F.struct(F.when(fits, F.greatest(s["sum"], F.lit(0)) + n).otherwise(n).cast("bigint").alias("sum"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out")).cast(kind)
+        fits = (s["sum"] >= 0) & (s["sum"] + n <= most)
+        return F.struct(F.when(fits, s["sum"] + n).otherwise(n).cast("bigint").alias("sum"), (s["at"] + 1).alias("at"), F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["at"]))).alias("out")).cast(kind)
 
     return F.aggregate(sizes, start, step, lambda s: s["out"])
 
 
+def pack_ids(sizes: Column, most: int = MOST) -> Column:
+    """array of sizes -> array of group numbers, see pack_bounds."""
+    bounds = pack_bounds(sizes, most)
+    ends = F.concat(F.slice(bounds, 2, F.greatest(F.size(bounds) - 1, F.lit(0))), F.array(F.size(sizes) + 1))
+    return F.flatten(F.zip_with(bounds, F.transform(ends, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda b, x: F.array_repeat(x["i"], x["e"] - b)))
+
+
 def packed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, least: int = LEAST) -> DataFrame:
     """key, chunk_no, n_lines, n_chars, content: lines that are not blank, packed in order to at most `most` characters;
     a last group below `least` joins the one before. An oversize line is a group of its own.
 
-    The fold runs inside one row's array, so documents are packed where they stand, without a shuffle.
+    The fold runs inside one row's array, so documents are packed where they stand, without a shuffle; it keeps the bounds
+    of groups only, and each group is a slice, so the work grows with the lines.
     """
     lines = F.filter(F.split(T.text_or_empty(F.col(text)), "\r?\n"), lambda x: F.trim(x) != "")
     base = docs.select(key, lines.alias("_lines")).filter(F.size("_lines") > 0)
-    base = base.withColumn("_ids", pack_ids(F.transform("_lines", lambda x: F.length(x).cast("bigint")), most))
-    last = F.element_at("_ids", -1)
-    tail = F.aggregate(F.arrays_zip("_lines", "_ids"), F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["_ids"] == last, F.length(x["_lines"])).otherwise(0))
-    merged = F.when((tail < least) & (last > 0), last - 1).otherwise(last)
-    groups = F.transform(
-        F.sequence(F.lit(0), merged),
-        lambda g: F.struct(
-            g.alias("chunk_no"),
-            F.transform(F.filter(F.arrays_zip("_lines", "_ids"), lambda x: F.least(x["_ids"], merged) == g), lambda x: x["_lines"]).alias("own"),
-        ),
-    )
-    out = base.select(key, F.explode(groups).alias("_g"))
-    return out.select(key, "_g.chunk_no", F.size("_g.own").alias("n_lines"), F.aggregate("_g.own", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"), F.array_join("_g.own", "\n").alias("content"))
+    base = base.withColumn("_bounds", pack_bounds(F.transform("_lines", lambda x: F.length(x).cast("bigint")), most))
+    chars = lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    tail = chars(F.slice("_lines", F.element_at("_bounds", -1), F.size("_lines")))
+    base = base.withColumn("_bounds", F.when((F.size("_bounds") > 1) & (tail < least), F.slice("_bounds", 1, F.size("_bounds") - 1)).otherwise(F.col("_bounds")))
+    out = base.select(key, "_lines", "_bounds", F.posexplode("_bounds").alias("chunk_no", "_at"))
+    end = F.coalesce(F.try_element_at("_bounds", F.col("chunk_no") + 2), F.size("_lines") + 1)
+    out = out.select(key, "chunk_no", F.slice("_lines", F.col("_at"), end - F.col("_at")).alias("_own"))
+    return out.select(key, "chunk_no", F.size("_own").alias("n_lines"), chars(F.col("_own")).alias("n_chars"), F.array_join("_own", "\n").alias("content"))
 
 
 def named_parts(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
@@ -63,6 +66,7 @@ def named_parts(docs: DataFrame, most: int = MOST, least: int = LEAST) -> DataFr
 def chunk_table(docs: DataFrame) -> DataFrame:
     """The corpus as chunks: namespace (language), user_id (source), document_id, chunk_id, chunk_no, content,
     section_path, source_file_name and chunk_type."""
+    docs = dealt(docs)
     meta = docs.select("doc_id", F.col("lang").alias("namespace"), F.col("source").alias("user_id"))
     parts = named_parts(docs).join(meta, "doc_id")
     return parts.select(

@@ -50,6 +50,17 @@ def scoped(chunks: DataFrame, documents: DataFrame, revision: str = "revision_id
     return chunks.join(current, ["document_id", revision])
 
 
+def in_scope(chunks: DataFrame, documents: DataFrame, queries: DataFrame, sections: DataFrame | None = None, revision: str = "revision_id") -> DataFrame:
+    """query_id and the chunks that each query (query_id, user_id, namespace) may see: of its user's active documents in its
+    namespace (blank: default), the current revision; with the section's title and level where sections are given."""
+    asked = queries.select("query_id", "user_id", namespace_of(F.col("namespace")).alias("namespace"))
+    own = documents.filter("status = 'active'").select("document_id", "user_id", namespace_of(F.col("namespace")).alias("namespace"), F.col("current_revision_id").alias(revision))
+    rows = chunks.drop("user_id", "namespace").join(own, ["document_id", revision]).join(asked, ["user_id", "namespace"])
+    if sections is None:
+        return rows
+    return rows.join(sections.select("document_id", "section_path", "section_title", "section_level"), ["document_id", "section_path"], "left")
+
+
 def without_documents(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.join(excluded.select("document_id").distinct(), "document_id", "left_anti")
 

@@ -33,16 +33,32 @@ def edges(full: DataFrame, top: DataFrame, published: DataFrame, shared: int = S
     """Undirected edges between documents by shared keywords: all keywords of the later document against the top
     ones of the earlier; score = letters shared / letters of the smaller set.
 
-    Joined through the keywords, never document by document. full and top: (document_id, keyword).
+    Pairs meet through rare keywords only: what a pair does not share is less than 1 - score of the smaller set's letters, so
+    it shares one of the keywords that the rarest-first order puts into that part of the set or crosses its end with. Frequent
+    keywords join nothing. full and top: (document_id, keyword), each pair once; both are read twice: pass written tables.
     """
-    weights = lambda df, out: df.groupBy("document_id").agg(F.sum(F.length("keyword")).alias(out))
     when = published.select("document_id", F.struct("published_at", "document_id").alias("_at"))
-    new = full.join(when, "document_id").select("keyword", F.col("document_id").alias("_new"), F.col("_at").alias("_na"))
-    old = top.join(when, "document_id").select("keyword", F.col("document_id").alias("_old"), F.col("_at").alias("_oa"))
-    met = new.join(old, "keyword").filter("_oa < _na").groupBy("_new", "_old").agg(F.count(F.lit(1)).alias("n_shared"), F.sum(F.length("keyword")).alias("_s")).filter(F.col("n_shared") >= shared)
-    met = met.join(weights(full, "_wa").withColumnRenamed("document_id", "_new"), "_new").join(weights(top, "_wb").withColumnRenamed("document_id", "_old"), "_old")
-    value = F.round(F.col("_s") / F.least("_wa", "_wb"), 4)
-    return met.withColumn("weight", value).filter(F.col("_s") / F.least("_wa", "_wb") >= score).select(F.least("_new", "_old").alias("source"), F.greatest("_new", "_old").alias("target"), "n_shared", "weight")
+    rarity = full.groupBy("keyword").agg(F.count(F.lit(1)).alias("_df"))
+    weights = lambda df: df.groupBy("document_id").agg(F.sum(F.length("keyword")).alias("_w"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        """The keywords of each document before which less than 1 - score of its letters stand, the rarest first."""
+        w = Window.partitionBy("document_id").orderBy("_df", "keyword").rowsBetween(Window.unboundedPreceding, -1)
+        rows = df.join(rarity, "keyword").join(weights(df), "document_id").withColumn("_before", F.coalesce(F.sum(F.length("keyword")).over(w), F.lit(0)))
+        return rows.filter(F.col("_before") <= (1 - score) * F.col("_w") + 1e-9).select("document_id", "keyword")
+
+    side = lambda df, at: df.select("keyword", F.col("document_id").alias(at))
+    wa, wb = weights(full).select(F.col("document_id").alias("_new"), F.col("_w").alias("_wa")), weights(top).select(F.col("document_id").alias("_old"), F.col("_w").alias("_wb"))
+    most = wb.agg(F.max("_wb").alias("_most"))  # the earlier set is the smaller one unless the later has fewer letters than that
+    few = full.join(wa.crossJoin(F.broadcast(most)).filter("_wa < _most").select(F.col("_new").alias("document_id")), "document_id", "left_semi")
+    near = side(full, "_new").join(side(rarest(top), "_old"), "keyword").unionByName(side(rarest(few), "_new").join(side(top, "_old"), "keyword"))
+    near = near.filter("_new <> _old").select("_new", "_old").distinct()
+    at = lambda name, out: when.select(F.col("document_id").alias(name), F.col("_at").alias(out))
+    near = near.join(at("_new", "_na"), "_new").join(at("_old", "_oa"), "_old").filter("_oa < _na").select("_new", "_old")
+    met = near.join(side(top, "_old"), "_old").join(side(full, "_new"), ["_new", "keyword"]).groupBy("_new", "_old").agg(F.count(F.lit(1)).alias("n_shared"), F.sum(F.length("keyword")).alias("_s")).filter(F.col("n_shared") >= shared)
+    met = met.join(wa, "_new").join(wb, "_old")
+    value = F.col("_s") / F.least("_wa", "_wb")
+    return met.withColumn("weight", F.round(value, 4)).filter(value >= score).select(F.least("_new", "_old").alias("source"), F.greatest("_new", "_old").alias("target"), "n_shared", "weight")
 
 
 def without_document(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -127,10 +127,17 @@ def token_usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("task").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("n_calls"))
 
 
-def listed_jobs(jobs: DataFrame, size: int = 20, days: int | None = None, as_of: Column | None = None) -> DataFrame:
-    """Jobs by owner, newest first, with page numbers and the number of pages."""
+def listed_jobs(
+    jobs: DataFrame, size: int = 20, days: int | None = None, as_of: Column | None = None, kinds: list[str] | None = None, statuses: list[str] | None = None, begin: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """Jobs by owner, newest first, with page numbers and the number of pages: of the last days, or created from begin to end
+    (both included; nothing if begin is after end), of some types (column kind) and statuses, if asked."""
     if days is not None:
         jobs = jobs.filter(F.col("created_at") >= as_of - F.expr(f"interval {days} days"))
+    for name, some in (("kind", kinds), ("status", statuses)):
+        jobs = jobs if some is None else jobs.filter(F.col(name).isin(some))
+    jobs = jobs if begin is None else jobs.filter(F.col("created_at") >= begin)
+    jobs = jobs if end is None else jobs.filter(F.col("created_at") <= end)
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "job_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     return jobs.withColumn("page", F.ceil(F.row_number().over(w) / float(size)).cast("long")).withColumn("n_pages", F.ceil(n / float(size)).cast("long"))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 
 #: Constants of Okapi BM25 and of reciprocal-rank fusion, and default channel weights (fixed values).
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 WEIGHTS = {"path": 1.0, "content": 2.0, "term": 1.5}
+#: 64-bit numbers that hold the queries which a row matches.
+WORDS = 4
 
 
 def postings(chunks: DataFrame, text: Column, keys: list[str]) -> DataFrame:
@@ -22,8 +29,54 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
     return queries.select(query_id, F.explode(T.tokens(F.col(text), stopwords, distinct=True)).alias("term"))
 
 
+def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_block, term, masks) in the order of block and term -> how many terms have a count of _df under bit _at."""
+
+    def counted(block: int, counts: np.ndarray) -> pa.RecordBatch:
+        flat = counts.ravel()
+        some = np.flatnonzero(flat)
+        pairs, terms = np.unique(flat[some] << 8 | some % counts.shape[1], return_counts=True)  # 64 * WORDS bits: 8 of a pair
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), block, np.int32)), pa.array((pairs & 255).astype(np.int32)), pa.array(pairs >> 8), pa.array(terms)], names=["_block", "_at", "_df", "_terms"])
+
+    last, rest = None, np.zeros(64 * WORDS, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, term = batch.column(0).to_numpy(), batch.column(1).dictionary_encode().indices.to_numpy()
+        bits = np.unpackbits(np.stack([batch.column(k).to_numpy() for k in range(2, 2 + WORDS)], axis=1).view(np.uint8), axis=1, bitorder="little")
+        starts = np.append(0, np.flatnonzero((block[1:] != block[:-1]) | (term[1:] != term[:-1])) + 1)
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32).astype(np.int64)
+        if last == (block[0], batch.column(1)[0].as_py()):
+            counts[0] += rest
+        elif last is not None:
+            yield counted(last[0], rest[None, :])
+        last, rest = (block[-1], batch.column(1)[-1].as_py()), counts[-1]
+        for own in np.unique(block[starts[:-1]]):
+            yield counted(own, counts[:-1][block[starts[:-1]] == own])
+    if last is not None:
+        yield counted(last[0], rest[None, :])
+
+
+def _mean_idf(index: DataFrame, matched: DataFrame, stats: DataFrame, low: DataFrame, keys: list[str], query_id: str) -> DataFrame:
+    """query_id and _mean: the mean idf over the vocabulary of the rows that match each query of low.
+
+    The queries that a row matches are the bits of masks, WORDS numbers for each block of 64 * WORDS queries. So a posting is
+    joined with a block's masks, not with each query, and the bits of a term's postings are summed up in Arrow batches.
+    """
+    number = Window.orderBy(query_id)  # over the queries alone
+    bits = 64 * WORDS
+    place = low.select(query_id, (F.row_number().over(number) - 1).alias("_bit")).select(query_id, F.floor(F.col("_bit") / bits).cast("int").alias("_block"), (F.col("_bit") % bits).cast("int").alias("_at"))
+    mask = [F.expr(f"bit_or(if(_at div 64 = {k}, shiftleft(1L, _at % 64), 0L))").alias(f"_m{k}") for k in range(WORDS)]
+    masks = matched.join(place, query_id).groupBy(*keys, "_block").agg(*mask)
+    rows = index.select(*keys, "term").join(masks, keys).select("_block", "term", *[f"_m{k}" for k in range(WORDS)])
+    each = rows.repartition("_block", "term").sortWithinPartitions("_block", "term").mapInArrow(_bit_counts, "_block int, _at int, _df long, _terms long")
+    wide = each.groupBy("_block", "_at", "_df").agg(F.sum("_terms").alias("_terms")).join(place, ["_block", "_at"]).join(stats, query_id)
+    idf = F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)
+    return wide.groupBy(query_id).agg((F.sum(idf * F.col("_terms")) / F.sum("_terms")).alias("_mean"))
+
+
 def bm25(index: DataFrame, terms: DataFrame, keys: list[str], query_id: str = "query_id") -> DataFrame:
-    """query_id, keys, score of all rows that share a term with a query.
+    """query_id, keys, score of all rows that share a term with a query. The index is read three times: pass a written one.
 
     Statistics are those of the rows that match the query. A negative idf becomes EPSILON times the mean idf over
     the vocabulary of the matching rows; that mean is computed only for queries that have such a term.
@@ -33,9 +86,7 @@ def bm25(index: DataFrame, terms: DataFrame, keys: list[str], query_id: str = "q
     stats = matched.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avg"))
     df = hits.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("_df")).join(stats, query_id)
     df = df.withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
-    low = df.filter("_idf < 0").select(query_id).distinct()
-    wide = matched.join(low, query_id).join(index.select(*keys, "term"), keys).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("_df"))
-    mean = wide.join(stats, query_id).groupBy(query_id).agg(F.avg(F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)).alias("_mean"))
+    mean = _mean_idf(index, matched, stats, df.filter("_idf < 0").select(query_id).distinct(), keys, query_id)
     df = df.join(mean, query_id, "left").withColumn("_idf", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")))
     part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
     return hits.join(df.select(query_id, "term", "_idf", "_avg"), [query_id, "term"]).groupBy(query_id, *keys).agg(F.sum(part).alias("score"))
@@ -46,22 +97,45 @@ def overlap(index: DataFrame, terms: DataFrame, keys: list[str], query_id: str =
     return index.join(terms, "term").groupBy(query_id, *keys).agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
+def words_holding(words: DataFrame, tokens: DataFrame, gram: int = 2) -> DataFrame:
+    """_word, _token of all pairs in which the word holds the token (columns _word and _token, distinct, tokens not empty).
+
+    They meet through the token's first `gram` letters at any place of the word, so nothing is compared with everything.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.length("_word"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(places, lambda i: F.substring("_word", i, n)))))
+    at = words.select("_word", F.explode(grams).alias("_gram"))
+    return at.join(tokens.select("_token", F.substring("_token", 1, gram).alias("_gram")), "_gram").filter(F.contains("_word", "_token")).select("_word", "_token").distinct()
+
+
+def rows_holding(rows: DataFrame, text: Column, items: DataFrame, keys: list[str], item: str, wanted: Column) -> DataFrame:
+    """item, keys of all rows whose text holds the item's wanted text, exactly.
+
+    A wanted text of words stands in a text only if each of its words stands in one of the text's; rows are found by its
+    longest word, through the texts' different words, then containment is checked. Blank items hold nowhere.
+    """
+    own = rows.select(*keys, text.alias("_low"))
+    asked = items.select(item, wanted.alias("_whole")).filter(F.trim("_whole") != "")
+    longest = F.element_at(F.array_sort(F.transform(F.filter(F.split(F.trim("_whole"), r"\s+"), lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    asked = asked.withColumn("_token", longest)
+    words = own.select(*keys, F.explode(F.array_distinct(F.split("_low", r"\s+"))).alias("_word"))
+    inside = words_holding(words.select("_word").distinct(), asked.select("_token").distinct())
+    met = words.join(inside, "_word").select(*keys, "_token").distinct().join(asked, "_token")
+    return met.join(own, keys).filter(F.contains("_low", "_whole")).select(item, *keys)
+
+
 def term_hits(chunks: DataFrame, text: Column, queries: DataFrame, keys: list[str], query_id: str = "query_id", query: str = "query", stopwords: tuple[str, ...] = T.STOPWORDS, gram: int = 2) -> DataFrame:
     """Substring search: 100 if the whole query stands in the text, else the number of its tokens that do.
 
     Query tokens are located through the texts' different words: a token stands in a text exactly if it
-    stands in one of the text's words (tokens have no white space). Words are matched to tokens through
-    their shared first `gram` letters at any place, so nothing is compared with everything.
+    stands in one of the text's words (tokens have no white space). chunks is read twice: pass a written table.
     """
     low = F.lower(T.text_or_empty(text))
     rows = chunks.select(*keys, low.alias("_low"))
     words = rows.select(*keys, F.explode(F.array_distinct(F.split("_low", r"\s+"))).alias("_word"))
-    different = words.select("_word").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") - gram + 1, F.lit(1))), lambda i: F.substring("_word", i, gram)))
     asked = queries.select(query_id, F.lower(F.trim(query)).alias("_whole"), T.tokens(F.col(query), stopwords, distinct=True).alias("_tokens"))
     asked = asked.filter((F.col("_whole") != "") & (F.size("_tokens") > 0))
-    tokens = asked.select(F.explode("_tokens").alias("_token")).distinct().withColumn("_gram", F.substring("_token", 1, gram))
-    inside = different.select("_word", F.explode(grams).alias("_gram")).join(tokens, "_gram").filter(F.contains("_word", "_token")).select("_word", "_token").distinct()
+    inside = words_holding(words.select("_word").distinct(), asked.select(F.explode("_tokens").alias("_token")).distinct(), gram)
     per_token = words.join(inside, "_word").select(*keys, "_token").distinct()
     counted = per_token.join(asked.select(query_id, F.explode("_tokens").alias("_token")), "_token").groupBy(query_id, *keys).agg(F.count(F.lit(1)).cast("double").alias("_hits"))
     # the whole query can only stand in rows that have all its tokens
@@ -120,13 +194,14 @@ def discovery_signals(scored: DataFrame) -> DataFrame:
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, recall_k: int | None = None, keys: tuple[str, ...] = ("document_id", "chunk_no"), weights: dict[str, float] | None = None) -> DataFrame:
-    """BM25 over content and over paths, substring search, each cut at recall_k (twice top_k by default), fused, cut at top_k."""
+    """BM25 over content and over paths, substring search, each cut at recall_k (twice top_k by default), fused, cut at top_k.
+    chunks is read three times: pass a written table."""
     keys_, k = list(keys), recall_k or 2 * top_k
     terms = query_terms(queries)
     path = F.concat_ws(" ", F.col("path"), F.col("section_path"))
     channels = {
-        "content": bm25(postings(chunks, F.col("content"), keys_), terms, keys_),
-        "path": bm25(postings(chunks, path, keys_), terms, keys_),
+        "content": bm25(written(postings(chunks, F.col("content"), keys_)), terms, keys_),
+        "path": bm25(written(postings(chunks, path, keys_)), terms, keys_),
         "term": term_hits(chunks, F.concat_ws("\n", F.col("content"), F.col("path")), queries, keys_),
     }
     ranked = None
@@ -144,12 +219,32 @@ def small_corpus(chunks: DataFrame, queries: DataFrame, scope: list[str], order:
     return scoped.join(few, "query_id").withColumn("rank0", F.row_number().over(w) - 1).withColumn("score", F.lit(1.0)).withColumn("route", F.lit("small_corpus_all"))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", blocks: int = 16) -> DataFrame:
-    """The k vectors with the largest cosine per query, exactly: queries come in blocks, each block meets every
-    vector once, and a partial top-k stands before the shuffle."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    dealt = queries.select(F.col(query_id), unit(F.transform(vector, lambda x: x.cast("double"))).alias("_q"))
-    dealt = dealt.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(query_id, "_q")).alias("_qs"))
-    rows = vectors.select(key, unit(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    scored = rows.join(dealt, "_block").select(key, "_v", F.explode("_qs").alias("_x")).select(f"_x.{query_id}", key, F.aggregate(F.zip_with("_v", "_x._q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    return top_rows(scored.withColumn("score", F.round("score", 6)), k, [key], [query_id])
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block: int = 512, slot: int = 65536) -> DataFrame:
+    """The k vectors with the largest cosine per query, exactly.
+
+    Queries are cut into blocks of `block` at most, vectors into slots of about `slot`. Each block meets each slot once, as one
+    matrix product in a task of its own that keeps the k best per query, so a task's memory does not grow with either side.
+    """
+    numbers = queries.agg(F.count(F.lit(1)).alias("q")).crossJoin(vectors.agg(F.count(F.lit(1)).alias("v"))).first()
+    blocks, slots = max(1, -(-numbers.q // block)), max(1, -(-numbers.v // slot))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(query_id).alias("_q"), F.transform(vector, lambda x: x.cast("double")).alias("_x"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), every(slots).alias("_slot"))
+    right = vectors.select(F.col(key).alias("_v"), F.transform(vector, lambda x: x.cast("double")).alias("_x"), every(blocks).alias("_block"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("_slot"))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.stack(column.to_pylist()).astype(float) if len(column) else np.zeros((0, 1))
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    def best(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if not asked.num_rows or not found.num_rows:
+            return pa.table({"_q": asked["_q"].slice(0, 0), "_v": found["_v"].slice(0, 0), "score": pa.array([], pa.float64())})
+        found = found.sort_by("_v")
+        score = np.round(unit(asked["_x"]) @ unit(found["_x"]).T, 6)
+        n = min(k, found.num_rows)
+        at = np.argsort(-score, axis=1, kind="stable")[:, :n]  # ties by key
+        rows = np.repeat(np.arange(len(score)), n)
+        return pa.table({"_q": asked["_q"].take(pa.array(rows)), "_v": found["_v"].take(pa.array(at.ravel())), "score": pa.array(score[rows, at.ravel()])})
+
+    kinds = f"_q {left.schema['_q'].dataType.simpleString()}, _v {right.schema['_v'].dataType.simpleString()}, score double"
+    met = left.groupBy("_block", "_slot").cogroup(right.groupBy("_block", "_slot")).applyInArrow(best, kinds)
+    return top_rows(met.select(F.col("_q").alias(query_id), F.col("_v").alias(key), "score"), k, [key], [query_id])

@@ -244,3 +244,9 @@ def search_columns(chunks: DataFrame) -> DataFrame:
             "term_search_text": T.search_text(F.col("content"), F.col("section_path")), "content_lexical_text": T.lexical_text(F.col("content")), "path_lexical_text": T.lexical_text(F.concat_ws(" ", "source_file_name", "section_path")),
         }
     )
+
+
+def inventory(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Chunks, documents and chunks per document of each group, whatever sections and signals a query names."""
+    n, d = F.count(F.lit(1)), F.count_distinct("document_id")
+    return chunks.groupBy(*by).agg(n.alias("n_chunks"), d.alias("n_documents"), F.round(n / d, 4).alias("chunks_per_document"))

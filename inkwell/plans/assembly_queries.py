@@ -14,13 +14,13 @@ from ..operators.chunking import chunk_table
 from ..sources import scans as X
 from .operations_queries import LIBRARY, library
 from .registry import query, table
-from .search_queries import CHUNKS, HYBRID, KEYS, asked
+from .search_queries import CHUNKS, HYBRID, KEYS, asked, corpus
 
 ESTIMATE = r"CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, floor(greatest(len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]')) / 1.5 + (length(content) - length(regexp_replace(content, '[A-Za-z0-9_]', '', 'g'))) / 4.0 + (length(regexp_replace(content, '[A-Za-z0-9_]', '', 'g')) - len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]'))) / 3.0, length(content) / 2.5))) END"
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(table(spark, sf, "documents"))
+    chunks = corpus(spark, sf)
     return S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content", F.col("chunk_no").alias("sort_order"), F.concat(F.lit("doc_"), "document_id", F.lit(".txt")).alias("source_file_name")), KEYS)
 
 

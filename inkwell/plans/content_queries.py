@@ -13,6 +13,7 @@ from ..operators import structure as R
 from ..operators import tables as B
 from ..operators.chunking import chunk_table, lines_of, surrounding
 from ..sources import scans as X
+from ..sources.store import written
 from .registry import query, table
 from .search_queries import CHUNKS, STOP, tokens_sql
 
@@ -138,8 +139,8 @@ edges AS (SELECT least(a, b) AS source, greatest(a, b) AS target, n_shared, roun
 
 
 def _keywords(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    chunks = chunk_table(table(spark, sf, "documents"))
-    keys = G.chunk_keywords(chunks)
+    chunks = written(chunk_table(table(spark, sf, "documents")))
+    keys = written(G.chunk_keywords(chunks))
     return keys, G.top_keywords(keys, chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks")))
 
 
@@ -151,8 +152,9 @@ def doc_keywords(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{EDGES} SELECT * FROM edges")
 def doc_graph(spark: SparkSession, sf: str) -> DataFrame:
     keys, top = _keywords(spark, sf)
+    full, top = written(keys.select("document_id", "keyword").distinct()), written(top.select("document_id", "keyword"))
     order = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("published_at"))
-    return G.edges(keys.select("document_id", "keyword").distinct(), top.select("document_id", "keyword"), order)
+    return G.edges(full, top, order)
 
 
 @query(f"""{EDGES}, ends AS (SELECT source AS node, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)

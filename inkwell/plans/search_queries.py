@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import filters as L
 from ..operators import search as S
 from ..operators.chunking import chunk_table, packed_lines
+from ..sources.store import written
 from .registry import query, table
 
 KEYS = ["document_id", "chunk_no"]
@@ -91,6 +92,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk table, made once."""
+    return written(chunk_table(docs(spark, sf)))
+
+
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -119,8 +125,8 @@ def token_profile(spark: SparkSession, sf: str) -> DataFrame:
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id, chunk_no) - 1 AS rank0 FROM content QUALIFY rank0 < 10)
 SELECT b.query_id, b.document_id, b.chunk_no, b.rank0, round(b.score, 6) AS score, c.chunk_id, c.section_path FROM best b JOIN chunks c USING (document_id, chunk_no)""")
 def bm25_content(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(docs(spark, sf))
-    scored = S.bm25(S.postings(chunks, F.col("content"), KEYS), S.query_terms(asked(spark, sf)), KEYS).withColumn("score", F.round("score", 9))
+    chunks = corpus(spark, sf)
+    scored = S.bm25(written(S.postings(chunks, F.col("content"), KEYS)), S.query_terms(asked(spark, sf)), KEYS).withColumn("score", F.round("score", 9))
     best = S.top_rows(scored, 10, KEYS).withColumn("score", F.round("score", 6))
     return L.cited(best.join(chunks.select(*KEYS, "chunk_id", "section_path"), KEYS)).drop("citation")
 
@@ -128,7 +134,7 @@ def bm25_content(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, {TERMS}, {TERM_SEARCH}
 SELECT query_id, document_id, chunk_no, rank0, score FROM {ranked_sql("term", 10)}""")
 def term_search(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(docs(spark, sf))
+    chunks = corpus(spark, sf)
     hits = S.term_hits(chunks, F.concat_ws("\n", F.col("content"), F.col("path")), asked(spark, sf), KEYS)
     return S.top_rows(hits, 10, KEYS)
 
@@ -143,7 +149,7 @@ def overlap_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{HYBRID} SELECT query_id, document_id, chunk_no, rank0, score FROM best")
 def hybrid_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    return S.hybrid(chunk_table(docs(spark, sf)), asked(spark, sf))
+    return S.hybrid(corpus(spark, sf), asked(spark, sf))
 
 
 @query(f"""{HYBRID}, sections AS (
@@ -153,7 +159,7 @@ SELECT *, CASE WHEN max(score) OVER w <= 0 THEN 0 WHEN max(score) OVER w = min(s
   ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS norm_score FROM sections WINDOW w AS (PARTITION BY query_id)""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Fused rows merged by section, with scores from 0 to 1."""
-    chunks = chunk_table(docs(spark, sf))
+    chunks = corpus(spark, sf)
     best = S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content"), KEYS)
     out = S.normalised(S.same_section(best, KEYS, F.col("section_path")), ["query_id"])
     return out.withColumn("content_sha", F.sha2("content", 256)).drop("content")
@@ -162,13 +168,13 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{HYBRID}, counts AS (SELECT query_id, document_id, count(*) AS n_rows FROM best GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_rows DESC, document_id) - 1 AS rank0 FROM counts QUALIFY rank0 < 5""")
 def top_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return S.top_documents(S.hybrid(chunk_table(docs(spark, sf)), asked(spark, sf)))
+    return S.top_documents(S.hybrid(corpus(spark, sf), asked(spark, sf)))
 
 
 @query(f"""{HYBRID}, firsts AS (SELECT b.query_id, b.document_id, c.section_path, min(b.rank0) AS r FROM best b JOIN chunks c USING (document_id, chunk_no)
 WHERE c.section_path <> 'Root' GROUP BY ALL) SELECT query_id, document_id, string_agg(section_path, '|' ORDER BY r, section_path) AS paths FROM firsts GROUP BY ALL""")
 def discovery_signals(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(docs(spark, sf))
+    chunks = corpus(spark, sf)
     best = S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "section_path"), KEYS)
     return S.discovery_signals(best).withColumn("paths", F.array_join("paths", "|"))
 
@@ -188,8 +194,8 @@ def multi_query_workflow(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.assembly import union_references
 
     steps = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("parent_id"), F.col("turn").alias("step_id"), F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
-    chunks = chunk_table(docs(spark, sf))
-    scored = S.bm25(S.postings(chunks, F.col("content"), KEYS), S.query_terms(steps), KEYS).withColumn("score", F.round("score", 9))
+    chunks = corpus(spark, sf)
+    scored = S.bm25(written(S.postings(chunks, F.col("content"), KEYS)), S.query_terms(steps), KEYS).withColumn("score", F.round("score", 9))
     best = S.top_rows(scored, 3, KEYS).join(steps.select("query_id", "parent_id", "step_id"), "query_id")
     return union_references(best, KEYS).select("parent_id", *KEYS, "step_id", "position")
 
