@@ -3,41 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir, written  # noqa: F401
+
 #: The six characters that the contracts call white space, as a Java class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("inkwell.local.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="inkwell-")
-            spark.conf.set("inkwell.local.dir", base)
-    return f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table written in the shared folder: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def named(name: str) -> Column:
     """The column of just this name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
