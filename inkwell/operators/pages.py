@@ -151,3 +151,13 @@ def shard_errors(plan: DataFrame, most: int) -> DataFrame:
 def page_lines(docs: DataFrame, key: str, text: str, per_page: int = 40) -> DataFrame:
     """Lines of texts dealt to pages of per_page lines."""
     return lines_of(docs, key, text).select(key, (F.floor(F.col("line_no") / per_page) + 1).cast("int").alias("page"), "line_no", "line")
+
+
+def toc_pages(lines: DataFrame, areas: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """Pages that hold lines of contents areas (first_line, last_line): a line is on the page of the last marker
+    <!-- page n --> at or before it; lines before the first marker are on page 1."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.regexp_extract("line", r"(?i)^\s*<!--\s*page\s+(\d+)\s*-->", 1).try_cast("int")
+    rows = lines.select(key, order, mark.alias("_mark")).withColumn("page", F.coalesce(F.last("_mark", True).over(w), F.lit(1))).filter("_mark is null").alias("l")
+    inside = (F.col(f"l.{key}") == F.col(f"a.{key}")) & F.col(f"l.{order}").between(F.col("a.first_line"), F.col("a.last_line"))
+    return rows.join(areas.alias("a"), inside, "left_semi").select(key, "page").distinct()

@@ -287,3 +287,13 @@ def predicted_titles(lines: DataFrame, titles: DataFrame | None = None, key: str
     return without_single_leaves(rows.filter("level > 0").select(key, order, "title", "level"), key, order)
 
 
+
+
+def labelled_areas(blocks: DataFrame, key: str = "doc_id", order: str = "block_no", label: str = "toc") -> DataFrame:
+    """Contents areas from the layout's labels: runs of blocks with that label (whatever its case), an entry per filled line."""
+    w = Window.partitionBy(key).orderBy(order)
+    is_ = F.lower(T.text_or_empty(F.col("label"))) == label
+    new = (is_ & ~F.coalesce(F.lag(is_).over(w), F.lit(False))).cast("int")
+    rows = blocks.withColumn("_is", is_).withColumn("_new", new).withColumn("area", F.sum("_new").over(_before(key, order))).filter("_is")
+    entries = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
+    return rows.select(key, "area", order, F.posexplode(entries).alias("entry_no", "entry"))

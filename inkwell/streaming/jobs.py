@@ -135,3 +135,10 @@ def publishing(spark: SparkSession, path: str) -> Callable[[DataFrame, int], Non
         published(old, new.select(*old.columns)).write.mode("overwrite").parquet(f"{path}/version={batch}")
 
     return write
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upserting and publishing keep below path, as its last batch left it."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == F.lit(last)).drop("version")
