@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .filters import SEP, section_parts
+from .search import rows_holding
 
 
 def union_references(rows: DataFrame, keys: list[str], parent: str = "parent_id", step: str = "step_id", rank: str = "rank0") -> DataFrame:
@@ -22,7 +23,7 @@ def citations(items: DataFrame, chunks: DataFrame, item: str, keys: list[str], g
     A citation of several words stands in a text only with its run of `gram` words (all its words, if fewer)
     that follows its first word; runs of words are joined first, then containment is checked. The first
     and last word may be parts of longer ones, so they are left out of the run. Citations of fewer than three words
-    are compared with all chunks.
+    find chunks by the words that hold their longest one.
     """
     norm = lambda c: F.trim(F.regexp_replace(T.text_or_empty(c), r"\s+", " "))
     own = items.select(item, norm(F.col("citation")).alias("_cite")).filter("_cite <> ''").withColumn("_words", F.split("_cite", " "))
@@ -35,7 +36,7 @@ def citations(items: DataFrame, chunks: DataFrame, item: str, keys: list[str], g
     met = runs.join(long.select(item, "_cite", "_run"), "_run").select(item, "_cite", *keys).distinct()
     got = met.join(rows.select(*keys, "_norm"), keys).filter(F.contains("_norm", "_cite")).select(item, *keys)
     few = keyed.filter("_size < 1")
-    return got.unionByName(rows.join(F.broadcast(few), F.contains("_norm", "_cite")).select(item, *keys))
+    return got.unionByName(rows_holding(rows, F.col("_norm"), few, keys, item, F.col("_cite")))
 
 
 def connected(rows: DataFrame, chunks: DataFrame, scope: tuple[str, ...] = ("document_id", "revision_id")) -> DataFrame:
@@ -135,12 +136,18 @@ def asset_owners(chunks: DataFrame) -> DataFrame:
 
 
 def entry_documents(queries: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents whose section titles or paths hold the query; queries without any look into contents."""
+    """Documents whose section titles or paths hold the query; queries without any look into contents.
+
+    Titles end their paths, so paths are searched, each different one once; texts are found by their words.
+    """
     low = lambda c: F.lower(T.text_or_empty(F.col(c)))
-    asked = F.broadcast(queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''"))
-    by_title = sections.join(asked, F.contains(low("section_title"), F.col("_q")) | F.contains(low("section_path"), F.col("_q"))).select("query_id", "document_id", F.lit("title").alias("via")).distinct()
+    asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''")
+    names = F.array(low("section_path"), low("section_title"))
+    named = sections.select("document_id", F.explode(F.array_distinct(names)).alias("_name")).distinct()
+    met = rows_holding(named.select("_name").distinct(), F.col("_name"), asked, ["_name"], "query_id", F.col("_q"))
+    by_title = named.join(met, "_name").select("query_id", "document_id", F.lit("title").alias("via")).distinct()
     rest = asked.join(by_title.select("query_id").distinct(), "query_id", "left_anti")
-    by_text = chunks.join(F.broadcast(rest), F.contains(low("content"), F.col("_q"))).select("query_id", "document_id", F.lit("content").alias("via")).distinct()
+    by_text = rows_holding(chunks, low("content"), rest, ["document_id", "chunk_id"], "query_id", F.col("_q")).select("query_id", "document_id", F.lit("content").alias("via")).distinct()
     return by_title.unionByName(by_text)
 
 

@@ -150,11 +150,15 @@ def sliding_rate(requests: DataFrame, seconds: int = 60) -> DataFrame:
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def stale_jobs(events: DataFrame, as_of: Column, long_hours: int = 4, short_hours: int = 2) -> DataFrame:
-    """Jobs whose last event is active and older than allowed: running and converting ones may take long."""
+def stale_jobs(events: DataFrame, as_of: Column | None = None, long_hours: int = 4, short_hours: int = 2) -> DataFrame:
+    """Jobs whose last event is active and older than allowed: running and converting ones may take long. Without as_of
+    the time is that of the last event of all."""
     last = events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts"))
     limit = F.when(F.col("status").isin("running", "converting"), F.expr(f"interval {long_hours} hours")).otherwise(F.expr(f"interval {short_hours} hours"))
-    return last.filter(~F.col("status").isin(*TERMINAL)).filter(F.col("ts") < as_of - limit).withColumn("new_status", F.lit("failed"))
+    if as_of is None:
+        last = last.crossJoin(F.broadcast(events.agg(F.max("ts").alias("_now"))))  # one row
+    old = F.col("ts") < (F.col("_now") if as_of is None else as_of) - limit
+    return last.filter(~F.col("status").isin(*TERMINAL)).filter(old).drop("_now").withColumn("new_status", F.lit("failed"))
 
 
 def orphans(sent: DataFrame, answers: DataFrame, minutes: int = 5) -> DataFrame:

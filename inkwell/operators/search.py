@@ -116,7 +116,7 @@ def rows_holding(rows: DataFrame, text: Column, items: DataFrame, keys: list[str
     """
     own = rows.select(*keys, text.alias("_low"))
     asked = items.select(item, wanted.alias("_whole")).filter(F.trim("_whole") != "")
-    longest = F.element_at(F.array_sort(F.transform(F.filter(F.split(F.trim("_whole"), r"\s+"), lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    longest = F.try_element_at(F.array_sort(F.transform(F.filter(F.split(F.trim("_whole"), r"\s+"), lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
     asked = asked.withColumn("_token", longest)
     words = own.select(*keys, F.explode(F.array_distinct(F.split("_low", r"\s+"))).alias("_word"))
     inside = words_holding(words.select("_word").distinct(), asked.select("_token").distinct())

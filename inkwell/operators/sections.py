@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 from .filters import SEP, ancestors, section_parts
 
 DOC = ["document_id"]
@@ -174,11 +175,11 @@ def plan_levels(steps: DataFrame, needs: DataFrame, most: int = 20) -> DataFrame
     """steps(plan_id, step_id), needs(plan_id, step_id, needed) -> level of each step, null for steps in or behind a
     cycle or behind a missing step; duplicate ids are marked."""
     rows = steps.groupBy("plan_id", "step_id").agg((F.count(F.lit(1)) > 1).alias("duplicate"))
-    done = rows.join(needs.select("plan_id", "step_id").distinct(), ["plan_id", "step_id"], "left_anti").select("plan_id", "step_id", F.lit(0).alias("level"))
+    done = written(rows.join(needs.select("plan_id", "step_id").distinct(), ["plan_id", "step_id"], "left_anti").select("plan_id", "step_id", F.lit(0).alias("level")))
     for level in range(1, most):
         open_ = needs.join(done.select("plan_id", F.col("step_id").alias("needed"), F.lit(1).alias("_ok")), ["plan_id", "needed"], "left")
         ready = open_.groupBy("plan_id", "step_id").agg(F.min(F.coalesce("_ok", F.lit(0))).alias("_all")).filter("_all = 1").select("plan_id", "step_id")
-        new = ready.join(done, ["plan_id", "step_id"], "left_anti").withColumn("level", F.lit(level))
+        new = written(ready.join(done, ["plan_id", "step_id"], "left_anti").withColumn("level", F.lit(level)))  # each level is made once
         if new.isEmpty():
             break
         done = done.unionByName(new)

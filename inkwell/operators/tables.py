@@ -200,12 +200,14 @@ def sheet_names(sheets: DataFrame, workbook: str = "workbook", sheet: str = "she
     return sheets.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 1, F.concat(F.trim(sheet), F.lit("_"), F.col("_n"))).otherwise(F.trim(sheet))).drop("_n")
 
 
-def sampled_rows(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The first, middle (by least hash) and last n rows of tables with more than 3n + 1 rows; others whole."""
+def sampled_rows(rows: DataFrame, keys: list[str], order: str, n: int, draw: Column | None = None) -> DataFrame:
+    """The first, middle (those with the least draw, a hash by default) and last n rows of tables with more than 3n + 1 rows;
+    others whole. Tables are bounded by their format."""
+    draw = F.xxhash64(order) if draw is None else draw
     w, t = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     ranked = rows.withColumn("_i", F.row_number().over(t)).withColumn("_k", F.count(F.lit(1)).over(w))
     ends = (F.col("_i") <= n) | (F.col("_i") > F.col("_k") - n)
-    mid = ranked.withColumn("_end", ends).withColumn("_h", F.row_number().over(Window.partitionBy(*keys, "_end").orderBy(F.xxhash64(order), order)))
+    mid = ranked.withColumn("_end", ends).withColumn("_h", F.row_number().over(Window.partitionBy(*keys, "_end").orderBy(draw, order)))
     return mid.filter((F.col("_k") <= 3 * n + 1) | F.col("_end") | (F.col("_h") <= n)).drop("_i", "_k", "_end", "_h")
 
 

@@ -77,18 +77,11 @@ def shape_digests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.shape_digest(F.col("text"), F.lit(10), T.listed(F.array("source", "lang"))).alias("digest"))
 
 
-@query("""WITH k AS (SELECT source, count(*) AS k FROM documents GROUP BY source), r AS (SELECT source AS document_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
-SELECT document_id, doc_id, i <= 5 OR i > n - 5 AS edge FROM r WHERE n <= 16 OR i <= 5 OR i > n - 5""")
+@query("""WITH r AS (SELECT o_custkey AS table_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+e AS (SELECT *, i <= 3 OR i > n - 3 AS edge FROM r), h AS (SELECT *, row_number() OVER (PARTITION BY table_id, edge ORDER BY o_orderkey * 7919 % 1009, o_orderkey) AS h FROM e) SELECT table_id, o_orderkey FROM h WHERE n <= 10 OR edge OR h <= 3""")
 def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The head and tail rows that a table's sample always holds (its middle is drawn by hash)."""
-    from pyspark.sql import Window
-
+    """Head, middle and tail of each customer's orders; the middle is drawn by a hash that SQL has, too."""
     from ..operators.tables import sampled_rows
 
-    rows = table(spark, sf, "documents").select(F.col("source").alias("document_id"), "doc_id")
-    w = Window.partitionBy("document_id")
-    n = F.count(F.lit(1)).over(w)
-    i = F.row_number().over(w.orderBy("doc_id"))
-    ends = rows.withColumn("edge", (i <= 5) | (i > n - 5)).withColumn("_n", n)
-    picked = sampled_rows(rows, ["document_id"], "doc_id", 5)
-    return ends.join(picked, ["document_id", "doc_id"], "left_semi").filter("edge or _n <= 16").drop("_n")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("table_id"), "o_orderkey")
+    return sampled_rows(rows, ["table_id"], "o_orderkey", 3, F.col("o_orderkey") * 7919 % 1009)

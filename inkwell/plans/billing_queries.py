@@ -152,7 +152,7 @@ def live_hits(spark: SparkSession, sf: str) -> DataFrame:
     return J.latest_version(spark, f"{path}/hits")
 
 
-@query("""WITH r AS (SELECT o_custkey AS document_id, o_orderkey AS revision_id, o_orderdate AS made FROM orders), b AS (SELECT document_id, max_by(revision_id, (made, revision_id)) AS revision_id FROM r GROUP BY ALL) SELECT b.document_id, b.revision_id, l_orderkey * 8 + l_linenumber AS chunk_id FROM b JOIN lineitem ON l_orderkey = b.revision_id""")
+@query("""WITH r AS (SELECT o_custkey AS document_id, o_orderkey AS revision_id, o_orderdate AS made FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), b AS (SELECT document_id, max_by(revision_id, (made, revision_id)) AS revision_id FROM r GROUP BY ALL) SELECT b.document_id, b.revision_id, l_orderkey * 8 + l_linenumber AS chunk_id FROM b JOIN lineitem ON l_orderkey = b.revision_id""")
 def live_publication(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed chunks arrive in a stream; of each document the revision of the newest job stays."""
     path = shared_dir(spark)

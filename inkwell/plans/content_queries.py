@@ -99,15 +99,16 @@ def text_grep(spark: SparkSession, sf: str) -> DataFrame:
 # --- tables ------------------------------------------------------------------------------------------
 
 
-@query("""WITH v AS (SELECT n_regionkey AS table_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, n_name) AS "row", n_nationkey::VARCHAR AS a, n_name AS b FROM nation)
-SELECT table_id, 0 AS "row", c AS col, ['n_nationkey', 'n_name'][c + 1] AS value FROM (SELECT DISTINCT n_regionkey AS table_id FROM nation), (SELECT unnest([0, 1]) AS c)
-UNION ALL SELECT table_id, "row", 0, a FROM v UNION ALL SELECT table_id, "row", 1, b FROM v""")
+@query("""WITH v AS (SELECT o_custkey AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS "row", o_orderkey::VARCHAR AS a, o_orderpriority AS b FROM orders)
+SELECT table_id, 0 AS "row", c AS col, ['key', 'priority'][c + 1] AS value FROM (SELECT DISTINCT o_custkey AS table_id FROM orders), (SELECT unnest([0, 1]) AS c)
+UNION ALL SELECT table_id, "row", 0, a FROM v UNION ALL SELECT table_id, "row", 1, CASE WHEN a::BIGINT % 5 = 0 THEN '' ELSE b END FROM v""")
 def pipe_table_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """nation written as pipe tables, one per region, and read again."""
-    rows = table(spark, sf, "nation").select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", "n_name")
-    line = F.concat(F.lit("| "), F.col("n_nationkey"), F.lit(" | "), F.col("n_name"), F.lit(" |"))
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("b"))
-    text = body.select("doc_id", F.concat(F.lit("intro\n| n_nationkey | n_name |\n|---|---|\n"), "b", F.lit("\nend")).alias("text"))
+    """Each customer's orders written as a pipe table and read again; some rows are too short, others too long."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderpriority")
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("| "), k, F.when(k % 5 == 0, F.lit(" |")).otherwise(F.concat(F.lit(" | "), "o_orderpriority", F.lit(" |"))), F.when(k % 7 == 1, F.lit(" more |")).otherwise(F.lit("")))
+    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(k % 5 == 0, F.concat(F.lit("| "), k, F.lit(" |"))).otherwise(line).alias("l")))), lambda x: x["l"]), "\n").alias("b"))
+    text = body.select("doc_id", F.concat(F.lit("intro\n| key | priority |\n|---|---|\n"), "b", F.lit("\nend")).alias("text"))
     return B.pipe_cells(lines_of(text)).select(F.col("doc_id").alias("table_id"), "row", "col", "value")
 
 
@@ -119,11 +120,13 @@ def header_region(spark: SparkSession, sf: str) -> DataFrame:
     return B.header_region(B.unpivoted(n, "table_id").unionByName(B.unpivoted(s, "table_id")), ["table_id"])
 
 
-@query("""SELECT n_regionkey AS table_id, 'n_nationkey;n_name' AS keywords FROM nation GROUP BY n_regionkey""")
+@query("""WITH h AS (SELECT l_orderkey AS table_id, CASE l_linenumber % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'p' || l_suppkey % 5 WHEN 2 THEN 'Unnamed: 3' ELSE l_returnflag END AS header, l_linenumber AS col FROM lineitem),
+d AS (SELECT table_id, header, min(col) AS col FROM h WHERE trim(header) <> '' AND header <> 'nan' AND NOT starts_with(header, 'Unnamed') GROUP BY ALL) SELECT table_id, string_agg(header, ';' ORDER BY col, header) AS keywords FROM d GROUP BY table_id""")
 def table_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("table_id"), "n_nationkey", "n_name")
-    heads = B.unpivoted(n, "table_id").filter("row = 0").withColumnRenamed("value", "header")
-    return B.keywords(heads, ["table_id"])
+    """Lines of an order as header cells, some without a real name."""
+    k = F.col("l_linenumber") % 4
+    header = F.when(k == 0, "nan").when(k == 1, F.concat(F.lit("p"), F.col("l_suppkey") % 5)).when(k == 2, "Unnamed: 3").otherwise(F.col("l_returnflag"))
+    return B.keywords(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), header.alias("header"), F.col("l_linenumber").alias("col")), ["table_id"])
 
 
 # --- keywords, graph, canonical records ----------------------------------------------------------------

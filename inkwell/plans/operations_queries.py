@@ -204,9 +204,7 @@ def job_log(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH l AS (SELECT job_id, max_by(status, (ts, status)) AS status, max(ts) AS ts FROM {JOBLOG} GROUP BY job_id), t AS (SELECT max(ts) AS now FROM events)
 SELECT job_id, status, ts, 'failed' AS new_status FROM l, t WHERE status NOT IN ('done', 'failed') AND ts < now - CASE WHEN status IN ('running', 'converting') THEN INTERVAL 4 HOUR ELSE INTERVAL 2 HOUR END""")
 def stale_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    log = job_log(spark, sf)
-    now = log.agg(F.max("ts").alias("_now"))
-    return M.stale_jobs(log.crossJoin(F.broadcast(now)).withColumn("job_id", F.col("job_id")), F.lit(log.agg(F.max("ts")).first()[0]))
+    return M.stale_jobs(job_log(spark, sf))
 
 
 @query("""WITH k AS (SELECT *, user_id AS key FROM events), kinds AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events)

@@ -239,9 +239,11 @@ def citation_containment(spark: SparkSession, sf: str) -> DataFrame:
     return citations(items, chunk_table(docs(spark, sf)), "item_id", KEYS).groupBy("item_id", "document_id").agg(F.min("chunk_no").alias("chunk_no"))
 
 
-@query("""SELECT sha256(text) AS semantic_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1""")
+@query("""SELECT sha256(text) AS semantic_hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1""")
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).groupBy(F.sha2("text", 256).alias("semantic_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    from ..sources.scans import duplicate_groups
+
+    return duplicate_groups(docs(spark, sf))
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

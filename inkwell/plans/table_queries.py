@@ -279,3 +279,30 @@ def sheet_parts(spark: SparkSession, sf: str) -> DataFrame:
     c = order_cells(spark, sf)
     big = c.groupBy("table_id").agg(F.max("row").alias("_m")).filter("_m >= 8").select("table_id")
     return B.sheet_parts(c.join(big, "table_id").filter("row <> 4 and trim(value) <> ''"), ["table_id"]).select("table_id", "row", "col", "part")
+
+
+# --- provider records --------------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id AS record_id, source AS repository_id, 'dir.x/f' || doc_id || {SUFFIX_SQL} AS path, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 8 = 3 THEN 'python' WHEN doc_id % 8 = 7 THEN 'markdown' ELSE 'unknown' END AS language,
+sha256(coalesce(text, '')) AS checksum, strlen(coalesce(text, '')) AS size_bytes FROM documents""")
+def adapted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider files: every second one tells its language, the others' follows from the suffix."""
+    d = table(spark, sf, "documents").join(named_files(spark, sf), "doc_id")
+    rows = d.select(F.col("doc_id").alias("record_id"), F.col("source").alias("repository_id"), "path", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    return X.adapted(rows, "file").select("record_id", "repository_id", "path", "language", "checksum", "size_bytes")
+
+
+@query("""SELECT doc_id AS record_id, sha256(coalesce(text, '')) AS text_sha, 'code' AS chunk_type, 0 AS ordering, CASE WHEN doc_id % 2 = 0 THEN doc_id || ':1-' || (doc_id + 3) || ':1' ELSE '1:1-' || (doc_id + 3) || ':1' END AS location FROM documents""")
+def adapted_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider chunks that call their text content, some without a start line."""
+    d = table(spark, sf, "documents")
+    rows = d.select(F.col("doc_id").alias("record_id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("start_line"), (F.col("doc_id") + 3).alias("end_line"))
+    return X.adapted(rows, "chunk").select("record_id", F.sha2("text", 256).alias("text_sha"), "chunk_type", "ordering", "location")
+
+
+@query("""SELECT event_id AS record_id, 's' || user_id AS source_id, '' AS target_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown' END AS type, value AS weight FROM events""")
+def adapted_links(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    rows = e.select(F.col("event_id").alias("record_id"), F.concat(F.lit("s"), "user_id").alias("source_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("type"), F.col("value").alias("weight"))
+    return X.adapted(rows, "relationship").select("record_id", "source_id", "target_id", "type", "weight")

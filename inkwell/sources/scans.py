@@ -115,20 +115,45 @@ def from_canonical(values: DataFrame, schema: str, body: str = "value") -> tuple
     return rows, bad
 
 
-#: For each kind of record the columns and, in order of priority, the names that providers use (fixed values).
-ALIASES = {
-    "file": {"path": ["path", "file_path", "filepath", "relative_path"], "language": ["language", "lang"], "size": ["size", "file_size"], "hash": ["hash", "content_hash", "sha"]},
-    "symbol": {"name": ["name", "symbol", "symbol_name"], "qualified_name": ["qualified_name", "fqn", "full_name", "name"], "kind": ["kind", "type", "symbol_type"], "signature": ["signature"], "visibility": ["visibility", "access"]},
-    "chunk": {"text": ["text", "content", "body", "code"], "start_line": ["start_line", "line_start", "begin_line"], "end_line": ["end_line", "line_end"], "parent": ["parent", "parent_symbol", "symbol"]},
-    "relationship": {"source": ["source", "source_id", "from"], "target": ["target", "target_id", "to"], "type": ["type", "kind", "relation"], "confidence": ["confidence", "score", "weight"]},
-}
+#: For each kind of record its columns: the names that providers use, in order of priority, and the default (fixed values).
+FIELDS = {
+    "file": {"repository_id": (["repository_id"], None), "path": (["path"], ""), "content": (["content"], ""), "language": (["language"], None)},
+    "symbol": {
+        "name": (["name"], ""), "qualified_name": (["qualified_name"], ""), "repository_id": (["repository_id"], ""), "file_id": (["file_id"], ""), "kind": (["kind"], "unknown"), "scope": (["scope"], ""),
+        "signature": (["signature"], ""), "documentation": (["documentation"], ""),
+    },
+    "chunk": {"text": (["text", "content"], ""), "repository_id": (["repository_id"], ""), "file_id": (["file_id"], ""), "chunk_type": (["chunk_type"], "code"), "ordering": (["ordering"], 0)},
+    "relationship": {"source_id": (["source_id"], ""), "target_id": (["target_id"], ""), "type": (["type"], "unknown"), "repository_id": (["repository_id"], ""), "weight": (["weight"], None)},
+}
+PLACES = ("start_line", "start_column", "end_line", "end_column")
 
 
 def adapted(records: DataFrame, kind: str) -> DataFrame:
-    """Provider records under their canonical names: of the names present, the first value that is not null."""
+    """Provider records as canonical entities: of the names present the first value that is not null, else the default.
+
+    Files get the language of their suffix where none is given, the size and the SHA-256 of their UTF-8 content; symbols and
+    chunks get their place (lines and columns from 1) as location. provider and record_id stay.
+    """
     columns = set(records.columns)
-    out = [F.coalesce(*[F.col(n) for n in names if n in columns]).alias(c) if any(n in columns for n in names) else F.lit(None).cast("string").alias(c) for c, names in ALIASES[kind].items()]
-    return records.select(*[c for c in ("provider", "record_id") if c in columns], *out)
+
+    def value(names: list[str], default) -> Column:
+        here = [F.col(n) for n in names if n in columns]
+        return F.coalesce(*here, F.lit(default)) if default is not None else F.coalesce(*here) if here else F.lit(None).cast("string")
+
+    out = {c: value(names, default) for c, (names, default) in FIELDS[kind].items()}
+    if kind == "file":
+        content = out.pop("content")
+        out["language"] = F.coalesce(out["language"], code_language(out["path"]))
+        out |= {"checksum": F.sha2(content, 256), "size_bytes": F.octet_length(content).cast("long")}
+    elif kind in ("symbol", "chunk"):
+        out["location"] = T.location_text(*[value([c], 1) for c in PLACES])
+    return records.select(*[c for c in ("provider", "record_id") if c in columns], *[v.alias(c) for c, v in out.items()])
+
+
+def duplicate_groups(chunks: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Texts that several rows of any file or provider hold: semantic hash, number, least key."""
+    rows = chunks.select(F.sha2(F.col(text), 256).alias("semantic_hash"), F.col(key).alias("first_id")).filter("semantic_hash is not null")
+    return rows.groupBy("semantic_hash").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id")).filter("n > 1")
 
 
 def canonical_chunks(chunks: DataFrame) -> DataFrame:
