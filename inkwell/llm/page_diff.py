@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Fixed values of HTML: elements whose content is not text, elements without content, and inline elements.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "title", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -25,7 +27,8 @@ NAMES = set(
 MAIN = {"article", "main"}
 #: Ranges of the URL order: so many per shuffle partition, so many at most; pages drawn to place their bounds (by hash).
 SPREAD, RANGES, SAMPLE = 4, 4096, 16384
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What ends a tag's name, and what ends its attributes or opens a quoted one.
+NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -50,29 +53,124 @@ def _frames(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Tags:
+    """The tags, comments and declarations of a page, one by one: (begin, end, literal text, closing, name, attributes).
+
+    A tag ends at the first > outside quotes; < without such an end is text. What a failed search met is remembered, so
+    that the work grows with the page, whatever it holds.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.last_literal = page, page.rfind(">"), page.rfind("]]>")
+        self.name_end = -1
+        self.dead: set[int] = set()  # opening quotes from which no end is reached
+
+    def after(self, at: int) -> tuple[int, int, str | None, bool, str | None, str] | None:
+        while (start := self.page.find("<", at)) >= 0:
+            found = self._at(start)
+            if found:
+                return found
+            at = start + 1
+        return None
+
+    def _at(self, start: int) -> tuple[int, int, str | None, bool, str | None, str] | None:
+        page = self.page
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, end + 3 if end >= 0 else len(page), None, False, None, ""
+        if page.startswith("<![CDATA[", start) and self.last_literal >= start + 9:
+            end = page.find("]]>", start + 9)
+            return start, end + 3, page[start + 9 : end], False, None, ""
+        if self.last < start:
+            return None
+        if page.startswith(("<!", "<?"), start):
+            return start, page.find(">", start) + 1, None, False, None, ""
+        close = page.startswith("</", start)
+        begin = start + 1 + close
+        if not (page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha()):
+            return None
+        if self.name_end < begin:
+            self.name_end = NAME_END.search(page, begin).start()
+        place, opened = self.name_end, []
+        while mark := MARK.search(page, place):
+            k = mark.start()
+            if page[k] == ">":
+                return start, k + 1, None, close, page[begin : self.name_end], page[self.name_end : k]
+            opened.append(k)
+            place = 0 if k in self.dead else page.find(page[k], k + 1) + 1
+            if not place:
+                break
+        self.dead.update(opened)
+        return None
+
+
+#: Elements that end where the next one begins, and in which they stand.
+SIBLINGS = {"p": (), "li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+
+
+class Open:
+    """The open elements: name, in a frame from here on, in the article from here on."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.number: Counter[str] = Counter()
+
+    def push(self, name: str, frame: bool, main: bool) -> None:
+        self.stack.append((name, frame, main))
+        self.number[name] += 1
+
+    def cut(self, k: int) -> None:
+        for name, _, _ in self.stack[k:]:
+            self.number[name] -= 1
+        del self.stack[k:]
+
+    def inside(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def close(self, name: str) -> None:
+        """Closes the last element of that name; an inline one only within its block."""
+        if self.number[name]:
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] == name:
+                    return self.cut(k)
+                if name in INLINE and self.stack[k][0] not in INLINE:
+                    return None
+        return None
+
+    def end_sibling(self, name: str) -> None:
+        if self.number[name]:
+            for k in range(len(self.stack) - 1, -1, -1):
+                own = self.stack[k][0]
+                if own in SIBLINGS[name] or (name == "p" and own not in INLINE and own != name):
+                    return None
+                if own == name:
+                    return self.cut(k)
+        return None
+
+
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The text blocks of a page in order, each with its place: 2 in the article, 1 elsewhere, 0 in a frame."""
     out: list[tuple[str, int]] = []
     page = page or ""
-    stack: list[tuple[str, bool, bool]] = []  # name, frame from here on, article from here on
+    open_, tags = Open(), Tags(page)
     text: list[str] = []
+    endless: set[str] = set()  # elements whose end was looked for in vain
 
     def flush() -> None:
         if text:
             own = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if own:
-                frame, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                frame, main = open_.inside()
                 out.append((own, 0 if frame else 2 if main else 1))
 
     at = 0
     while at < len(page):
-        found = TOKEN.search(page, at)
-        text.append(page[at : found.start() if found else len(page)])
+        found = tags.after(at)
+        text.append(page[at : found[0] if found else len(page)])
         if not found:
             break
-        at = found.end()
-        literal, close, name, attributes = found.group(1, 2, 3, 4)
+        _, at, literal, close, name, attributes = found
         if literal is not None:
             text.append(html.escape(literal))
         if name is None:
@@ -83,65 +181,99 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         elif name in ("br", "img", "input"):
             text.append(" ")
         if close:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[k:])):
-                del stack[k:]
+            open_.close(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if name == "head" and not end:
+            end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if name == "head" and not end and name not in endless:
                 end = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
+            if not end:
+                endless.add(name)
             if not attributes.rstrip().endswith("/") or end and name in ("script", "style", "title"):
                 at = end.end() if end else (at if name == "head" else len(page))
             continue
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # elements that end where the next one begins
-            stop = {"p": (), "li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stop or (stack[k][0] not in INLINE and stack[k][0] != name and name == "p"):
-                    break
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        frame, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        if name in SIBLINGS:
+            open_.end_sibling(name)
+        frame, main = open_.inside()
         own = _frames(name, attributes, main)
         if name in MAIN and not own and not main:
             frame = False  # an article does not stand in a menu or an advert: that one was left open
-        stack.append((name, frame or own, main or (name in MAIN and not own)))
+        open_.push(name, frame or own, main or (name in MAIN and not own))
     flush()
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of lines, as pairs of places. Equal lines are told apart by
-    their number of occurrence, so that the work grows with the lines, not with their pairs."""
-
-    def numbered(lines: list[str]) -> list[tuple[str, int]]:
-        seen: dict[str, int] = {}
-        out = []
-        for x in lines:
-            seen[x] = n = seen.get(x, 0) + 1
-            out.append((x, n))
-        return out
-
-    where = {x: k for k, x in enumerate(numbered(b))}
-    pairs = [(i, where[x]) for i, x in enumerate(numbered(a)) if x in where]
-    tails: list[int] = []
-    at: list[int] = []
-    back: list[int] = []
-    for n, (_, j) in enumerate(pairs):
-        k = bisect.bisect_left(tails, j)
-        tails[k : k + 1] = [j]
-        at[k : k + 1] = [n]
-        back.append(at[k - 1] if k else -1)
-    out, n = [], at[-1] if at else -1
-    while n >= 0:
-        out.append(pairs[n])
-        n = back[n]
+#: Bits of the table of one alignment; longer ones are halved first.
+TABLE = 1 << 28
+
+
+def _rows(a: list[str], b: list[str]) -> list[int]:
+    """For each prefix of a, a number whose 0 bits mark the places of b where the length of the common subsequence grows."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    all_ = (1 << len(b)) - 1
+    out = [all_]
+    for x in a:
+        v, hit = out[-1], where.get(x, 0)
+        u = v & hit
+        out.append(((v + u) | (v - u)) & all_)
+    return out
+
+
+def _aligned(a: list[str], b: list[str], at: int, to: int) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, counted from at and to. Long tables are cut at half of a, where the
+    lengths of both halves (forward and backward) sum up to the most."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE:
+        half = len(a) // 2
+        ahead, back = _last(a[:half], b), _last(a[half:][::-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: ahead[j] + back[j])
+        return _aligned(a[:half], b[:cut], at, to) + _aligned(a[half:], b[cut:], at + half, to + cut)
+    rows, out = _rows(a, b), []
+    i, j = len(a), len(b)
+    length = len(b) - rows[i].bit_count()
+    while length:
+        mask = (1 << j) - 1
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif j - (rows[i - 1] & mask).bit_count() == length:
+            i -= 1
+        else:
+            i, j, length = i - 1, j - 1, length - 1
+            out.append((at + i, to + j))
     return out[::-1]
 
 
+def _last(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the common subsequence of a with each prefix of b."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    all_ = v = (1 << len(b)) - 1
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & all_
+    out = [0]
+    for bit in bin(v | 1 << len(b))[:2:-1]:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of lines, as pairs of places. Equal ends and lines that only one list has
+    are taken off first; the rest goes bit-parallel, so that the work grows with the product of the lines / 64."""
+    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    m = next((k for k, (x, y) in enumerate(zip(a[n:][::-1], b[n:][::-1], strict=False)) if x != y), min(len(a), len(b)) - n)
+    both = set(a[n : len(a) - m]) & set(b[n : len(b) - m])
+    i, j = ([k for k in range(n, len(own) - m) if own[k] in both] for own in (a, b))
+    middle = _aligned([a[k] for k in i], [b[k] for k in j], 0, 0)
+    return [(k, k) for k in range(n)] + [(i[x], j[y]) for x, y in middle] + [(len(a) - m + k, len(b) - m + k) for k in range(m)]
+
+
 def main_text(parts: list[tuple[str, int]], shared: set[int]) -> str:
     """The article's blocks and, of those outside article and frames, the ones that the nearest pages don't share."""
     return "\n".join(t for k, (t, place) in enumerate(parts) if place == 2 or (place == 1 and k not in shared))
@@ -200,7 +332,7 @@ def _ranges(rows: DataFrame) -> DataFrame:
             own = [hashlib.blake2b(repr(blocks(x)).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["_part", "_order", "_digest"])
 
-    each = placed.filter("_host <> ''").select("_part", "_order", "_html").mapInArrow(digests, f"_part int, _order {kind}, _digest binary")
+    each = placed.filter("_host <> ''").select("_part", "_order", "_html").mapInArrow(lean(digests), f"_part int, _order {kind}, _digest binary")
     each = each.groupBy("_part", "_digest").agg(F.min("_order").alias("_low"), F.max("_order").alias("_high"))
     rank = lambda by: F.row_number().over(Window.partitionBy("_part").orderBy(by))
     each = each.withColumn("_a", rank(F.col("_low"))).withColumn("_z", rank(F.col("_high").desc())).filter("_a <= 2 or _z <= 2")
@@ -269,4 +401,4 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
             yield emit([last])
 
     ordered = _ranges(rows).repartitionByRange("_part").sortWithinPartitions("_part", "_order")
-    return ordered.select("_key", "_url", "_html", "_host", "_part", "_own").mapInArrow(extract, kinds).select(F.col("_key").alias(key), F.col("_url").alias(url), "text", "n_chars")
+    return ordered.select("_key", "_url", "_html", "_host", "_part", "_own").mapInArrow(lean(extract), kinds).select(F.col("_key").alias(key), F.col("_url").alias(url), "text", "n_chars")

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from inkwell.llm import page_diff
 from inkwell.llm.page_diff import extract_pages
 
@@ -33,3 +38,35 @@ def test_neighbours_over_ranges(spark, monkeypatch):
         monkeypatch.setattr(page_diff, "SPREAD", ranges)
         got = texts(spark, rows)
         assert len(got) == 60 and {k: got[k] for k in want} == want
+
+
+def longest(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+@pytest.mark.parametrize("table", [page_diff.TABLE, 20])
+def test_longest_common_subsequence(monkeypatch, table):
+    """Against the plain table, repeated lines included; with the small limit long alignments are halved."""
+    monkeypatch.setattr(page_diff, "TABLE", table)
+    rng = random.Random(table)
+    assert len(page_diff.common_lines(list("yx"), list("xyx"))) == 2
+    for _ in range(500):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(14))] for _ in range(2))
+        pairs = page_diff.common_lines(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a "' * 200_000 + "'>", "<!-- " * 200_000, "<![CDATA[" * 100_000, "<p " * 300_000, "<div>" * 100_000 + "</b>" * 100_000, "<a<a" * 200_000 + " '", "<head>" * 150_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.perf_counter()
+    page_diff.blocks(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_unclosed_quotes_are_text():
+    assert page_diff.blocks('a <b "x> c') == [('a <b "x> c', 1)] and page_diff.blocks("a <b 'x>'> c") == [("a c", 1)]
