@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -62,4 +63,12 @@ def test_round_trip(spark):
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert samples(stored(payload)) == payload and r.media_sha256 == hashlib.sha256(stored(payload)).hexdigest() and r.media_type == "wav"
+        assert (r.media_offset, r.corrected, r.media_bytes) == (16, True, len(stored(payload)))
     assert got[5].feature == got[7].feature and media_round_trip(docs.limit(0)).count() == 0
+
+
+def test_many_hits_take_linear_time():
+    began = time.perf_counter()
+    for data in (b"\xff\xd8\xff\xda\0\x02" * 100_000, b"%PDF-" * 200_000, b"PK\x03\x04" * 100_000 + b"PK\x05\x06" * 100_000):
+        assert not [x for x in find_media(data) if x[0] != "jpeg"]
+    assert time.perf_counter() - began < 20
