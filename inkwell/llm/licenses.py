@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,27 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return table.groupBy("_digest").agg(F.min("license_id").alias("license_id"))
 
 
+def needed_words(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> list[str] | None:
+    """Words of which every text with a known digest holds one, as it stands but for its case: of each known text's canonical form
+    (a fixed short list) the longest word that no spelling rule touches. None if a known text has no such word."""
+    table = spark.createDataFrame(known_texts() if known is None else known, "license_id string, _known string").select(canonical(F.col("_known")).alias("_own")).distinct()
+    odd = set(SPELLINGS) | {w for v in SPELLINGS.values() for w in v.split()}
+    out = set()
+    for text in (r[0] for r in table.collect()):
+        words = [w for w in text.split() if w not in odd and w.isascii()]
+        if not words:
+            return None
+        out.add(max(words, key=lambda w: (len(w), w)))
+    return sorted(out)
+
+
+def _may_hold(text: Column, words: list[str] | None) -> Column:
+    if words is None:
+        return F.lit(True)
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words], F.lit(False))
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per row of docs: key, text_digest (of the canonical text), license_id (the known text that the
     whole text is, else null), notice_ids (sorted, of its lines that are known texts as a whole) and n_notices.
@@ -102,7 +124,10 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", know
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     whole = rows.select("_key", "_text", digest(F.col("_text")).alias("text_digest"))
     whole = whole.join(table.withColumnRenamed("_digest", "text_digest"), "text_digest", "left")
-    lines = rows.select("_key", F.xxhash64("_key", "_text").alias("_row"), F.explode(F.split("_text", "\n")).alias("_line")).filter(F.col("_line") != "")
+    # only lines that hold a word of a known text can be one; others need no canonical form
+    words = needed_words(docs.sparkSession, known)
+    lines = rows.filter(_may_hold(F.col("_text"), words)).select("_key", F.xxhash64("_key", "_text").alias("_row"), F.explode(F.split("_text", "\n")).alias("_line"))
+    lines = lines.filter((F.col("_line") != "") & _may_hold(F.col("_line"), words))
     found = lines.select("_row", digest(F.col("_line")).alias("_digest")).join(table, "_digest")
     # repeated rows share a row hash and have the same notices
     lists = found.groupBy("_row", "license_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("_row").agg(F.sort_array(F.collect_list("license_id")).alias("notice_ids"), F.sum("_n").alias("_all"))
