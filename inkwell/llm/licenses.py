@@ -14,7 +14,7 @@ SPELLINGS = {
     "customisation": "customization", "customise": "customize", "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment",
     "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "licences": "licenses", "licenced": "licensed", "maximise": "maximize",
     "modelled": "modeled", "modelling": "modeling", "noncommercial": "non commercial", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize",
-    "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
+    "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
