@@ -71,3 +71,10 @@ def merged_weights(default: dict[str, float], own: Column) -> Column:
     """Default weights overridden by a query's map."""
     base = F.create_map(*[F.lit(x) for pair in default.items() for x in pair])
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.coalesce(F.map_contains_key(own, k), F.lit(False))), F.coalesce(own, F.create_map().cast("map<string,double>")))
+
+
+def path_nodes(leaves: DataFrame, key: str = "path") -> DataFrame:
+    """The tree of array paths as rows: every prefix once, with its parent (null at the top), name and number of leaves below."""
+    ups = leaves.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(key)), lambda i: F.slice(key, 1, i))).alias("node"))
+    rows = ups.groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves"))
+    return rows.select("node", F.when(F.size("node") > 1, F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(1)))).alias("parent"), F.element_at("node", -1).alias("name"), "n_leaves")

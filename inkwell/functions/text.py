@@ -280,3 +280,12 @@ def markdown_images(text: Column) -> Column:
 
 def image_name(number: Column, context: Column) -> Column:
     return F.concat_ws("-", F.lit("image"), number.cast("string"), F.nullif(F.substring(text_or_empty(context), 1, 10), F.lit("")))
+
+
+def toc_level(text: Column) -> Column:
+    """A contents entry's level from its numbering: the deepest pattern that matches; null for titles of contents, lines with
+    body evidence, and without numbering."""
+    text = F.trim(text_or_empty(text))
+    title = F.lower(F.regexp_replace(text, r"\s+", " ")).rlike(r"^(?:table of contents|contents|目 ?录|目 ?次)?$")
+    depth = F.array_max(heading_evidence(text))
+    return F.when(~title & (depth > 0) & (F.array_max(body_evidence(text)) <= 0), depth)

@@ -223,3 +223,14 @@ def archived(documents: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
 def lookup(rows: DataFrame, wanted: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """Entities by a key, and the keys that are not there."""
     return rows.join(wanted.select(on).distinct(), on, "left_semi"), wanted.join(rows.select(on), on, "left_anti").select(on).distinct()
+
+
+def tree_evidence(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per document one text: its sections in order, indented by level, each with its chunks below, media already in place
+    (see with_media). Root has no line of its own. Documents are bounded by what one result holds."""
+    root = F.col("section_path") == "Root"
+    places = sections.select("document_id", "section_path", F.col("sort_order").alias("_s"), F.when(root, 0).otherwise(F.col("section_level")).alias("_d"))
+    heads = sections.filter(~root).select("document_id", F.col("sort_order").alias("_s"), F.lit(-1).alias("_c"), F.concat(F.repeat(F.lit("  "), F.col("section_level") - 1), F.lit("▸ "), "section_title").alias("_line"))
+    leaves = chunks.join(places, ["document_id", "section_path"]).select("document_id", "_s", F.col("sort_order").cast("int").alias("_c"), F.concat(F.repeat(F.lit("  "), F.col("_d")), F.lit("┈ "), "content").alias("_line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c", "_line"))), lambda x: x["_line"])
+    return heads.unionByName(leaves).groupBy("document_id").agg(F.array_join(lines, "\n").alias("evidence"))

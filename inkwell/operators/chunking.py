@@ -49,9 +49,8 @@ def packed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     chars = lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     tail = chars(F.slice("_lines", F.element_at("_bounds", -1), F.size("_lines")))
     base = base.withColumn("_bounds", F.when((F.size("_bounds") > 1) & (tail < least), F.slice("_bounds", 1, F.size("_bounds") - 1)).otherwise(F.col("_bounds")))
-    out = base.select(key, "_lines", "_bounds", F.posexplode("_bounds").alias("chunk_no", "_at"))
-    end = F.coalesce(F.try_element_at("_bounds", F.col("chunk_no") + 2), F.size("_lines") + 1)
-    out = out.select(key, "chunk_no", F.slice("_lines", F.col("_at"), end - F.col("_at")).alias("_own"))
+    groups = F.transform("_bounds", lambda b, i: F.slice("_lines", b, F.coalesce(F.try_element_at("_bounds", i + 2), F.size("_lines") + 1) - b))
+    out = base.select(key, F.posexplode(groups).alias("chunk_no", "_own"))
     return out.select(key, "chunk_no", F.size("_own").alias("n_lines"), chars(F.col("_own")).alias("n_chars"), F.array_join("_own", "\n").alias("content"))
 
 

@@ -251,3 +251,10 @@ def inventory(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Chunks, documents and chunks per document of each group, whatever sections and signals a query names."""
     n, d = F.count(F.lit(1)), F.count_distinct("document_id")
     return chunks.groupBy(*by).agg(n.alias("n_chunks"), d.alias("n_documents"), F.round(n / d, 4).alias("chunks_per_document"))
+
+
+def hierarchy_maps(sections: DataFrame) -> DataFrame:
+    """For each section with children (and '' for the document) a map from their titles, made unique, to their paths."""
+    rows = unique_titles(sections.withColumn("parent_path", F.coalesce("parent_path", F.lit(""))))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "section_title", "section_path"))), lambda x: F.struct(x["section_title"], x["section_path"]))
+    return rows.groupBy(*DOC, F.col("parent_path").alias("section_path")).agg(F.map_from_entries(entries).alias("children"))

@@ -297,3 +297,11 @@ def labelled_areas(blocks: DataFrame, key: str = "doc_id", order: str = "block_n
     rows = blocks.withColumn("_is", is_).withColumn("_new", new).withColumn("area", F.sum("_new").over(_before(key, order))).filter("_is")
     entries = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
     return rows.select(key, "area", order, F.posexplode(entries).alias("entry_no", "entry"))
+
+
+def entry_levels(entries: DataFrame, key: str = "doc_id", order: str = "block_no") -> DataFrame:
+    """Contents entries (entry, explicit_level, outline_level, indent) with their level: explicit, else the outline's, else that
+    of the numbering, else the rank of the indentation among the entries of the area that have none; levels below 1 go."""
+    own = F.coalesce("explicit_level", "outline_level", T.toc_level(F.col("entry")))
+    rows = indent_levels(entries.withColumn("level", own).withColumn("_area", F.struct(key, "area")), "_area").drop("_area")
+    return rows.filter("level > 0")

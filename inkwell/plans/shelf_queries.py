@@ -404,3 +404,29 @@ def removed_documents(spark: SparkSession, sf: str) -> DataFrame:
     f = files(spark, sf).select("document_id")
     gone = f.filter("document_id % 5 = 0").unionByName(f.filter("document_id % 5 = 4").select((F.col("document_id") + 1).alias("document_id")))
     return G.without_document(f, f.select(F.col("document_id").alias("source"), (F.col("document_id") + 1).alias("target")), gone)[1]
+
+
+@query(f"""WITH {SHELF}, c AS (SELECT s.document_id, t.sort_order AS s, s.sort_order AS c, repeat('  ', t.section_level) || '┈ ' || CASE WHEN s.ref IS NOT NULL THEN replace(s.content, s.ref, '<' || s.target || '>') ELSE s.content END AS line FROM shelf s JOIN tree t ON t.document_id = s.document_id AND t.section_path = s.section_path WHERE s.chunk_type = 'text'
+UNION ALL SELECT document_id, sort_order, -1, repeat('  ', section_level - 1) || '▸ ' || section_title FROM tree WHERE section_path <> 'Root') SELECT document_id, sha256(string_agg(line, chr(10) ORDER BY s, c)) AS evidence_sha FROM c GROUP BY document_id""")
+def tree_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole files as trees, media named where texts refer to them."""
+    s = shelf(spark, sf)
+    shown = F.transform("connect_to", lambda c: F.struct(c["ref"].alias("ref"), F.concat(F.lit("<"), F.trim(c["target"]), F.lit(">")).alias("text")))
+    texts = A.with_media(s.filter("chunk_type = 'text'").withColumn("media", shown))
+    return A.tree_evidence(N.section_table(s), texts).select("document_id", F.sha2("evidence", 256).alias("evidence_sha"))
+
+
+@query(f"""WITH {SHELF}, t AS (SELECT document_id, coalesce(parent_path, '') AS up, section_path, sort_order, CASE section_level % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS title FROM tree), n AS (SELECT *, row_number() OVER (PARTITION BY document_id, up, title ORDER BY sort_order) AS n FROM t)
+SELECT document_id, up AS section_path, string_agg(title || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '=' || section_path, ';' ORDER BY sort_order) AS children FROM n GROUP BY ALL""")
+def hierarchy_maps(spark: SparkSession, sf: str) -> DataFrame:
+    t = N.section_table(shelf(spark, sf)).withColumn("section_title", F.when(F.col("section_level") % 2 == 0, "even").otherwise("odd"))
+    shown = F.array_join(F.transform(F.map_entries("children"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return N.hierarchy_maps(t).select("document_id", "section_path", shown.alias("children"))
+
+
+@query(f"""WITH {SHELF}, p AS (SELECT CASE WHEN len(ps) = 0 THEN ['Root'] ELSE ps END AS ps FROM parts), u AS (SELECT unnest(list_transform(range(1, len(ps) + 1), lambda i: ps[1:i])) AS node FROM p)
+SELECT array_to_string(node, '/') AS node, CASE WHEN len(node) > 1 THEN array_to_string(node[1:len(node) - 1], '/') END AS parent, node[-1] AS name, count(*) AS n_leaves FROM u GROUP BY node""")
+def path_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of all section paths with the number of chunks below each node."""
+    rows = shelf(spark, sf).select(F.split("section_path", " / ").alias("path"))
+    return R.path_nodes(rows).select(F.array_join("node", "/").alias("node"), F.array_join("parent", "/").alias("parent"), "name", "n_leaves")

@@ -105,3 +105,9 @@ def test_rows_holding(spark):
     rows, items = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(asked, "q int, w string")
     got = sorted((r.q, r.id) for r in rows_holding(rows, T.text_or_empty(F.col("t")), items, ["id"], "q", F.col("w")).collect())
     assert got == sorted((q, k) for q, w in asked for k, t in texts if w.strip() and w in (t or ""))
+
+
+def test_entry_levels(spark):
+    rows = [(1, 1, 0, "1.2 A", None, None, 0), (1, 1, 1, "1.2.3 B", None, 1, 0), (1, 1, 2, "x", 4, 1, 0), (1, 1, 3, "plain", None, None, 8), (1, 1, 4, "other", None, None, 2), (1, 1, 5, "gone", 0, None, 0), (1, 2, 6, "plain", None, None, 8), (1, 2, 7, "Contents", None, None, 9)]
+    got = U.entry_levels(spark.createDataFrame(rows, "doc_id int, area int, block_no int, entry string, explicit_level int, outline_level int, indent int"))
+    assert {r.block_no: r.level for r in got.collect()} == {0: 2, 1: 1, 2: 4, 3: 2, 4: 1, 6: 1, 7: 2}
