@@ -21,6 +21,8 @@ STATE = {
 }
 #: Salts of a group's texts while their bytes are compared.
 SALTS = 16
+#: Bits of the filter that keeps texts whose digest does not repeat out of the byte comparison; 4 MB, whatever the corpus.
+FILTER_BITS = 1 << 25
 
 
 def located(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -67,6 +69,17 @@ def stream_state(fingerprints: DataFrame, path: str, files_per_batch: int = 64)
     return read.groupBy("_digest").agg(F.min("_first").alias("_first"), F.max("_n").alias("_n"))
 
 
+def _with_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of texts whose _digest may be among those of hits: all that are, and a share of the others that grows with
+    hits / FILTER_BITS. The bitmaps have a fixed size, so they are broadcast; texts are not shuffled."""
+    bit = F.pmod(F.xxhash64("_digest"), F.lit(FILTER_BITS))
+    bitmaps = hits.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket")
+    return met.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1).select(*texts.columns)
+
+
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64) -> DataFrame:
     """One row per row of docs: key, keep_id, group_size, kept, text_sha256.
 
@@ -94,7 +107,7 @@ def _grouped_texts(rows: DataFrame, digest: Callable[[Column], Column], files_pe
 
     # full bytes on hits: a salted comparison, with the extremes of a group's texts built map-side
     hits = state.filter("_n > 1").select("_digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    texts = base.select("_digest", "_norm", F.pmod(F.hash("_locator"), F.lit(SALTS)).alias("_salt"))
+    texts = _with_hits(base, state.filter("_n > 1")).select("_digest", "_norm", F.pmod(F.hash("_locator"), F.lit(SALTS)).alias("_salt"))
     extremes = texts.join(hits, ["_digest", "_salt"]).groupBy("_digest", "_salt").agg(F.min("_norm").alias("_a"), F.max("_norm").alias("_b"))
     differ = extremes.groupBy("_digest").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).filter("_a <> _b").select("_digest")
     differ = written(differ, f"{path}/collisions")

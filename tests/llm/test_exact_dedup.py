@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm.exact_dedup import deduplicated, exact_dedup
+from inkwell.llm.exact_dedup import _with_hits, deduplicated, exact_dedup
 
 ROWS = [
     (5, "a  b", "x"), (1, "a\tb", "y"), (9, "a b", "z"), (2, None, "n"), (7, "", "e"), (3, " ", "s"), (4, "c", "c"), (4, "c", "c"), (None, "d", "d"), (8, "d", "d"),
@@ -49,3 +49,12 @@ def test_any_frame_keeps_one_of_each_group(spark):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_filter_of_hits(spark):
+    """All hits pass, hardly any other row does."""
+    texts = spark.range(20000).selectExpr("id", "sha2(cast(id as string), 256) _digest")
+    hits = texts.filter("id % 7 = 0")
+    got = {r.id for r in _with_hits(texts, hits.select("_digest")).collect()}
+    assert got >= set(range(0, 20000, 7)) and len(got) < 20000 / 7 + 20
+    assert _with_hits(texts, hits.limit(0)).count() == 0
