@@ -44,13 +44,13 @@ def normal_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("doc_id", "line_no", T.normal_heading(F.replace(wide, F.lit(" "), F.lit("   "))).alias("normal"))
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, line_no, regexp_extract(line, '^[A-Z][a-z]+ [a-z]+') AS title FROM ln WHERE regexp_matches(line, '^[A-Z][a-z]+ [a-z]')""")
+@query(rf"""WITH {LINES} SELECT doc_id, line_no, regexp_extract(line, '^[A-Z][a-z]+ [a-z]+') AS title FROM ln WHERE regexp_matches(line, '^[A-Z][a-z]*[abefghjknopqrstuwyz][a-z]* [a-z]')""")
 def toc_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Contents entries with numbering and page numbers around them."""
+    """Contents entries with numbering and page numbers around them; first words that could be Roman numerals are left out."""
     n = F.col("line_no") % 4
     bare = F.regexp_extract("line", "^[A-Z][a-z]+ [a-z]+", 0)
     entry = F.when(n == 0, F.concat(F.lit("3.1 "), bare, F.lit(" ..... 17"))).when(n == 1, F.concat(F.lit("# 第二章 "), bare, F.lit("··· 4"))).when(n == 2, F.concat(F.lit("（三）"), bare)).otherwise(F.concat(bare, F.lit(" 9 ")))
-    return lines(spark, sf).filter("line rlike '^[A-Z][a-z]+ [a-z]'").select("doc_id", "line_no", T.toc_title(entry).alias("title"))
+    return lines(spark, sf).filter("line rlike '^[A-Z][a-z]*[abefghjknopqrstuwyz][a-z]* [a-z]'").select("doc_id", "line_no", T.toc_title(entry).alias("title"))
 
 
 @query(rf"""WITH {LINES}, t AS (SELECT doc_id, line_no, CASE line_no % 6 WHEN 0 THEN '<!-- Page 3 -->' WHEN 1 THEN ' <table> x' WHEN 2 THEN '![a](b)' WHEN 3 THEN line || ' \frac{{1}}{{2}}' ELSE line END AS l FROM ln) SELECT doc_id, line_no, line_no % 6 > 3 AS is_content FROM t""")
@@ -273,12 +273,12 @@ def header_grids(spark: SparkSession, sf: str) -> DataFrame:
     return B.header_grid(cells, ["table_id"])
 
 
-@query(f"""WITH {CELLS} SELECT table_id, "row", col, CASE WHEN "row" <= 3 THEN 0 ELSE 1 END AS part FROM cells WHERE "row" NOT BETWEEN 4 AND 4 AND trim(value) <> '' AND table_id IN (SELECT table_id FROM cells GROUP BY table_id HAVING max("row") >= 8)""")
+@query(f"""WITH {CELLS} SELECT table_id, "row", col, CASE WHEN "row" <= 3 THEN 0 ELSE 1 END AS part FROM cells WHERE "row" <> 4 AND table_id IN (SELECT table_id FROM cells GROUP BY table_id HAVING max("row") >= 8)""")
 def sheet_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets of at least eight rows, split where a row is blank."""
     c = order_cells(spark, sf)
     big = c.groupBy("table_id").agg(F.max("row").alias("_m")).filter("_m >= 8").select("table_id")
-    return B.sheet_parts(c.join(big, "table_id").filter("row <> 4 and trim(value) <> ''"), ["table_id"]).select("table_id", "row", "col", "part")
+    return B.sheet_parts(c.join(big, "table_id").filter("row <> 4").withColumn("value", F.when(F.col("value") == "", "x").otherwise(F.col("value"))), ["table_id"]).select("table_id", "row", "col", "part")
 
 
 # --- provider records --------------------------------------------------------------------------------
