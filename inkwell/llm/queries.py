@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .licenses import scan_sql
 from .shared import word_count, written
+from .stripes import DIVERGENCE_SQL
+from .survival import AUDIT_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +86,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .stripes import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .survival import filter_interactions
+
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = (
     op1_exact_dedup, op2_language_id, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_jaccard_join,
     op7_html_extraction, op8_suffix_array_dedup, op9_media_columns, op10_best_fit_packing,
+    op11_source_divergence, op12_filter_interactions,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
@@ -97,6 +112,8 @@ ORACLES = {
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
     "op5_license_scan": scan_sql(),
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op12_filter_interactions": AUDIT_SQL,
     # all pairs that share a shingle: for small tables only, the query itself runs over any
     "op6_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
