@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .grams import min_hashes, sequence_digests, shingles, words
-from .shared import lean, sealed, shared_dir, slices, unsealed, utf8, written
+from .shared import lean, named, row_key, sealed, shared_dir, slices, unsealed, utf8, written
 
 #: Minima kept per set; the first ones are the roots of the runs.
 FUNCTIONS = 64
@@ -47,14 +47,9 @@ def runs_for(recall: float, threshold: float) -> int:
     return runs
 
 
-def row_key(key: str, text: str) -> Column:
-    """128 bits that name a row by key and text; null and empty differ."""
-    return F.md5(F.concat_ws("|", F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).isNull().cast("string"), F.coalesce(F.col(text), F.lit(""))))
-
-
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, _row, _set (names the word sequence), _minima, _size (number of shingles), per row of docs."""
-    rows = docs.select(F.col(key).alias("_key"), row_key(key, text).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(named(key).alias("_key"), row_key(key, text).alias("_row"), F.coalesce(named(text), F.lit("")).alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,15 +238,15 @@ def chosen_path_join(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     found = leaves(sets, runs, path)
     likely = written(candidates(sets, found, least).join(sets.select("_set", F.col("_first.row").alias("_row")), "_set"), f"{path}/likely")
     needed = likely.select("_row").distinct().hint("merge")  # the same plan at every size
-    texts = docs.select(row_key(key, text).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(needed, "_row", "left_semi")
+    texts = docs.select(row_key(key, text).alias("_row"), F.coalesce(named(text), F.lit("")).alias("_text")).join(needed, "_row", "left_semi")
     links = written(linked(likely, texts, threshold, width, least), f"{path}/links")
     roots = components(links.select(F.col("_set").alias("a"), F.col("_least").alias("b")))
-    named = sets.select("_set", "_first").join(roots.select(F.col("node").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
-    named = named.join(links.groupBy("_set").agg(F.sum("_links").alias("_links")), "_set", "left")
-    heads = named.groupBy("_root").agg(F.min("_first").alias("_head"))
-    named = named.join(heads, "_root").select("_set", "_first", "_head", F.coalesce("_links", F.lit(0)).alias("_links"))
+    roots_of = sets.select("_set", "_first").join(roots.select(F.col("node").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    roots_of = roots_of.join(links.groupBy("_set").agg(F.sum("_links").alias("_links")), "_set", "left")
+    heads = roots_of.groupBy("_root").agg(F.min("_first").alias("_head"))
+    roots_of = roots_of.join(heads, "_root").select("_set", "_first", "_head", F.coalesce("_links", F.lit(0)).alias("_links"))
     kept = F.col("_row") == F.col("_head.row")
-    return signed.join(named, "_set").select(F.col("_key").alias(key), F.col("_head.key").alias("class_id"), F.col("_first.key").alias("text_id"), F.col("_links").alias("n_links"), kept.alias("kept"), F.col("_row").alias("row_key"))
+    return signed.join(roots_of, "_set").select(F.col("_key").alias(key), F.col("_head.key").alias("class_id"), F.col("_first.key").alias("text_id"), F.col("_links").alias("n_links"), kept.alias("kept"), F.col("_row").alias("row_key"))
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -259,5 +254,5 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
     any one stays; columns may have any name."""
     names = docs.columns
     rows = docs.select(*sealed(docs), row_key(key, text).alias("_row"))
-    kept = chosen_path_join(docs.select(key, text), key, text, **how).filter("kept").select(F.col("row_key").alias("_row")).distinct()
+    kept = chosen_path_join(docs.select(named(key), named(text)), key, text, **how).filter("kept").select(F.col("row_key").alias("_row")).distinct()
     return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*unsealed(names))

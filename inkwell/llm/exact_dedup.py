@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import collapsed, sealed, shared_dir, unsealed, written
+from .shared import collapsed, possible, sealed, shared_dir, unsealed, written
 
 #: The state store on local disk, backed up in the checkpoint folder; memory for all its instances together.
 STATE = {
@@ -21,17 +21,16 @@ STATE = {
 }
 #: Salts of a group's texts while their bytes are compared.
 SALTS = 16
-#: Bits of the filter that keeps texts whose digest does not repeat out of the byte comparison; 4 MB, whatever the corpus.
-FILTER_BITS = 1 << 25
 
 
-def located(docs: DataFrame, names: list[str]) -> DataFrame:
+def located(docs: DataFrame, names: list[str], a_scan: bool = False) -> DataFrame:
     """The named columns of docs as c0, c1, ... and _locator: the file and row where the content lies.
 
-    A frame that is not a scan of files is written first, so that every row has a locator of its own.
+    Only the caller knows whether docs is a_scan, that is files read and at most filtered and projected: an explode or a join
+    gives several rows of one place. Any other frame is written first, so that every row has a locator of its own.
     """
     place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_locator")
-    if "_metadata" not in docs.columns:
+    if a_scan and "_metadata" not in docs.columns:
         try:
             return docs.select(*sealed(docs, names), place)
         except AnalysisException:
@@ -69,18 +68,7 @@ def stream_state(fingerprints: DataFrame, path: str, files_per_batch: int = 64)
     return read.groupBy("_digest").agg(F.min("_first").alias("_first"), F.max("_n").alias("_n"))
 
 
-def _with_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows of texts whose _digest may be among those of hits: all that are, and a share of the others that grows with
-    hits / FILTER_BITS. The bitmaps have a fixed size, so they are broadcast; texts are not shuffled."""
-    bit = F.pmod(F.xxhash64("_digest"), F.lit(FILTER_BITS))
-    bitmaps = hits.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = texts.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket")
-    return met.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1).select(*texts.columns)
-
-
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64, a_scan: bool = False) -> DataFrame:
     """One row per row of docs: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after runs of white space become one space. Digests pass through
@@ -89,10 +77,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
     Null text: equal to the empty text. Null key: after all other keys; a group of null keys only keeps
     one. Repeated rows (equal key and text): all are in the group, just one of them is kept, in any frame:
-    rows are told apart by locators (file and row; a frame that is not a scan of files is written first).
+    rows are told apart by locators, file and row. docs is written first, unless the caller says that it is a_scan (see located).
     Empty input: empty result. Other columns of docs are not read.
     """
-    return _grouped_texts(located(docs, [key, text]), digest, files_per_batch).withColumnRenamed("_key", key)
+    return _grouped_texts(located(docs, [key, text], a_scan), digest, files_per_batch).withColumnRenamed("_key", key)
 
 
 def _grouped_texts(rows: DataFrame, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
@@ -107,7 +95,7 @@ def _grouped_texts(rows: DataFrame, digest: Callable[[Column], Column], files_pe
 
     # full bytes on hits: a salted comparison, with the extremes of a group's texts built map-side
     hits = state.filter("_n > 1").select("_digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    texts = _with_hits(base, state.filter("_n > 1")).select("_digest", "_norm", F.pmod(F.hash("_locator"), F.lit(SALTS)).alias("_salt"))
+    texts = possible(base, state.filter("_n > 1"), "_digest").select("_digest", "_norm", F.pmod(F.hash("_locator"), F.lit(SALTS)).alias("_salt"))
     extremes = texts.join(hits, ["_digest", "_salt"]).groupBy("_digest", "_salt").agg(F.min("_norm").alias("_a"), F.max("_norm").alias("_b"))
     differ = extremes.groupBy("_digest").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).filter("_a <> _b").select("_digest")
     differ = written(differ, f"{path}/collisions")
@@ -122,10 +110,10 @@ def _grouped_texts(rows: DataFrame, digest: Callable[[Column], Column], files_pe
     return grouped.select("_key", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_locator") == F.col("_keeper")).alias("kept"), F.col("_sha").alias("text_sha256"), F.col("_locator").alias("locator"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = lambda t: F.sha2(t, 256), files_per_batch: int = 64, a_scan: bool = False) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     names = docs.columns
-    rows = located(docs, names)
+    rows = located(docs, names, a_scan)
     keyed = rows.select(F.col(f"c{names.index(key)}").alias("c0"), F.col(f"c{names.index(text)}").alias("c1"), "_locator")
     found = _grouped_texts(keyed, digest, files_per_batch).filter("kept").select(F.col("locator").alias("_locator"))
     return rows.join(found, "_locator", "left_semi").select(*unsealed(names))

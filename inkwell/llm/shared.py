@@ -49,6 +49,27 @@ def spread(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits).cast("int")
 
 
+def row_key(key: str, text: str) -> Column:
+    """128 bits that name a row by key and text; null and empty differ, and what stands in one part can't look like another's end."""
+    parts = [[named(c).isNull().cast("string"), F.md5(F.coalesce(named(c).cast("string"), F.lit("")))] for c in (key, text)]
+    return F.md5(F.concat_ws("|", *parts[0], *parts[1]))
+
+
+#: Bits of the filter of possible(); 4 MB, whatever the corpus.
+FILTER_BITS = 1 << 25
+
+
+def possible(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose column of this name may be among those of wanted: all that are, and a share of the others that grows with
+    wanted / FILTER_BITS. The bitmaps have a fixed size, so they are broadcast; rows are not shuffled."""
+    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    bitmaps = wanted.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmaps), "_bucket")
+    return met.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1).select(*rows.columns)
+
+
 def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over the rows before this one, per keys, in the order (bucket, *order).
 

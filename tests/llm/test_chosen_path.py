@@ -87,3 +87,11 @@ def test_odd_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert chosen_path_join(docs).count() == 0 and one_per_class(docs).count() == 0
+
+
+def test_keys_with_separators(spark):
+    """Key and text can't be cut in two ways: no document takes another one's name."""
+    rows = [("a", "false|b c d e f g h"), ("a|false", "b c d e f g h"), ("a|false|b", "c d e f g h i j k")]
+    docs = spark.createDataFrame(rows, "`doc.id` string, text string")
+    assert sorted(tuple(r) for r in one_per_class(docs, "doc.id").collect()) == sorted(rows)
+    assert chosen_path_join(docs, "doc.id").select("row_key").distinct().count() == 3

@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm.exact_dedup import _with_hits, deduplicated, exact_dedup
+from inkwell.llm.exact_dedup import deduplicated, exact_dedup
+from inkwell.llm.shared import possible
 
 ROWS = [
     (5, "a  b", "x"), (1, "a\tb", "y"), (9, "a b", "z"), (2, None, "n"), (7, "", "e"), (3, " ", "s"), (4, "c", "c"), (4, "c", "c"), (None, "d", "d"), (8, "d", "d"),
@@ -47,6 +48,19 @@ def test_any_frame_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns and sorted([(r[0], r[1].strip()) for r in kept.collect()], key=str) == sorted([(4, "c"), (1, "z"), (None, "q"), (None, "q")], key=str)
 
 
+def test_rows_made_from_a_scan(spark, tmp_path):
+    """Exploded, joined and united scans have several rows of one place; one of each group stays."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a\na\nb"), (2, "b\nc"), (3, "d"), (3, "d")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    lines = scan.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    assert sorted((r.doc_id, r.text) for r in deduplicated(lines).collect()) == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+    twice = scan.join(spark.createDataFrame([(3, 1), (3, 2)], "doc_id long, x int"), "doc_id").select("doc_id", "text")
+    assert [tuple(r) for r in deduplicated(twice).collect()] == [(3, "d")] and exact_dedup(twice).filter("kept").count() == 1
+    assert deduplicated(scan.unionByName(scan)).count() == 3
+    assert deduplicated(scan.filter("doc_id > 0"), a_scan=True).count() == 3 == deduplicated(scan, a_scan=True).count()
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -55,6 +69,6 @@ def test_filter_of_hits(spark):
     """All hits pass, hardly any other row does."""
     texts = spark.range(20000).selectExpr("id", "sha2(cast(id as string), 256) _digest")
     hits = texts.filter("id % 7 = 0")
-    got = {r.id for r in _with_hits(texts, hits.select("_digest")).collect()}
+    got = {r.id for r in possible(texts, hits.select("_digest"), "_digest").collect()}
     assert got >= set(range(0, 20000, 7)) and len(got) < 20000 / 7 + 20
-    assert _with_hits(texts, hits.limit(0)).count() == 0
+    assert possible(texts, hits.limit(0), "_digest").count() == 0
