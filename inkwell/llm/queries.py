@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import scan_sql
+from .odd_sketch import NEAR_SQL
 from .shared import word_count, written
 from .stripes import DIVERGENCE_SQL
 from .survival import AUDIT_SQL
@@ -25,7 +26,7 @@ def vocabulary() -> str:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
+    return exact_dedup(table(spark, sf_dir, "documents"), a_scan=True).drop("locator")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +99,16 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .odd_sketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_exact_dedup, op2_language_id, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_jaccard_join,
     op7_html_extraction, op8_suffix_array_dedup, op9_media_columns, op10_best_fit_packing,
-    op11_source_divergence, op12_filter_interactions,
+    op11_source_divergence, op12_filter_interactions, op13_odd_sketch_dedup,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
@@ -114,6 +121,7 @@ ORACLES = {
     "op5_license_scan": scan_sql(),
     "op11_source_divergence": DIVERGENCE_SQL,
     "op12_filter_interactions": AUDIT_SQL,
+    "op13_odd_sketch_dedup": NEAR_SQL,
     # all pairs that share a shingle: for small tables only, the query itself runs over any
     "op6_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
