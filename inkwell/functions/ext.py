@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,21 @@ def parsed(docs: DataFrame, parse: Callable[[str], list[tuple[str, str, str]]],
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, sort_order int, path string, type string, content string")
 
 
+def adapter_function(spark: SparkSession, name: str, parse: Callable[[str], list[tuple[str, str, str]]]) -> None:
+    """Registers a format adapter as a table function for SQL: SELECT d.*, r.* FROM docs d, LATERAL name(d.text) r.
+
+    It gives the rows (sort_order, path, type, content) that parse makes of one text, in order; null counts as empty.
+    """
+
+    @F.udtf(returnType="sort_order int, path string, type string, content string")
+    class Adapter:
+        def eval(self, text: str):
+            for n, row in enumerate(parse(text or "")):
+                yield (n, *row)
+
+    spark.udtf.register(name, Adapter)
+
+
 def staged(rows: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Ranking strategies and context builders, functions from DataFrame to DataFrame, one after another."""
     for stage in stages:

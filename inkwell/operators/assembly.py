@@ -74,6 +74,21 @@ def by_paths(selections: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.filter(ok).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_cut", "_depth")
 
 
+def hydrated(selections: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """Outline rows and chunk rows of selections(selection, document_id, path, mode), in order of selection.
+
+    A path selected as outline gives one row of the section itself, title and summary as content; other modes give chunks, see by_paths. A path
+    counts with its first selection.
+    """
+    first = selections.groupBy("document_id", "path").agg(F.min_by(F.struct("selection", "mode"), "selection").alias("_f")).select("document_id", "path", "_f.*")
+    named = first.filter("mode = 'outline'").join(sections.withColumnRenamed("section_path", "path"), ["document_id", "path"])
+    said = F.trim(F.coalesce("summary", F.lit("")))
+    content = F.concat(F.lit("[Outline] "), F.trim("section_title"), F.when(said != "", F.concat(F.lit("\n"), said)).otherwise(F.lit("")))
+    outline = named.select("document_id", F.concat_ws("_", F.lit("outline"), "document_id", "sort_order").alias("chunk_id"), F.col("path").alias("section_path"), F.lit("outline").alias("chunk_type"), content.alias("content"), "sort_order", "selection", "mode")
+    rows = by_paths(first.filter("mode <> 'outline'"), chunks)
+    return outline.unionByName(rows.select("document_id", "chunk_id", "section_path", "chunk_type", "content", "sort_order", "selection", "mode"))
+
+
 def assembled(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Result rows without those that another row embeds; connected tables' texts follow in order; references go."""
     links = rows.select("query_id", "document_id", "chunk_id", F.explode_outer("connect_to").alias("_c")).select("query_id", "document_id", F.col("chunk_id").alias("_owner"), F.trim("_c.target").alias("chunk_id"), F.col("_c.relation").alias("_relation"))

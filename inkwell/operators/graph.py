@@ -24,9 +24,12 @@ def top_keywords(keywords: DataFrame, sizes: DataFrame, k: int = 10) -> DataFram
     return scored.withColumn("rank0", F.row_number().over(w) - 1).filter(F.col("rank0") < k).select("document_id", "keyword", "weight", "rank0")
 
 
-def nodes(chunks: DataFrame) -> DataFrame:
-    """Documents with their number of chunks and of each type."""
-    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("chunk_type", F.lit(1))))).alias("types"))
+def nodes(chunks: DataFrame, summary: str | None = None, order: str = "chunk_no") -> DataFrame:
+    """Documents with their number of chunks, the number of each type (a map) and, if a column of summaries is named, the first one
+    in order that is not blank."""
+    kinds = chunks.groupBy("document_id", F.coalesce("chunk_type", F.lit("text")).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), *([F.min_by(F.trim(F.col(summary)), F.when(F.trim(summary) != "", F.col(order))).alias("_s"), F.min(F.when(F.trim(summary) != "", F.col(order))).alias("_o")] if summary else []))
+    out = kinds.groupBy("document_id").agg(F.sum("_n").alias("n_chunks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("_t", "_n")))).alias("types"), *([F.min_by("_s", "_o").alias("top_summary")] if summary else []))
+    return out
 
 
 def edges(full: DataFrame, top: DataFrame, published: DataFrame, shared: int = SHARED, score: float = SCORE) -> DataFrame:
@@ -81,11 +84,37 @@ def integrity(entities: DataFrame, links: DataFrame, key: str = "id") -> DataFra
     return miss[0].unionByName(miss[1]).unionByName(twice)
 
 
-def rebuilt(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Repositories put together again: files with their symbols and chunks."""
-    one = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("qualified_name", "id"))).alias("symbols"))
-    two = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "id"))).alias("chunks"))
-    return files.join(one, files["id"] == one["file_id"], "left").drop("file_id").join(two, files["id"] == two["file_id"], "left").drop("file_id")
+def rebuilt(files: DataFrame, symbols: DataFrame, chunks: DataFrame, relationships: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """Repositories put together again, a row per file (files: id, repository_id, …): its symbols and chunks, each with the relationships
+    that start there, its references, and the relationships that start at the file itself.
+
+    symbols: file_id, qualified_name, id. chunks: file_id, start_line, id. relationships: id, source_id, target_id, type.
+    references: source_file_id, id, target_id. Lists are sorted. Files are the largest thing in one row: a repository may have
+    millions of them, so its rows share repository_id and are not folded further. flat_entities() undoes this.
+    """
+    if relationships is not None:
+        links = relationships.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("link_id"), "type", "target_id"))).alias("links"))
+        symbols, chunks, files = (x.join(links, "id", "left") for x in (symbols, chunks, files))
+    own = lambda c: [c] if relationships is not None else []
+    one = symbols.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("qualified_name", "id", *own("links")))).alias("symbols"))
+    two = chunks.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start_line", "id", *own("links")))).alias("chunks"))
+    out = files.join(one, "id", "left").join(two, "id", "left")
+    if references is not None:
+        out = out.join(references.groupBy(F.col("source_file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("reference_id"), "target_id"))).alias("references")), "id", "left")
+    return out
+
+
+def flat_entities(nested: DataFrame) -> dict[str, DataFrame]:
+    """The tables that rebuilt() nested: symbols, chunks, relationships, references."""
+    from functools import reduce
+
+    def rows(kind: str) -> DataFrame:
+        return nested.select(F.col("id").alias("file_id"), F.inline(kind))
+
+    ends = [nested.select("id", "links"), rows("symbols").select("id", "links"), rows("chunks").select("id", "links")]
+    links = reduce(DataFrame.unionByName, ends).select(F.col("id").alias("source_id"), F.inline("links")).select(F.col("link_id").alias("id"), "source_id", "target_id", "type")
+    refs = nested.select(F.col("id").alias("source_file_id"), F.inline("references")).select("source_file_id", F.col("reference_id").alias("id"), "target_id")
+    return {"symbols": rows("symbols").drop("links"), "chunks": rows("chunks").drop("links"), "relationships": links, "references": refs}
 
 
 # --- links between chunks and media ---------------------------------------------------------------------

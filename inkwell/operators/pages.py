@@ -10,11 +10,17 @@ from .chunking import lines_of
 METRICS = ("raw_text_length", "text_density", "image_coverage", "table_count", "drawings_count")
 
 
-def text_features(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Length, density (characters a line), blank-likeness and preview lines of page texts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return pages.withColumns({"raw_text_length": F.length(t), "text_density": F.round(F.length(t) / F.greatest(F.size(lines), F.lit(1)), 4), "is_blank_like": F.length(F.trim(t)) < 10, "text_lines_preview": F.slice(lines, 1, 5)})
+def text_features(pages: DataFrame, text: str = "text", lines: int = 30) -> DataFrame:
+    """Text features of pages: length without white space around it, characters per 10,000 units of area, orientation, whether the page is as good
+    as blank, and its first lines. Geometry (width, height, image_coverage, drawings_count) comes with the pages; null counts as 0."""
+    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+    size = F.length(bare)
+    at = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("width", "height", "image_coverage", "drawings_count")}
+    filled = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return pages.withColumns({
+        "raw_text_length": size, "text_density": F.round(size / F.greatest(at["width"] * at["height"], F.lit(1.0)) * 10000, 4), "orientation": F.when(at["width"] > at["height"], "landscape").otherwise("portrait"),
+        "is_blank_like": (size < 20) & (at["image_coverage"] < 0.02) & (at["drawings_count"] < 5), "text_lines_preview": F.slice(filled, 1, lines),
+    })
 
 
 def page_kind(length: Column, coverage: Column, tables: Column, drawings: Column, orientation: Column) -> Column:

@@ -193,30 +193,13 @@ def discovery_signals(scored: DataFrame) -> DataFrame:
     return first.groupBy("query_id", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "section_path"))), lambda x: x["section_path"]).alias("paths"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, recall_k: int | None = None, keys: tuple[str, ...] = ("document_id", "chunk_no"), weights: dict[str, float] | None = None) -> DataFrame:
-    """BM25 over content and over paths, substring search, each cut at recall_k (twice top_k by default), fused, cut at top_k.
-    chunks is read three times: pass a written table."""
-    keys_, k = list(keys), recall_k or 2 * top_k
-    terms = query_terms(queries)
-    path = F.concat_ws(" ", F.col("path"), F.col("section_path"))
-    channels = {
-        "content": bm25(written(postings(chunks, F.col("content"), keys_)), terms, keys_),
-        "path": bm25(written(postings(chunks, path, keys_)), terms, keys_),
-        "term": term_hits(chunks, F.concat_ws("\n", F.col("content"), F.col("path")), queries, keys_),
-    }
-    ranked = None
-    for name, scored in channels.items():
-        own = top_rows(scored.withColumn("score", F.round("score", 9)), k, keys_).withColumn("channel", F.lit(name))
-        ranked = own if ranked is None else ranked.unionByName(own)
-    return top_rows(fused(ranked, keys_, weights), top_k, keys_)
-
-
 def small_corpus(chunks: DataFrame, queries: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """All rows of a query's scope with score 1 where the scope has at most top_k rows."""
-    scoped = queries.join(chunks, scope)
-    few = scoped.groupBy("query_id", "top_k").agg(F.count(F.lit(1)).alias("_n")).filter("_n <= top_k").select("query_id")
+    """All rows of a query's scope with score 1 where the scope has at most top_k rows. Scopes are counted first, so that only
+    rows of scopes that are small enough for some query meet queries."""
+    size = chunks.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    few = queries.join(size, scope).filter("_n <= top_k").drop("_n")
     w = Window.partitionBy("query_id").orderBy(*order)
-    return scoped.join(few, "query_id").withColumn("rank0", F.row_number().over(w) - 1).withColumn("score", F.lit(1.0)).withColumn("route", F.lit("small_corpus_all"))
+    return few.join(chunks, scope).withColumn("rank0", F.row_number().over(w) - 1).withColumn("score", F.lit(1.0)).withColumn("route", F.lit("small_corpus_all"))
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block: int = 512, slot: int = 65536) -> DataFrame:

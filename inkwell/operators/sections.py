@@ -119,13 +119,63 @@ def unique_titles(sections: DataFrame) -> DataFrame:
     return sections.withColumn("_n", n).withColumn("section_title", F.when(F.col("_n") > 1, F.concat("section_title", F.lit(" ("), "_n", F.lit(")"))).otherwise(F.col("section_title"))).drop("_n")
 
 
-def section_view(sections: DataFrame, scope: str, levels: int = 2) -> DataFrame:
-    """Sections below a scope ('' for the document), the next `levels` depths that occur, with a leaf flag."""
-    below = sections.filter(F.startswith("section_path", F.lit(scope + SEP))) if scope else sections.filter("section_path <> 'Root'")
-    w = Window.partitionBy(*DOC).orderBy("section_level")
-    parents = sections.select(*DOC, F.col("parent_path").alias("section_path")).distinct().withColumn("_inner", F.lit(True))
-    near = below.withColumn("_d", F.dense_rank().over(w)).filter(F.col("_d") <= levels).drop("_d")
-    return near.join(parents, [*DOC, "section_path"], "left").withColumn("is_leaf", F.col("_inner").isNull()).drop("_inner")
+def section_view(sections: DataFrame, views: DataFrame, scopes: DataFrame | None = None, excluded: DataFrame | None = None, levels: int = 2, counts: DataFrame | None = None) -> DataFrame:
+    """What each view (view_id, document_id) shows of its document's sections: the sections below its scopes, of each scope the
+    next `levels` depths that occur, and as context (show_summary false) the scopes' ancestors and what stands beside these.
+
+    scopes (view_id, document_id, scope) and excluded (view_id, document_id, path) may hold any number of paths per view;
+    a view without scopes shows the whole document. Excluded paths go with all below them, from what is shown, not from the
+    context. Root stands at depth 1. With counts (rolled_up) each row has the counts of its subtree. is_leaf: nothing is below.
+
+    Paths meet scopes and exclusions through their own prefixes, at most as many as they are deep, so any number of views is one job.
+    """
+    at = ["view_id", *DOC]
+    parts = section_parts(F.col("section_path"))
+    own = F.when(F.size(parts) == 0, F.array(F.lit("Root"))).otherwise(parts)
+    rows = views.select(*at).distinct().join(sections, DOC).withColumn("_parts", own).withColumn("depth", F.size("_parts"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", 1, i), SEP))
+    ups = rows.select(*at, "section_path", "depth", F.explode(prefixes).alias("_up"))
+    if scopes is None:
+        scopes = views.sparkSession.createDataFrame([], views.select(*at).withColumn("scope", F.lit("")).schema)
+    scopes = scopes.select(*at, "scope").distinct()
+    scope_parts = F.split("scope", SEP, -1)
+    deepest = scopes.groupBy(*at).agg(F.max(F.size(scope_parts)).alias("_deepest"))
+    below = ups.join(scopes.withColumnRenamed("scope", "_up"), [*at, "_up"]).filter("_up <> section_path").select(*at, "section_path", "depth", F.col("_up").alias("_scope"))
+    all_ = rows.join(deepest, at, "left_anti").select(*at, "section_path", "depth", F.lit(None).cast("string").alias("_scope"))
+    inside = below.unionByName(all_)
+    shown = inside
+    if excluded is not None:
+        out = ups.join(excluded.select(*at, F.col("path").alias("_up")), [*at, "_up"]).select(*at, "section_path").distinct()
+        shown = inside.join(out, [*at, "section_path"], "left_anti")
+    near = shown.withColumn("_d", F.dense_rank().over(Window.partitionBy(*at, "_scope").orderBy("depth"))).filter(F.col("_d") <= levels).select(*at, "depth").distinct()
+    shown = shown.select(*at, "section_path", "depth").distinct().join(near, [*at, "depth"], "left_semi").select(*at, "section_path", F.lit(True).alias("show_summary"))
+    chain = scopes.select(*at, F.explode(F.transform(F.sequence(F.lit(1), F.size(scope_parts)), lambda i: F.array_join(F.slice(scope_parts, 1, i), SEP))).alias("_up")).distinct()
+    beside = rows.join(deepest, at).filter("depth <= _deepest").withColumn("_up", F.when(F.col("depth") == 1, F.col("section_path")).otherwise(F.array_join(F.slice("_parts", 1, F.greatest(F.col("depth") - 1, F.lit(1))), SEP)))
+    context = beside.join(chain, [*at, "_up"], "left_semi").join(inside.select(*at, "section_path").distinct(), [*at, "section_path"], "left_anti").select(*at, "section_path", F.lit(False).alias("show_summary"))
+    inner = sections.filter("parent_path is not null").select(*DOC, F.col("parent_path").alias("section_path")).distinct().withColumn("_inner", F.lit(True))
+    view = rows.drop("_parts").join(shown.unionByName(context), [*at, "section_path"]).join(inner, [*DOC, "section_path"], "left").withColumn("is_leaf", F.col("_inner").isNull()).drop("_inner")
+    return view if counts is None else view.join(counts, [*DOC, "section_path"], "left").fillna(0, [c for c in counts.columns if c.startswith("n_")])
+
+
+def hierarchies(sections: DataFrame) -> DataFrame:
+    """A JSON tree of titles per document: {"title": {children}}, in section order; sibling titles that repeat are numbered.
+
+    Built from the deepest level up, one join per level: what moves are a section's children as one text.
+    """
+    quoted = lambda c: F.expr(f"substring(to_json(struct({c} AS k)), 6, length(to_json(struct({c} AS k))) - 6)")
+    level_of = F.greatest("section_level", F.lit(1)).alias("_level")  # Root stands beside the first level
+    rows = written(unique_titles(sections).select(*DOC, "section_path", F.coalesce("parent_path", F.lit("")).alias("_up"), "section_title", level_of, "sort_order"))
+    deepest = rows.agg(F.max("_level")).first()[0] or 1
+    kids = rows.limit(0).select(*DOC, "section_path", F.lit("{}").alias("_json"))
+    for level in range(deepest, 0, -1):
+        own = rows.filter(F.col("_level") == level).join(kids, [*DOC, "section_path"], "left")
+        own = own.withColumn("_entry", F.concat(quoted("section_title"), F.lit(":"), F.coalesce("_json", F.lit("{}"))))
+        kids = own.groupBy(*DOC, F.col("_up").alias("section_path")).agg(_json_object().alias("_json"))
+    return kids.select(*DOC, F.col("_json").alias("hierarchy"))
+
+
+def _json_object() -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "_entry"))), lambda x: x["_entry"]), ","), F.lit("}"))
 
 
 def ranked_sections(rows: DataFrame) -> DataFrame:
@@ -156,33 +206,46 @@ def renamed_repeats(rows: DataFrame, key: str = "document_id", order: str = "sor
     return out.withColumn("path", F.when((F.col("_n") == 1) & F.col("_b").isNotNull(), moved).otherwise(F.col("_new"))).drop("_n", "_new", "_b")
 
 
-def lineage(chunks: DataFrame, key: str = "chunk_id", parent: str = "parent_id", most: int = 64) -> DataFrame:
-    """key, root, depth of each chunk, by doubling: each round a pointer jumps twice as far, so rounds grow with
-    the logarithm of the depth. Chains that meet a missing parent end there; a cycle is reported as depth null. Of rows
-    with the same id the least parent counts."""
+def lineage(chunks: DataFrame, key: str = "chunk_id", parent: str = "parent_id") -> DataFrame:
+    """key, root, depth of each chunk, by doubling: each round a pointer jumps twice as far, so rounds grow with the logarithm of
+    the deepest chain, however deep. Chains that meet a missing parent end there. Of rows with the same id the least parent counts.
+
+    A cycle, and what leads into one, has root and depth null: rounds end when none has ended a chain, and as long as any chain is
+    still open, each round ends one. Every round is written and looks at the open chains only.
+    """
     once = chunks.groupBy(F.col(key).alias("node")).agg(F.min(parent).alias("to"))  # repeated ids would multiply with each jump
     jump = once.join(once.select(F.col("node").alias("to"), F.lit(True).alias("_there")), "to", "left")
-    jump = jump.select("node", F.when(F.col("_there"), F.col("to")).otherwise(F.col("node")).alias("to"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("far"), F.col("_there").isNull().alias("ended"))
-    steps = 1
-    while steps < most:
-        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("ended").alias("_ended"))
-        jump = jump.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("far") + F.when(F.col("ended"), 0).otherwise(F.col("_far"))).alias("far"), F.col("_ended").alias("ended"))
-        steps *= 2
-    return jump.select(F.col("node").alias(key), F.when(F.col("ended"), F.col("to")).alias("root"), F.when(F.col("ended"), F.col("far")).alias("depth"))
+    known = written(jump.select("node", F.when(F.col("_there"), F.col("to")).otherwise(F.col("node")).alias("to"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("far"), F.col("_there").isNull().alias("ended")))
+    done, open_ = known.filter("ended"), known.filter("not ended")
+    left = open_.count()
+    while left:
+        ahead = done.unionByName(open_).select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("far").alias("_far"), F.col("ended").alias("_ended"))
+        moved = written(open_.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("far") + F.col("_far")).alias("far"), F.col("_ended").alias("ended")))
+        done, open_, before = done.unionByName(moved.filter("ended")), moved.filter("not ended"), left
+        left = open_.count()
+        if left == before:
+            break
+    none = open_.select(F.col("node").alias(key), F.lit(None).cast(chunks.schema[parent].dataType).alias("root"), F.lit(None).cast("long").alias("depth"))
+    return done.select(F.col("node").alias(key), F.col("to").alias("root"), F.col("far").alias("depth")).unionByName(none)
 
 
-def plan_levels(steps: DataFrame, needs: DataFrame, most: int = 20) -> DataFrame:
+def plan_levels(steps: DataFrame, needs: DataFrame) -> DataFrame:
     """steps(plan_id, step_id), needs(plan_id, step_id, needed) -> level of each step, null for steps in or behind a
-    cycle or behind a missing step; duplicate ids are marked."""
+    cycle or behind a missing step; duplicate ids are marked. There is no limit of levels.
+
+    Each round takes the steps that became free in the last one away from the open needs, and writes what is left.
+    """
     rows = steps.groupBy("plan_id", "step_id").agg((F.count(F.lit(1)) > 1).alias("duplicate"))
-    done = written(rows.join(needs.select("plan_id", "step_id").distinct(), ["plan_id", "step_id"], "left_anti").select("plan_id", "step_id", F.lit(0).alias("level")))
-    for level in range(1, most):
-        open_ = needs.join(done.select("plan_id", F.col("step_id").alias("needed"), F.lit(1).alias("_ok")), ["plan_id", "needed"], "left")
-        ready = open_.groupBy("plan_id", "step_id").agg(F.min(F.coalesce("_ok", F.lit(0))).alias("_all")).filter("_all = 1").select("plan_id", "step_id")
-        new = written(ready.join(done, ["plan_id", "step_id"], "left_anti").withColumn("level", F.lit(level)))  # each level is made once
-        if new.isEmpty():
-            break
-        done = done.unionByName(new)
+    open_ = written(needs.select("plan_id", "step_id", "needed").distinct().join(rows.select("plan_id", "step_id"), ["plan_id", "step_id"], "left_semi"))
+    free = written(rows.join(open_.select("plan_id", "step_id").distinct(), ["plan_id", "step_id"], "left_anti").select("plan_id", "step_id"))
+    done, level = free.withColumn("level", F.lit(0)), 0
+    while not free.isEmpty():
+        level += 1
+        met = free.select("plan_id", F.col("step_id").alias("needed"))
+        touched = open_.join(met, ["plan_id", "needed"], "left_semi").select("plan_id", "step_id").distinct()
+        open_ = written(open_.join(met, ["plan_id", "needed"], "left_anti"))
+        free = written(touched.join(open_.select("plan_id", "step_id"), ["plan_id", "step_id"], "left_anti"))
+        done = done.unionByName(free.withColumn("level", F.lit(level)))
     return rows.join(done, ["plan_id", "step_id"], "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 
 
 def _before(key: str, order: str) -> Window:
@@ -83,32 +84,27 @@ def joined_body(rows: DataFrame, key: str = "doc_id", order: str = "line_no") ->
 
 
 def merged_gaps(rows: DataFrame, key: str = "doc_id", order: str = "line_no", few: int = 3) -> DataFrame:
-    """Two headings of one level and reason with little between them (at most `few` tokens, or less than half of the
-    first) become one, again inside what is left. State is a document's rows, so this is one function per document."""
-    import pandas as pd
-
-    def tokens(text: str) -> int:
-        import re
-
-        return len(re.findall(r"[一-鿿]|[A-Za-z]+|\d+(?:\.\d+)?", text or ""))
-
-    def merge(doc: pd.DataFrame) -> pd.DataFrame:
-        items = doc.sort_values(order).to_dict("records")
-        k = 0
-        while k < len(items):
-            first = items[k]
-            if first["level"] > 0:
-                nxt = next((n for n in range(k + 1, len(items)) if items[n]["level"] > 0), None)
-                if nxt is not None and (items[nxt]["level"], items[nxt]["reason"]) == (first["level"], first["reason"]):
-                    between = sum(tokens(x["title"]) for x in items[k + 1 : nxt])
-                    if nxt > k + 1 and (between <= few or between * 2 < tokens(first["title"])):
-                        first["title"] = " ".join(x["title"] for x in items[k : nxt + 1])
-                        del items[k + 1 : nxt + 1]
-                        continue
-            k += 1
-        return pd.DataFrame(items, columns=doc.columns)
-
-    return rows.groupBy(key).applyInPandas(merge, rows.schema)
+    """Little body text between two headings of one level and reason (at most `few` tokens, or less than half of the first
+    heading's) belongs to the first heading: its lines are appended to the title and go.
+
+    Only neighbouring headings can have nothing but body between them, so each gap is judged by itself: sums per gap, and
+    the texts of those gaps alone that are short. Rows stay in order; columns: key, order, title, level, reason and more.
+    """
+    head = F.col("level") > 0
+    marked = rows.withColumn("_gap", F.sum(head.cast("int")).over(_before(key, order)))
+    size = T.token_count(F.trim(T.text_or_empty(F.col("title"))))
+    gaps = marked.groupBy(key, "_gap").agg(
+        F.max(F.when(head, F.struct("level", "reason"))).alias("_code"), F.sum(F.when(head, size).otherwise(0)).alias("_own"), F.sum(F.when(head, 0).otherwise(size)).alias("_between"), F.count_if(~head).alias("_n"),
+    )
+    same = F.col("_code").eqNullSafe(F.lead("_code").over(Window.partitionBy(key).orderBy("_gap")))
+    short = (F.col("_between") <= few) | (F.col("_between") < F.floor(F.col("_own") / 2))
+    gaps = gaps.withColumn("_same", same).filter((F.col("_gap") > 0) & (F.col("_n") > 0) & F.col("_same") & short).select(key, "_gap", F.lit(True).alias("_short"))
+    met = marked.join(gaps, [key, "_gap"], "left")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.trim("title") != "", F.struct(order, F.trim("title").alias("t"))))), lambda x: x["t"])
+    more = met.filter(F.col("_short") & ~head).groupBy(key, "_gap").agg(F.array_join(texts, "\n").alias("_more"))
+    out = met.filter(head | F.col("_short").isNull()).join(more, [key, "_gap"], "left")
+    grown = F.when(head & (F.col("_more") != ""), F.concat_ws(" ", F.trim("title"), "_more")).otherwise(F.col("title"))
+    return out.withColumn("title", grown).select(*rows.columns)
 
 
 def continued_headings(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -276,19 +272,61 @@ def text_before(rows: DataFrame, keys: list[str], order: str = "line_no", most:
     return rows.withColumn("context", F.right(F.last(usable, True).over(w), F.lit(most)))
 
 
-def predicted_titles(lines: DataFrame, titles: DataFrame | None = None, key: str = "doc_id", order: str = "line_no", word_text: bool = False) -> DataFrame:
-    """Headings of documents: levels from markers and numbering, demotion before the first contents title, merging of
-    broken lines (for word-processor text), removal of lone leaves."""
-    rows = line_levels(lines, key, order)
+#: Lines that hold a comment, a table or an image are no headings; they stand as this text.
+FIGURE = "Figure/Image"
+
+
+def heading_candidates(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """Filled lines with title, level (-1: body) and reason, the codes of the evidence for and against a heading.
+
+    A level is the larger of the marker's and the numbering's depth; numbering of one depth alone counts as level 1.
+    """
+    bare = F.trim("line")
+    other = (F.contains(bare, F.lit("<!--")) & F.contains(bare, F.lit("-->"))) | F.startswith(bare, F.lit("|")) | F.startswith(bare, F.lit("<table>")) | (F.contains(bare, F.lit("![")) & F.contains(bare, F.lit("](")))
+    md = T.markdown_heading(bare)
+    rows = written(lines.filter(bare != "").withColumns({"title": F.when(other, FIGURE).otherwise(F.trim(T.without_bold(md["title"]))), "_marker": F.when(~other, md["level"])}))
+    # written before the patterns and behind them: they are large expressions, which are to run once
+    codes = written(rows.withColumns({"_for": T.heading_evidence(F.col("title")), "_against": T.body_evidence(F.col("title"), punctuation=True)}))
+    code = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+    level = F.when(F.col("_marker").isNull(), -1).otherwise(T.level_by(F.col("_marker"), F.array_max("_for"), F.array_max("_against") > 0, fallback=True))
+    reason = F.when(F.col("_marker").isNull(), FIGURE).otherwise(F.concat(F.lit("POS "), code("_for"), F.lit(" NEG "), code("_against")))
+    return codes.withColumns({"level": level, "reason": reason}).drop("_marker", "_for", "_against")
+
+
+def predicted_titles(lines: DataFrame, titles: DataFrame | None = None, areas: DataFrame | None = None, marks: DataFrame | None = None, key: str = "doc_id", order: str = "line_no", word_text: bool = False) -> DataFrame:
+    """Headings of documents: key, order, title, level.
+
+    1. Candidates by markers and numbering (heading_candidates). 2. Lines before the first level-1 title of a document's
+    contents (titles) become body. 3. Where areas gives a document two or more contents areas (area, first_line, last_line,
+    numbered before their lines were taken out), each line belongs to the zone of the area before it, and lines of no zone are
+    no headings; a document with one area or none is one zone. 4. In word_text broken body lines are joined and short gaps
+    between like headings closed, within zones. 5. Lines named in marks (key, order) go on the heading before them. 6. Leaves that
+    are only children go, levels become depths.
+    """
+    rows = heading_candidates(lines, key, order)
     if titles is not None:
         rows = demoted(rows, body_start(lines, titles, key, order), key, order)
+    rows = rows.withColumn("_zone", F.lit(0))
+    if areas is not None:
+        several = areas.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+        sizes = lines.groupBy(key).agg((F.max(order) + 1).alias("_left")).join(areas.groupBy(key).agg(F.sum(F.col("last_line") - F.col("first_line") + 1).alias("_gone")), key)
+        zone = zones(areas.join(several, key, "left_semi"), sizes.select(key, (F.col("_left") + F.col("_gone")).alias("n_lines")), key)
+        inside = governed(rows.join(several, key, "left_semi").select(key, order), zone, key, order).filter("zone is not null").select(key, order, F.col("zone").alias("_z"))
+        rows = rows.join(several.withColumn("_s", F.lit(True)), key, "left").join(inside, [key, order], "left").filter("_s is null or _z is not null")
+        rows = rows.withColumn("_zone", F.coalesce("_z", F.lit(0)))
+    rows = rows.select(F.struct(key, "_zone").alias("_part"), key, order, "title", "level", "reason")
     if word_text:
-        rows = joined_body(rows, key, order)
+        rows = written(rows)
+        joined = joined_body(rows.drop(key), "_part", order)
+        codes = rows.select("_part", order, "reason")
+        rows = merged_gaps(joined.join(codes, ["_part", order]).select("_part", order, "title", "level", "reason"), "_part", order)
+    rows = rows.select(F.col(f"_part.{key}").alias(key), order, "title", "level")
+    if marks is not None:
+        rows = rows.join(marks.select(key, order, F.lit("<").alias("mark")).distinct(), [key, order], "left")
+        rows = continued_headings(rows, key, order).drop("mark")
     return without_single_leaves(rows.filter("level > 0").select(key, order, "title", "level"), key, order)
 
 
-
-
 def labelled_areas(blocks: DataFrame, key: str = "doc_id", order: str = "block_no", label: str = "toc") -> DataFrame:
     """Contents areas from the layout's labels: runs of blocks with that label (whatever its case), an entry per filled line."""
     w = Window.partitionBy(key).orderBy(order)

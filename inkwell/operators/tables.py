@@ -24,7 +24,7 @@ def pipe_cells(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def html_cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Cells of flat HTML tables; tables that hold tables are left to html_nested."""
+    """Cells of the innermost HTML tables, with one look at each table; html_tables() also reads tables that hold tables."""
     tables = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)<table\b[^>]*>((?:(?!<table\b).)*?)</table>"), F.lit(1))
     rows = pages.select(key, F.posexplode(tables).alias("table_no", "_t")).select(key, "table_no", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "_r"))
     heads = F.regexp_extract_all("_r", F.lit(r"(?is)<(t[dh])\b"), F.lit(1))
@@ -35,8 +35,50 @@ def html_cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return out.select(key, "table_no", "row", "col", value.alias("value"), (F.lower("_x.h") == "th").alias("is_header"), span("rowspan").alias("rowspan"), span("colspan").alias("colspan"))
 
 
-def html_nested(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    return pages.filter(F.col(html).rlike(r"(?is)<table\b(?:(?!</table>).)*<table\b")).select(key)
+def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """Cells of all HTML tables, of those inside tables, too: key, table_no, depth, row, col, value, is_header, rowspan, colspan,
+    and for a table inside another one the parent_table, parent_row and parent_col that hold it.
+
+    Tags and the texts behind them are rows; a running sum gives the depth of tables, and what stands at one depth belongs to the table
+    opened last at that depth. A cell's value is its own text, before and behind a table inside it, without that table's.
+    Tables are numbered in the order in which they open; a closing tag without an opening one is left out, an open end ends with the page.
+    """
+    tag = r"(?is)<(/?)(table|tr|t[dh])\b[^>]*>"
+    text = F.coalesce(F.col(html), F.lit(""))
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(tag), F.lit(0)).alias("tag"), F.slice(F.split(text, tag, -1), F.lit(2), F.greatest(F.size(F.split(text, tag, -1)) - 1, F.lit(0))).alias("text"))
+    rows = pages.select(F.col(key).alias("_key"), F.posexplode(parts).alias("_pos", "_x")).select("_key", "_pos", "_x.tag", "_x.text")
+    kind = F.lower(F.regexp_extract("tag", tag, 2))
+    shut = F.regexp_extract("tag", tag, 1) == "/"
+    rows = rows.withColumns({"_kind": F.when(kind == "th", "td").otherwise(kind), "_shut": shut, "is_header": kind == "th"})
+    w = Window.partitionBy("_key").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("_kind") == "table", F.when(F.col("_shut"), -1).otherwise(1)).otherwise(0)
+    rows = rows.withColumn("_sum", F.sum(step).over(w))
+    stray = F.least(F.min("_sum").over(w), F.lit(0))  # closing tags without an opening one so far
+    rows = rows.withColumn("depth", (F.col("_sum") - stray).cast("int")).withColumn("_opens", (F.col("_kind") == "table") & ~F.col("_shut"))
+    rows = rows.withColumn("_number", F.when(F.col("_opens"), F.sum(F.col("_opens").cast("int")).over(w) - 1))
+    # a table that opens is also an event at the depth around it
+    events = rows.withColumn("_inner", F.explode(F.when(F.col("_opens") & (F.col("depth") > 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    events = events.withColumn("depth", F.col("depth") - F.col("_inner").cast("int")).filter("depth > 0")
+    level = Window.partitionBy("_key", "depth").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
+    outer = ~F.col("_inner")
+    events = events.withColumn("table_no", F.last(F.when(F.col("_opens") & outer, F.col("_number")), True).over(level))
+    table = Window.partitionBy("_key", "table_no").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
+    starts = lambda k: outer & (F.col("_kind") == k) & ~F.col("_shut")
+    events = events.withColumn("row", F.greatest(F.sum(starts("tr").cast("int")).over(table) - 1, F.lit(0)))
+    line = Window.partitionBy("_key", "table_no", "row").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("col", F.sum(starts("td").cast("int")).over(line) - 1)
+    leaves = F.col("_shut") & F.col("_kind").isin("td", "tr") | starts("tr") | (F.col("_opens") & outer)
+    events = events.withColumn("_in", F.last(F.when(starts("td"), F.lit(True)).when(outer & leaves, F.lit(False)), True).over(table))
+    homes = events.filter("_inner and _in").select("_key", F.col("_number").alias("table_no"), F.col("table_no").alias("parent_table"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
+    said = F.when(outer, F.regexp_replace("text", r"(?s)<[^>]*>", " "))
+    span = lambda c: F.coalesce(F.regexp_extract("tag", rf"(?i){c}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
+    own = events.filter("_in and not _inner").groupBy("_key", "table_no", "depth", "row", "col").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", said.alias("t")))), lambda x: x["t"]), " ").alias("_text"), F.max(F.when(starts("td"), F.col("is_header"))).alias("is_header"),
+        F.max(F.when(starts("td"), span("rowspan"))).alias("rowspan"), F.max(F.when(starts("td"), span("colspan"))).alias("colspan"),
+    )
+    value = F.trim(F.regexp_replace("_text", r"\s+", " "))
+    out = own.join(homes, ["_key", "table_no"], "left")
+    return out.select(F.col("_key").alias(key), "table_no", "depth", "row", "col", value.alias("value"), "is_header", "rowspan", "colspan", "parent_table", "parent_row", "parent_col")
 
 
 def header_grid(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as R
 from ..functions import text as T
 from ..operators import assembly as A
-from ..operators import search as S
+from ..operators import topk as K
 from ..operators import sections as N
 from ..operators.chunking import chunk_table
 from ..sources import scans as X
@@ -21,7 +21,7 @@ ESTIMATE = r"CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, floor(greates
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
     chunks = corpus(spark, sf)
-    return S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content", F.col("chunk_no").alias("sort_order"), F.concat(F.lit("doc_"), "document_id", F.lit(".txt")).alias("source_file_name")), KEYS)
+    return K.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content", F.col("chunk_no").alias("sort_order"), F.concat(F.lit("doc_"), "document_id", F.lit(".txt")).alias("source_file_name")), KEYS)
 
 
 @query(f"""{HYBRID}, r AS (SELECT b.query_id, b.document_id, b.chunk_no, c.section_path, c.content, lag(c.section_path) OVER w AS prev, row_number() OVER w AS n FROM best b JOIN chunks c USING (document_id, chunk_no)

@@ -223,4 +223,4 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as a chain of chunks: each line's parent is the line before."""
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rows = table(spark, sf, "lineitem").select(key.alias("chunk_id"), F.when(F.col("l_linenumber") > 1, key - 1).alias("parent_id"))
-    return N.lineage(rows, most=8)
+    return N.lineage(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import filters as L
 from ..operators import search as S
+from ..operators import topk as K
 from ..operators.chunking import chunk_table, packed_lines
 from ..sources.store import written
 from .registry import query, table
@@ -126,8 +127,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 SELECT b.query_id, b.document_id, b.chunk_no, b.rank0, round(b.score, 6) AS score, c.chunk_id, c.section_path FROM best b JOIN chunks c USING (document_id, chunk_no)""")
 def bm25_content(spark: SparkSession, sf: str) -> DataFrame:
     chunks = corpus(spark, sf)
-    scored = S.bm25(written(S.postings(chunks, F.col("content"), KEYS)), S.query_terms(asked(spark, sf)), KEYS).withColumn("score", F.round("score", 9))
-    best = S.top_rows(scored, 10, KEYS).withColumn("score", F.round("score", 6))
+    best = K.bm25_top(K.packed(chunks, T.tokens(F.col("content")), KEYS), S.query_terms(asked(spark, sf)), 10).withColumn("score", F.round("score", 6))
     return L.cited(best.join(chunks.select(*KEYS, "chunk_id", "section_path"), KEYS)).drop("citation")
 
 
@@ -135,21 +135,20 @@ def bm25_content(spark: SparkSession, sf: str) -> DataFrame:
 SELECT query_id, document_id, chunk_no, rank0, score FROM {ranked_sql("term", 10)}""")
 def term_search(spark: SparkSession, sf: str) -> DataFrame:
     chunks = corpus(spark, sf)
-    hits = S.term_hits(chunks, F.concat_ws("\n", F.col("content"), F.col("path")), asked(spark, sf), KEYS)
-    return S.top_rows(hits, 10, KEYS)
+    return K.term_top(chunks, F.concat_ws("\n", F.col("content"), F.col("path")), asked(spark, sf), KEYS, 10)
 
 
 @query(f"""WITH {CHUNKS}, {TERMS}, own AS (SELECT document_id, chunk_no, unnest(list_distinct({tokens_sql("content")})) AS term FROM chunks),
 content AS (SELECT query_id, document_id, chunk_no, count(*)::DOUBLE AS score FROM own JOIN terms USING (term) GROUP BY ALL)
 SELECT query_id, document_id, chunk_no, rank0, score FROM {ranked_sql("content", 10)}""")
 def overlap_search(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(docs(spark, sf))
-    return S.top_rows(S.overlap(S.postings(chunks, F.col("content"), KEYS), S.query_terms(asked(spark, sf)), KEYS).drop("tf"), 10, KEYS)
+    index = K.packed(chunk_table(docs(spark, sf)), T.tokens(F.col("content")), KEYS)
+    return K.overlap_top(index, S.query_terms(asked(spark, sf)), 10)
 
 
 @query(f"{HYBRID} SELECT query_id, document_id, chunk_no, rank0, score FROM best")
 def hybrid_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    return S.hybrid(corpus(spark, sf), asked(spark, sf))
+    return K.hybrid(corpus(spark, sf), asked(spark, sf))
 
 
 @query(f"""{HYBRID}, sections AS (
@@ -160,7 +159,7 @@ SELECT *, CASE WHEN max(score) OVER w <= 0 THEN 0 WHEN max(score) OVER w = min(s
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Fused rows merged by section, with scores from 0 to 1."""
     chunks = corpus(spark, sf)
-    best = S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content"), KEYS)
+    best = K.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "chunk_id", "section_path", "content"), KEYS)
     out = S.normalised(S.same_section(best, KEYS, F.col("section_path")), ["query_id"])
     return out.withColumn("content_sha", F.sha2("content", 256)).drop("content")
 
@@ -168,14 +167,14 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{HYBRID}, counts AS (SELECT query_id, document_id, count(*) AS n_rows FROM best GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_rows DESC, document_id) - 1 AS rank0 FROM counts QUALIFY rank0 < 5""")
 def top_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return S.top_documents(S.hybrid(corpus(spark, sf), asked(spark, sf)))
+    return S.top_documents(K.hybrid(corpus(spark, sf), asked(spark, sf)))
 
 
 @query(f"""{HYBRID}, firsts AS (SELECT b.query_id, b.document_id, c.section_path, min(b.rank0) AS r FROM best b JOIN chunks c USING (document_id, chunk_no)
 WHERE c.section_path <> 'Root' GROUP BY ALL) SELECT query_id, document_id, string_agg(section_path, '|' ORDER BY r, section_path) AS paths FROM firsts GROUP BY ALL""")
 def discovery_signals(spark: SparkSession, sf: str) -> DataFrame:
     chunks = corpus(spark, sf)
-    best = S.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "section_path"), KEYS)
+    best = K.hybrid(chunks, asked(spark, sf)).join(chunks.select(*KEYS, "section_path"), KEYS)
     return S.discovery_signals(best).withColumn("paths", F.array_join("paths", "|"))
 
 
@@ -195,8 +194,7 @@ def multi_query_workflow(spark: SparkSession, sf: str) -> DataFrame:
 
     steps = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("parent_id"), F.col("turn").alias("step_id"), F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
     chunks = corpus(spark, sf)
-    scored = S.bm25(written(S.postings(chunks, F.col("content"), KEYS)), S.query_terms(steps), KEYS).withColumn("score", F.round("score", 9))
-    best = S.top_rows(scored, 3, KEYS).join(steps.select("query_id", "parent_id", "step_id"), "query_id")
+    best = K.bm25_top(K.packed(chunks, T.tokens(F.col("content")), KEYS), S.query_terms(steps), 3).join(steps.select("query_id", "parent_id", "step_id"), "query_id")
     return union_references(best, KEYS).select("parent_id", *KEYS, "step_id", "position")
 
 

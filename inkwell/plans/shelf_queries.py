@@ -211,12 +211,6 @@ def placed_assets(spark: SparkSession, sf: str) -> DataFrame:
 # --- navigation --------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SHELF}, d AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY section_level) AS r FROM tree WHERE section_path <> 'Root')
-SELECT document_id, section_path, section_path NOT IN (SELECT coalesce(parent_path, '') FROM tree t WHERE t.document_id = d.document_id) AS is_leaf FROM d WHERE r <= 2""")
-def section_view(spark: SparkSession, sf: str) -> DataFrame:
-    return N.section_view(N.section_table(shelf(spark, sf)), "").select("document_id", "section_path", "is_leaf")
-
-
 @query(f"""WITH {SHELF}, f AS (SELECT document_id, section_path, min_by(summary, sort_order) AS s FROM shelf WHERE summary IS NOT NULL GROUP BY ALL) SELECT t.document_id, t.section_path, CASE WHEN t.section_level = 2 THEN 'own' ELSE f.s END AS summary FROM tree t LEFT JOIN f USING (document_id, section_path)""")
 def summary_backfill(spark: SparkSession, sf: str) -> DataFrame:
     s = shelf(spark, sf)

@@ -49,7 +49,7 @@ def toc_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Contents entries with numbering and page numbers around them; first words that could be Roman numerals are left out."""
     n = F.col("line_no") % 4
     bare = F.regexp_extract("line", "^[A-Z][a-z]+ [a-z]+", 0)
-    entry = F.when(n == 0, F.concat(F.lit("3.1 "), bare, F.lit(" ..... 17"))).when(n == 1, F.concat(F.lit("# 第二章 "), bare, F.lit("··· 4"))).when(n == 2, F.concat(F.lit("（三）"), bare)).otherwise(F.concat(bare, F.lit(" 9 ")))
+    entry = F.when(n == 0, F.concat(F.lit("3.1 "), bare, F.lit(" ..... 17"))).when(n == 1, F.concat(F.lit("第二章 "), bare, F.lit("··· 4"))).when(n == 2, F.concat(F.lit("（三）"), bare)).otherwise(F.concat(bare, F.lit(" 9 ")))
     return lines(spark, sf).filter("line rlike '^[A-Z][a-z]*[abefghjknopqrstuwyz][a-z]* [a-z]'").select("doc_id", "line_no", T.toc_title(entry).alias("title"))
 
 

@@ -83,16 +83,54 @@ def layout_spans(docs: DataFrame, key: str = "doc_id", layout: str = "layout") -
 
 
 def bundle_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks with metadata by type, ready to be written by namespace."""
-    media = F.col("chunk_type").isin("image", "table")
-    meta = F.struct(F.length("content").alias("length"), F.when(media, F.col("file_path")).alias("file_path"), F.when(media, F.element_at(F.split("file_path", "/"), -1)).alias("original_name"))
-    return chunks.select("namespace", "document_id", "chunk_id", F.col("chunk_type").alias("type"), "content", "path", meta.alias("metadata"), F.col("sort_order").alias("order"))
+    """Chunks with metadata by type, ready to be written by namespace: all have length, summary and page numbers, texts also tokens,
+    keywords and connections, media their keywords and file (a table without one is named after the end of its path).
+
+    Columns that chunks lacks (summary, page_nums, tokens, keywords, connect_to, file_path, document_top_summary) count as null.
+    """
+    kinds = {"summary": "string", "page_nums": "array<int>", "tokens": "array<string>", "keywords": "array<string>", "file_path": "string", "document_top_summary": "string", "connect_to": "array<struct<target:string,relation:string,ref:string>>"}
+    at = {c: F.col(c) if c in chunks.columns else F.lit(None).cast(t) for c, t in kinds.items()}
+    first = F.lower(F.trim(F.split(F.trim("chunk_type"), "\n")[0]))
+    kind = F.when(first.isin("image", "table"), first).otherwise("text")
+    text, table = kind == "text", kind == "table"
+    named = F.when(F.contains("path", F.lit("/")), F.element_at(F.split("path", "/"), -1)).otherwise(F.concat(F.lit("table_"), F.col("chunk_id"), F.lit(".html")))
+    file = F.when(table, F.coalesce(F.nullif(at["file_path"], F.lit("")), F.concat(F.lit("tables/"), named))).when(~text, at["file_path"])
+    meta = F.struct(
+        F.length("content").alias("length"), F.coalesce(at["summary"], F.lit("")).alias("summary"), F.coalesce(at["page_nums"], F.array().cast("array<int>")).alias("page_nums"),
+        F.nullif(F.trim(F.coalesce(at["document_top_summary"], F.lit(""))), F.lit("")).alias("document_top_summary"), F.when(text, at["tokens"]).otherwise(F.array().cast("array<string>")).alias("tokens"),
+        F.coalesce(at["keywords"], F.array().cast("array<string>")).alias("keywords"), F.when(text, at["connect_to"]).alias("connect_to"), file.alias("file_path"), F.element_at(F.split(file, "/"), -1).alias("original_name"),
+    )
+    return chunks.select("namespace", "document_id", "chunk_id", kind.alias("type"), "content", "path", meta.alias("metadata"), F.col("sort_order").alias("order"))
 
 
 def manifests(chunks: DataFrame, version: str = "2.0") -> DataFrame:
-    """A JSON manifest per document."""
+    """A JSON manifest per document, of its statistics alone (see full_manifests)."""
+    stats = _statistics(chunks)
+    return stats.select("document_id", F.to_json(F.struct(F.lit(version).alias("version"), "document_id", "statistics")).alias("manifest"))
+
+
+def _statistics(chunks: DataFrame) -> DataFrame:
     stats = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("chunk_type") == k).alias(k) for k in ("text", "image", "table")])
-    return stats.select("document_id", F.to_json(F.struct(F.lit(version).alias("version"), "document_id", F.struct("total", "text", "image", "table").alias("statistics"))).alias("manifest"))
+    return stats.select("document_id", F.struct("total", "text", "image", "table").alias("statistics"))
+
+
+def full_manifests(jobs: DataFrame, chunks: DataFrame, trees: DataFrame, version: str = "2.0") -> DataFrame:
+    """document_id and its JSON manifest: names, time, cost and stages of the job that made it, statistics of its chunks and the tree of
+    its titles (trees: document_id, hierarchy, see sections.hierarchies).
+
+    jobs: document_id, job_id, data_id, source_file_name, processed_at, page_count, billing_status, micro_dollars, credits, started_at,
+    completed_at, stages (a map of milliseconds). Fields that are null are left out; a document without chunks has an empty tree.
+    """
+    took = (F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).alias("duration_ms")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
+    cost, timing = F.struct("micro_dollars", "credits").alias("cost"), F.struct(stamp("started_at"), stamp("completed_at"), took).alias("timing")
+    rows = jobs.join(_statistics(chunks), "document_id", "left").join(trees, "document_id", "left")
+    head = F.to_json(F.struct(
+        F.lit(version).alias("version"), "job_id", "data_id", "source_file_name", F.concat(F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("processing_date"),
+        F.struct("page_count", "billing_status", cost, timing, F.coalesce("stages", F.create_map().cast("map<string,long>")).alias("stages")).alias("processing"), "statistics",
+    ))
+    body = F.substring(head, F.lit(1), F.length(head) - 1)
+    return rows.select("document_id", F.concat(body, F.lit(',"HIERARCHY":'), F.coalesce("hierarchy", F.lit("{}")), F.lit("}")).alias("manifest"))
 
 
 def write_bundles(rows: DataFrame, path: str) -> None:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.buckets import BucketTable
+
 LATE = "10 minutes"
 
 
@@ -109,36 +111,53 @@ def hit_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("document_id", "chunk_id").agg(F.count(F.lit(1)).alias("hit_count"), F.min("ts").alias("created_at"), F.max("ts").alias("last_hit_at"))
 
 
-def upserting(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the latest row per key as versions below path; a batch written twice is the same."""
+def upserting(path: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the latest row per key in a BucketTable below path; a batch written twice is the same."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        if batch:
-            old = spark.read.schema(rows.schema).parquet(f"{path}/version={batch - 1}")
-            rows = old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        newest = lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+        BucketTable(rows.sparkSession, path, keys, buckets).apply(rows, batch, newest)
 
     return write
 
 
-def publishing(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+def publishing(spark: SparkSession, path: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink of parsed chunks (document_id, revision_id, job_created_at, …): of each document only the
-    revision of the newest job stays, a batch that arrives late changes nothing."""
+    revision of the newest job stays, a batch that arrives late changes nothing. Only the buckets of the batch's documents are written."""
     from ..operators.sections import latest_revisions, published
 
-    def write(rows: DataFrame, batch: int) -> None:
-        old = spark.read.schema(rows.schema).parquet(f"{path}/version={batch - 1}") if batch else rows.limit(0)
-        known = old.select("document_id", "revision_id", "job_created_at").distinct().unionByName(rows.select("document_id", "revision_id", "job_created_at").distinct())
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        known = old.select("document_id", "revision_id", "job_created_at").unionByName(new.select("document_id", "revision_id", "job_created_at")).distinct()
         best = latest_revisions(known).select("document_id", "revision_id")
-        new = rows.join(best, ["document_id", "revision_id"], "left_semi")
-        published(old, new.select(*old.columns)).write.mode("overwrite").parquet(f"{path}/version={batch}")
+        return published(old, new.join(best, ["document_id", "revision_id"], "left_semi"))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        BucketTable(spark, path, ["document_id"], buckets).apply(rows, batch, merge)
 
     return write
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
     """The table that upserting and publishing keep below path, as its last batch left it."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.filter(F.col("version") == F.lit(last)).drop("version")
+    return BucketTable(spark, path, []).read()
+
+
+def recovered_deliveries(sent: DataFrame, callbacks: DataFrame, minutes: int = 5, late: str = LATE) -> DataFrame:
+    """Delivery recovery as a stream: event_id, key, ts, status, orphan of each sent event.
+
+    Callbacks that repeat (by key and time) count once within the watermark. A sent event meets the callbacks of its key in the minutes
+    after; it has the strongest status of those (STATUS_ORDER), and without any it is an orphan and still pending. Two streams
+    meet in an outer join, so a row without callback comes once event time has left its minutes behind; statuses are summed
+    up per event when their window closes.
+    """
+    a = sent.select("event_id", "key", F.col("ts").cast("timestamp").alias("ts"))
+    b = callbacks.select(F.col("key").alias("_key"), F.col("ts").cast("timestamp").alias("_ts"), "status")
+    if sent.isStreaming:
+        a, b = a.withWatermark("ts", late), b.withWatermark("_ts", late).dropDuplicatesWithinWatermark(["_key", "_ts", "status"])
+    else:
+        b = b.dropDuplicates(["_key", "_ts", "status"])
+    near = F.expr(f"key = _key and _ts >= ts and _ts <= ts + interval {minutes} minutes")
+    rank = F.array_position(F.lit(list(STATUS_ORDER)), F.coalesce("status", F.lit("pending")))
+    met = a.join(b, near, "leftOuter").select("event_id", "key", "ts", rank.alias("_rank"), F.col("_key").isNotNull().cast("int").alias("_met"))
+    each = met.groupBy(F.window("ts", "1 second"), "event_id", "key").agg(F.min("ts").alias("ts"), F.max("_rank").alias("_rank"), F.max("_met").alias("_met"))
+    return each.select("event_id", "key", "ts", F.element_at(F.lit(list(STATUS_ORDER)), F.col("_rank").cast("int")).alias("status"), (F.col("_met") == 0).alias("orphan"))
