@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import named, row_key
+
 #: Equivalent spellings, replaced as whole words (fixed values: the usual list of varietal words).
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "authorisation": "authorization", "authorised": "authorized", "catalogue": "catalog", "centre": "center",
@@ -44,6 +46,38 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain."),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>""",
+    ),
+    (
+        "BSL-1.0",
+        """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    *((f"CC-{kind}-{version}", f"{verb} CC {kind} {version}.") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") for version in ("3.0", "4.0") for verb in ("Licensed under", "This work is licensed under", "Released under")),
+    *(
+        (f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.")
+        for kind, name in (("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    ),
+    *((name, f"Licensed under the {title}.") for name, title in (("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("Zlib", "zlib License"), ("BSL-1.0", "Boost Software License, Version 1.0"))),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
 ]
 #: Whole licence texts, a file per licence, and the line that ends the terms of some; an appendix follows it.
 TEXTS, END = Path(__file__).with_name("license_texts"), "END OF TERMS AND CONDITIONS"
@@ -121,27 +155,41 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", know
     input an empty result. Columns other than key and text are not read.
     """
     table = F.broadcast(known_digests(docs.sparkSession, known))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(named(key).alias("_key"), named(text).alias("_text"))
+    row = row_key("_key", "_text").alias("_row")
     whole = rows.select("_key", "_text", digest(F.col("_text")).alias("text_digest"))
     whole = whole.join(table.withColumnRenamed("_digest", "text_digest"), "text_digest", "left")
     # only lines that hold a word of a known text can be one; others need no canonical form
     words = needed_words(docs.sparkSession, known)
-    lines = rows.filter(_may_hold(F.col("_text"), words)).select("_key", F.xxhash64("_key", "_text").alias("_row"), F.explode(F.split("_text", "\n")).alias("_line"))
+    lines = rows.filter(_may_hold(F.col("_text"), words)).select("_key", row, F.explode(F.split("_text", "\n")).alias("_line"))
     lines = lines.filter((F.col("_line") != "") & _may_hold(F.col("_line"), words))
     found = lines.select("_row", digest(F.col("_line")).alias("_digest")).join(table, "_digest")
     # repeated rows share a row hash and have the same notices
     lists = found.groupBy("_row", "license_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("_row").agg(F.sort_array(F.collect_list("license_id")).alias("notice_ids"), F.sum("_n").alias("_all"))
-    times = rows.groupBy(F.xxhash64("_key", "_text").alias("_row")).agg(F.count(F.lit(1)).alias("_times"))
-    got = whole.withColumn("_row", F.xxhash64("_key", "_text")).drop("_text").join(lists.join(times, "_row"), "_row", "left")
+    times = rows.groupBy(row).agg(F.count(F.lit(1)).alias("_times"))
+    got = whole.select("*", row).drop("_text").join(lists.join(times, "_row"), "_row", "left")
     n = F.coalesce((F.col("_all") / F.col("_times")).cast("long"), F.lit(0).cast("long"))
     return got.select(F.col("_key").alias(key), "text_digest", "license_id", F.coalesce("notice_ids", F.array().cast("array<string>")).alias("notice_ids"), n.alias("n_notices"))
 
 
+#: What makes a line that begins with "copyright" or "(c)" a copyright line, and words behind "copyright" that make it none (COPYRIGHT_LINE in parts).
+_YEARS, _TERMS = r"\b\d{4}\b|©|all rights reserved", r"notices?|holders?|owners?|licen[sc]es?|laws?|statements?|and|or|in|to|on|is|interests?|protection|permissions?|disclaimers?|treaty"
+
+
+def copyright_sql(line: str) -> str:
+    """Whether a lower-case line is a copyright line, without lookahead, which the SQL engine's patterns lack."""
+    lead = r"^[^\p{L}\p{N}©(]*"
+    rest = lambda mark: f"regexp_extract({line}, '{lead}{mark}(.*)$', 1)"
+    after, behind = rest(r"copyright\b"), rest(r"\(c\)")
+    return f"""(regexp_matches({line}, '{lead}copyright\\b') AND (regexp_matches({after}, '{_YEARS}|\\(c\\)') OR NOT regexp_matches({after}, '^[ \\t]*(?:(?:{_TERMS})\\b|[^\\p{{L}}\\p{{N}}]*$)'))
+        OR regexp_matches({line}, '{lead}\\(c\\)') AND (regexp_matches({behind}, '{_YEARS}') OR regexp_full_match({behind}, '(?:[ \\t]+[^\\s]+){{1,5}}[ \\t]*') AND NOT regexp_matches({behind}, '[ \\t](?:you|the|an?|if|in|any|to|for|each|all)\\b'))
+        OR regexp_matches({line}, '{lead}(?:©|all rights reserved)'))"""
+
+
 def canonical_sql(text: str) -> str:
     """canonical() as DuckDB SQL."""
-    own = f"lower(coalesce({text}, ''))"
+    own = f"array_to_string(list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: CASE WHEN {copyright_sql('l')} THEN ' ' ELSE l END), chr(10))"
     for pattern in (
-        r"(?m)^[^\p{L}\p{N}©\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$",
         r"(?m)^[ \t]*(?:the )?[\p{L}\p{N}.\- ]{1,40} licen[sc]e[ \t]*(?:\([^)\n]*\))?[ \t]*$",
         r"(?m)^[ \t]*(?:\d{1,2}|[a-z])[.)][ \t]",
         r"[^\p{L}\p{N}]+",
@@ -152,8 +200,8 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """scan_licenses() as DuckDB SQL, for keys that do not repeat."""
-    known = ", ".join("('{}', '{}')".format(name, own.replace("'", "''")) for name, own in KNOWN)
+    """scan_licenses() as DuckDB SQL, for keys that do not repeat: the same texts and rules."""
+    known = ", ".join("('{}', '{}')".format(name, own.replace("'", "''")) for name, own in known_texts())
     return f"""
         WITH known AS (SELECT sha256({canonical_sql("own")}) AS digest, min(name) AS license_id FROM (VALUES {known}) AS t(name, own) GROUP BY 1),
         whole AS (SELECT {key}, sha256({canonical_sql(text)}) AS text_digest FROM {table}),
