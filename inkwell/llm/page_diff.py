@@ -33,7 +33,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"(
 
 
 def _frames(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element frames the page. The header of an article (inside) belongs to it."""
+    """Whether an element frames the page. The header of an article (inside) belongs to it, and in an article a class or id
+    frames only as a whole (comments, ad), not by a part of it: a notice-period or social-policy is what the article tells."""
     if name in FRAME or (name == "header" and not inside):
         return True
     if "=" not in attributes and "hidden" not in attributes:
@@ -45,7 +46,7 @@ def _frames(name: str, attributes: str, inside: bool) -> bool:
         if kind == "role" and value in ROLES:
             return True
         if kind in ("class", "id") and name not in ("body", "html") and name not in MAIN - {"article"}:
-            parts = set(re.split(r"[^a-z]+", value))
+            parts = set(value.split()) if inside else set(re.split(r"[^a-z]+", value))
             if parts & NAMES and not (name == "article" and not parts & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"}):
                 return True
             if "header" in parts and not inside and name != "article" and not parts & {"article", "entry", "post", "content"}:

@@ -28,6 +28,13 @@ def test_blocks():
     assert [t for t, p in blocks('<div class="menu">open <article><p>body</p></article>') if p == 2] == ["body"]
 
 
+def test_names_inside_an_article():
+    """Only whole class and id names frame there; elements and roles do as everywhere."""
+    body = '<section class="notice-period"><p>Notice period is three months.</p></section><div id="social-policy">Policy</div><div class="x comments">First!</div><div role="alert">Alert</div><div class="ad">Buy</div><p class="promotion-rules">Rules</p>'
+    assert blocks(f"<article>{body}</article>") == [("Notice period is three months.", 2), ("Policy", 2), ("First!", 0), ("Alert", 0), ("Buy", 0), ("Rules", 2)]
+    assert [p for _, p in blocks('<div class="cookie-notice">a</div><div class="site-nav">b</div><div>c</div>')] == [0, 0, 1]
+
+
 def test_common_lines():
     assert common_lines(list("abcd"), list("xbyd")) == [(1, 1), (3, 3)]
     assert common_lines(["a", "a", "b"], ["a", "b", "a"]) in ([(0, 0), (2, 1)], [(0, 0), (1, 2)])
