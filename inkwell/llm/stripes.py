@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .shared import lean, named, shared_dir, slices, utf8, written
 
 #: What a task holds at most before it hands its stripes on: terms, bytes of terms, counts.
 MOST_TERMS, MOST_BYTES, MOST_COUNTS = 1 << 18, 32 << 20, 1 << 21
-#: Tasks per language and block of sources among which the merged stripes are dealt; sources per block.
-CHUNKS, BLOCK = 64, 512
+#: Terms, about, that a task gets of a language's merged stripes; sources per block.
+CHUNK, BLOCK = 8192, 512
 WORK_BYTES = 2 << 20
 #: Cells of a dense terms-by-sources tile.
 TILE = 1 << 20
@@ -252,7 +253,7 @@ def _divergences(batches: Iterator[pa.RecordBatch], smooth: int, top: int) -> It
                 tile = some.slice(x, max(1, TILE // n))
                 each = np.diff(tile.column("sources").offsets.to_numpy())
                 count = np.zeros((tile.num_rows, n), np.int64)
-                count[np.repeat(np.arange(tile.num_rows), each), pa.compute.index_in(tile.column("sources").flatten(), known).to_numpy()] = tile.column("counts").flatten().to_numpy()
+                count[np.repeat(np.arange(tile.num_rows), each), pc.index_in(tile.column("sources").flatten(), known).to_numpy()] = tile.column("counts").flatten().to_numpy()
                 p = shares(count, state["total"], n_terms, smooth)
                 q = shares(count.sum(1), everything, n_terms, smooth)
                 for k, s in enumerate(state["own"]):
@@ -290,13 +291,13 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     totals = groups.join(n, ["lang", "source"], "left").select("lang", "source", F.coalesce("_n", F.lit(0)).alias("_n"))
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("_v"))
     whole = totals.groupBy("lang").agg(F.sum("_n").alias("lang_total"), F.count(F.lit(1)).alias("_s")).join(size, "lang", "left")
-    whole = written(whole.select("lang", "lang_total", F.coalesce("_v", F.lit(0)).alias("n_terms"), F.ceil(F.col("_s") / BLOCK).cast("int").alias("_blocks")), f"{path}/languages")
+    whole = written(whole.select("lang", "lang_total", F.coalesce("_v", F.lit(0)).alias("n_terms"), F.ceil(F.col("_s") / BLOCK).cast("int").alias("_blocks"), F.greatest(F.lit(1), F.ceil(F.col("_v") / CHUNK)).cast("int").alias("_chunks")), f"{path}/languages")
     block = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block")
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place")
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("sources", "array<string>"), ("counts", "array<long>"))]
-    heads = totals.select("lang", "source", "_n", place).join(whole, "lang").select("*", block).select("*", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    heads = totals.select("lang", "source", "_n", place).join(whole, "lang").select("*", block).select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))
     heads = heads.select("lang", "block", "chunk", F.lit(False).alias("stripe"), F.col("source").alias("name"), "place", F.col("_n").alias("total"), "n_terms", "lang_total", *empty)
-    rows = kept.join(whole, "lang").select("lang", block, F.pmod(F.hash("term"), F.lit(CHUNKS)).alias("chunk"), F.lit(True).alias("stripe"), F.col("term").alias("name"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("total"), "n_terms", "lang_total", "sources", "counts")
+    rows = kept.join(whole, "lang").select("lang", block, F.pmod(F.hash("term"), F.col("_chunks")).alias("chunk"), F.lit(True).alias("stripe"), F.col("term").alias("name"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("total"), "n_terms", "lang_total", "sources", "counts")
     dealt = heads.unionByName(rows).repartition("lang", "block", "chunk").sortWithinPartitions("lang", "block", "stripe")
     found = dealt.mapInArrow(lean(lambda batches: _divergences(batches, smooth, top)), "lang string, source string, part string, item string, value long")
     sums = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
