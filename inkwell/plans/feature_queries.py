@@ -209,7 +209,7 @@ def nested_tables(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("table_id", "table_no", "depth", "row", "col", "value", "is_header", "colspan", "parent_table", "parent_row", "parent_col")
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber AS n, l_orderkey * 8 + l_linenumber AS id FROM lineitem), s AS (SELECT file_id, 'sym' || n AS name, -id AS id FROM c WHERE n % 2 = 0),
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber AS n, 1000000000000 + l_orderkey * 8 + l_linenumber AS id FROM lineitem), s AS (SELECT file_id, 'sym' || n AS name, -id AS id FROM c WHERE n % 2 = 0),
 lk AS (SELECT id AS source, id + 1 AS target FROM c UNION ALL SELECT id, -id FROM s UNION ALL SELECT o_orderkey, o_custkey FROM orders), l AS (SELECT source, string_agg(target::VARCHAR, '+' ORDER BY target) AS links FROM lk GROUP BY source),
 a AS (SELECT file_id, string_agg(n || ':' || c.id || ':' || coalesce(links, ''), ',' ORDER BY n) AS chunks FROM c LEFT JOIN l ON l.source = c.id GROUP BY file_id),
 b AS (SELECT file_id, string_agg(name || ':' || coalesce(links, ''), ',' ORDER BY name) AS symbols FROM s LEFT JOIN l ON l.source = s.id GROUP BY file_id),
@@ -230,7 +230,7 @@ def repositories(spark: SparkSession, sf: str) -> DataFrame:
 def canonical_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
     """files, symbols, chunks, relationships, references."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    id_ = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    id_ = F.lit(10**12) + F.col("l_orderkey") * 8 + F.col("l_linenumber")  # apart from the keys of orders
     chunks = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("start_line"), id_.alias("id")).distinct()
     symbols = chunks.filter("start_line % 2 = 0").select("file_id", F.concat(F.lit("sym"), "start_line").alias("qualified_name"), (-F.col("id")).alias("id"))
     link = lambda rows, source, target, kind: rows.select(F.concat_ws("-", F.lit(kind), source).alias("id"), source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("type"))

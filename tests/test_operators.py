@@ -194,3 +194,15 @@ def test_sources(spark):
     assert [tuple(r) for r in rows.collect()] == [(1, "x")] and sorted(r.reason for r in wrong.collect()) == ["missing version", "other version"]
     layout = '[{"page":1,"blocks":[{"type":"t","lines":[{"spans":[{"content":"Hi","height":9.0}]}],"blocks":[{"type":"u","lines":[{"spans":[{"content":"In","height":7.0}]}]}],"cells":["c"]}]}]'
     assert {(r.text, r.height) for r in X.layout_spans(spark.createDataFrame([(1, layout)], "doc_id int, layout string")).collect()} == {("Hi", 9.0), ("In", 7.0), ("c", 0.0)}
+
+
+def test_long_chains_and_plans(spark):
+    """Chains of two hundred and plans of fifty levels come out whole; cycles, and what leads into them, are null."""
+    chain = [(k, k - 1 if k else None) for k in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (2000, 2999), (2001, 2001)]
+    got = {r.chunk_id: (r.root, r.depth) for r in N.lineage(spark.createDataFrame(chain, "chunk_id int, parent_id int")).collect()}
+    assert [got[k] for k in range(200)] == [(0, k) for k in range(200)] and got[2000] == (2000, 0)
+    assert all(got[k] == (None, None) for k in (1000, 1001, 1002, 1003, 2001)) and len(got) == len(chain)
+    steps = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 0), (2, 1), (2, 2)], "plan_id int, step_id int")
+    needs = spark.createDataFrame([(1, k, k - 1) for k in range(1, 50)] + [(1, 40, 3), (2, 0, 1), (2, 1, 0), (2, 2, 9)], "plan_id int, step_id int, needed int")
+    got = {(r.plan_id, r.step_id): r.level for r in N.plan_levels(steps, needs).collect()}
+    assert [got[1, k] for k in range(50)] == list(range(50)) and got[2, 0] is got[2, 1] is got[2, 2] is None

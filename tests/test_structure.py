@@ -36,18 +36,19 @@ def test_predicted_titles(spark):
 
 
 def gaps_by_hand(items, few=3):
-    """One merge at a time, from the top, until nothing changes."""
+    """Each heading with the next one of any kind, one after the other."""
     count = lambda t: len(t.split())
-    while True:
-        for k, (title, level, reason) in enumerate(items):
-            after = [n for n in range(k + 1, len(items)) if items[n][1] > 0]
-            if level > 0 and after and after[0] > k + 1 and items[after[0]][1:] == (level, reason):
-                between = sum(count(x[0]) for x in items[k + 1 : after[0]])
-                if between <= few or 2 * between < count(title):
-                    items = [*items[:k], (" ".join(x[0] for x in items[k : after[0] + 1]), level, reason), *items[after[0] + 1 :]]
-                    break
-        else:
-            return items
+    heads = [n for n, x in enumerate(items) if x[1] > 0]
+    gone, out = set(), dict(enumerate(items))
+    for k, n in zip(heads, heads[1:]):
+        title, level, reason = items[k]
+        own = items[k + 1 : n]
+        between = sum(count(x[0]) for x in own)
+        if own and items[n][1:] == (level, reason) and (between <= few or between < count(title) // 2):
+            gone |= set(range(k + 1, n))
+            more = "\n".join(x[0].strip() for x in own if x[0].strip())
+            out[k] = (f"{title.strip()} {more}" if more else title, level, reason)
+    return [x for n, x in out.items() if n not in gone]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -111,3 +112,168 @@ def test_entry_levels(spark):
     rows = [(1, 1, 0, "1.2 A", None, None, 0), (1, 1, 1, "1.2.3 B", None, 1, 0), (1, 1, 2, "x", 4, 1, 0), (1, 1, 3, "plain", None, None, 8), (1, 1, 4, "other", None, None, 2), (1, 1, 5, "gone", 0, None, 0), (1, 2, 6, "plain", None, None, 8), (1, 2, 7, "Contents", None, None, 9)]
     got = U.entry_levels(spark.createDataFrame(rows, "doc_id int, area int, block_no int, entry string, explicit_level int, outline_level int, indent int"))
     assert {r.block_no: r.level for r in got.collect()} == {0: 2, 1: 1, 2: 4, 3: 2, 4: 1, 6: 1, 7: 2}
+
+
+def test_merged_gaps_of_one_long_document(spark):
+    """A hundred thousand lines in one document take seconds."""
+    import time
+
+    rows = spark.range(100_000).selectExpr("1 doc_id", "cast(id as int) line_no", "if(id % 3 = 0, concat('heading number ', id), 'x') title", "if(id % 3 = 0, 1, -1) level", "'r' reason")
+    began = time.perf_counter()
+    got = U.merged_gaps(rows)
+    assert got.count() == 33334 + (100_000 - 1) % 3 and time.perf_counter() - began < 10
+    assert got.filter("title like '% x\nx'").count() == 33333
+
+
+def titles_by_hand(lines, titles, areas, marks):
+    """Plain Python: the same steps, line by line, for the decorated lines of the registered query."""
+    import re
+    import unicodedata
+
+    trim = lambda t: t.strip(" ")
+    folded = lambda t: "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uff5e" or c == "\u3000" else c for c in t)
+    tokens = lambda t: len(re.findall(r"[\u4e00-\u9fff]|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?", t))
+
+    def evidence(t):
+        head = folded(t)[:20]
+        out = []
+        for p in T.HEADING_PATTERNS:
+            m = re.search(p.replace("(?i:appendix)", "[Aa][Pp][Pp][Ee][Nn][Dd][Ii][Xx]"), head, re.A)
+            out.append(sum(c in ".-" for c in m.group(0)) + 1 if m else 0)
+        return out
+
+    def against(t):
+        cjk = len(re.findall(r"[\u4e00-\u9fff]", t))
+        zh = tokens(t) > 0 and cjk / max(tokens(t), 1) >= 0.3
+        return [int(bool(re.search(p, t, re.A))) for p in T.BODY_PATTERNS] + [int(bool(re.search(r"[.,;，。；]$", t))), int(tokens(t) > (30 if zh else 10))]
+
+    rows = []
+    for n, line in lines:
+        bare = trim(line)
+        if not bare:
+            continue
+        if ("<!--" in bare and "-->" in bare) or bare.startswith(("|", "<table>")) or ("![" in bare and "](" in bare):
+            rows.append([n, "Figure/Image", -1, "Figure/Image"])
+            continue
+        m = re.match(r"^\s*(#+)\s*(.*)$", bare)
+        marker, title = (len(m.group(1)), trim(m.group(2))) if m else (-1, bare)
+        title = trim(re.sub(r"^\s*(\*\*|__)(.+?)\1\s*$", r"\2", title))
+        pos, neg = evidence(title), against(title)
+        depth = max(pos)
+        level = -1 if max(neg) and marker < 0 else max(marker, depth if depth > 1 else -2)
+        rows.append([n, title, (1 if depth else -1) if level <= 0 and not (max(neg) and marker < 0) else level, f"{pos} {neg}"])
+    clean = lambda t: re.sub("^(?:" + "|".join(T.LEADING_NUMBERS) + ")", "", trim(re.sub(T.PAGE_SUFFIX, "", t)), flags=re.I).strip(" ")
+    normal = lambda t: trim(re.sub(r"\s+", " ", folded(clean(t)))).lower()
+    heading = lambda line: trim(re.sub(r"^\s*#+\s*", "", line)) if re.match(r"^\s*#+", line) else line
+    wanted = {t for t in (normal(heading(t)) for t in titles) if len(t) >= 2}
+    start = min((n for n, line in lines if normal(heading(line)) in wanted), default=None)
+    if start is not None:
+        for r in rows:
+            r[2] = -1 if r[0] < start else r[2]
+    parts = {0: rows}
+    if len(areas) > 1:
+        gone, zones, ordered = 0, [], sorted(areas, key=lambda a: a[1])
+        total = max(n for n, _ in lines) + 1 + sum(z - a + 1 for _, a, z in areas)
+        for k, (name, first, last) in enumerate(ordered):
+            gone += last - first + 1
+            end = ordered[k + 1][1] - 1 if k + 1 < len(ordered) else total - 1
+            zones.append((last + 1 - gone, end - gone, name))
+        parts = {}
+        for r in rows:
+            before = [z for z in zones if z[0] <= r[0]]
+            if before and r[0] <= before[-1][1]:
+                parts.setdefault(before[-1][2], []).append(r)
+    merged = []
+    for own in parts.values():
+        joined = []
+        for r in own:
+            last = joined[-1] if joined else None
+            if last and r[2] <= 0 and last[2] <= 0 and last[4] == r[0] - 1 and not re.search(r"[.!?。！？；;:：]\s*$", last[5]):
+                last[1] += " " + r[1]
+                last[4], last[5] = r[0], r[1]
+            else:
+                joined.append([*r, r[0], r[1]])
+        heads = [k for k, r in enumerate(joined) if r[2] > 0]
+        drop = set()
+        for a, b in zip(heads, heads[1:]):
+            between = sum(tokens(trim(r[1])) for r in joined[a + 1 : b])
+            if b > a + 1 and joined[a][2:4] == joined[b][2:4] and (between <= 3 or between < tokens(trim(joined[a][1])) // 2):
+                drop |= set(range(a + 1, b))
+                more = "\n".join(trim(r[1]) for r in joined[a + 1 : b] if trim(r[1]))
+                joined[a][1] = trim(joined[a][1]) + " " + more if more else joined[a][1]
+        merged += [r[:3] for k, r in enumerate(joined) if k not in drop]
+    merged.sort(key=lambda r: r[0])
+    last, more = None, {}
+    for r in merged:
+        # the run is that of the levels before marks are applied
+        if r[2] > 0:
+            last = r
+        if r[0] in marks and last is not None:
+            more.setdefault(id(last), []).append(r[1])
+    for r in merged:
+        if r[2] > 0 and id(r) in more:
+            r[1] = " ".join([r[1], *more[id(r)]])
+    for r in merged:
+        if r[0] in marks:
+            r[2] = -1
+    heads, parent = [r for r in merged if r[2] > 0], {}
+    for k, r in enumerate(heads):
+        parent[k] = next((j for j in range(k - 1, -1, -1) if heads[j][2] < r[2]), None)
+    kids = {k: [j for j in parent if parent[j] == k] for k in range(len(heads))}
+    kept = [k for k in range(len(heads)) if not (parent[k] is not None and not kids[k] and len(kids[parent[k]]) == 1)]
+    depth = {}
+    for k in kept:
+        depth[k] = depth.get(parent[k], 0) + 1
+    return sorted((heads[k][0], heads[k][1], min(depth[k], 6)) for k in kept)
+
+
+def test_predicted_headings_by_hand(spark, sf):
+    """The registered query over all documents against plain Python, every step included."""
+    from inkwell.plans.all_queries import QUERIES
+    from inkwell.plans.feature_queries import decorated_lines
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines, got = {}, {}
+    for r in decorated_lines(docs).orderBy("doc_id", "line_no").collect():
+        lines.setdefault(r.doc_id, []).append((r.line_no, r.line))
+    for r in QUERIES["predicted_headings"](spark, sf).collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.title, r.level))
+    n = 0
+    for d, own in lines.items():
+        areas = [(1, 0, 1), (2, 6, 7)] if d % 3 == 0 and max(k for k, _ in own) >= 12 else []
+        titles = [x for k, x in own if k == 5] if d % 4 == 1 else []
+        marks = {k for k, _ in own if k % 7 == 3} if d % 5 == 2 else set()
+        want = titles_by_hand(own, titles, areas, marks)
+        assert sorted(got.get(d, [])) == want, d
+        n += len(want)
+    assert n > 100
+
+
+def test_nested_tables_by_hand(spark):
+    html = [
+        (1, "<table><tr><td>outer<table><tr><td>inner</td></tr></table>after</td></tr></table>"),
+        (2, "</td></table>x<table><tr><th colspan=2>a</th></tr>loose<tr><td>b<table><tr><td>c<table><tr><td>d</td></tr></table></td><td>e</td></tr></table>f<table><tr><td>g</td></tr></table>h</td></tr></table><table><tr><td>i"),
+        (3, None), (4, "<p>none</p>"), (5, "<table></table><table><td>no row</td></table>"),
+    ]
+    got = {}
+    for r in B.html_tables(spark.createDataFrame(html, "page_id int, html string"), "page_id").collect():
+        got.setdefault(r.page_id, set()).add((r.table_no, r.depth, r.row, r.col, r.value, (r.parent_table, r.parent_row, r.parent_col)))
+    none = (None, None, None)
+    assert got == {
+        1: {(0, 1, 0, 0, "outer after", none), (1, 2, 0, 0, "inner", (0, 0, 0))},
+        2: {(0, 1, 0, 0, "a", none), (0, 1, 1, 0, "b f h", none), (1, 2, 0, 0, "c", (0, 1, 0)), (1, 2, 0, 1, "e", (0, 1, 0)), (2, 3, 0, 0, "d", (1, 0, 0)), (3, 2, 0, 0, "g", (0, 1, 0)), (4, 1, 0, 0, "i", none)},
+        5: {(1, 1, 0, 0, "no row", none)},
+    }
+
+
+def test_repositories_unfold_to_their_tables(spark, sf):
+    from inkwell.operators import graph as G
+    from inkwell.plans.feature_queries import canonical_tables
+
+    files, symbols, chunks, links, refs = canonical_tables(spark, sf)
+    flat = G.flat_entities(G.rebuilt(files, symbols, chunks, links, refs))
+    rows = lambda d: sorted(map(str, (tuple(r[c] for c in sorted(d.columns)) for r in d.collect())))
+    there = links.join(files.select("id").unionByName(symbols.select("id")).unionByName(chunks.select("id")).withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    for name, want in (("symbols", symbols), ("chunks", chunks), ("relationships", there), ("references", refs)):
+        own = want.join(files.select(F.col("id").alias("f")), want[want.columns[0] if name != "relationships" else "source_id"] == F.col("f"), "left_semi") if name in ("symbols", "chunks", "references") else want
+        assert rows(flat[name].select(*sorted(own.columns))) == rows(own.select(*sorted(own.columns))), name
