@@ -32,9 +32,7 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 2)) AS title FROM pages)
 SELECT page_id, level::INT AS level, title, count(*) AS n FROM h GROUP BY ALL""")
 def html_headings(spark: SparkSession, sf: str) -> DataFrame:
-    pattern = F.lit(r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>")
-    found = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("level"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("title"))
-    rows = table(spark, sf, "pages").select("page_id", F.explode(found).alias("h")).select("page_id", F.col("h.level").cast("int").alias("level"), "h.title")
+    rows = X.html_titles(table(spark, sf, "pages"), "page_id")
     return rows.groupBy("page_id", "level", "title").agg(F.count(F.lit(1)).alias("n"))
 
 

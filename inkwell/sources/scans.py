@@ -79,6 +79,15 @@ def layout_spans(docs: DataFrame, key: str = "doc_id", layout: str = "layout") -
     return pages.select(key, "page", "block", F.col("b.type").alias("type"), F.explode(F.concat(line(F.col("b.lines")), inner, cells)).alias("s")).select(key, "page", "block", "type", F.trim("s.content").alias("text"), "s.height").filter("text <> ''")
 
 
+def html_titles(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, position, level and title (as it stands between the tags) of the headings h1 to h6 of pages, in order."""
+    pattern = F.lit(r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>")
+    text = F.coalesce(F.col(html), F.lit(""))
+    found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("level"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("title"))
+    rows = pages.select(F.col(key).alias("_key"), F.posexplode(found).alias("position", "_h"))
+    return rows.select(F.col("_key").alias(key), "position", F.col("_h.level").cast("int").alias("level"), "_h.title")
+
+
 # --- bundles and canonical records --------------------------------------------------------------------
 
 
