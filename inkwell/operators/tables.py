@@ -132,6 +132,21 @@ def filled_headers(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.withColumn("value", F.coalesce(left, right))
 
 
+def with_header_levels(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Body cells with the names of their columns, one level per header row (an array, from the top).
+
+    Header rows are those up to the first row that has a value, or row 0 if none has; each is filled from the left, then from the right, and is
+    '' where it has no value at all. Body rows are numbered from 0.
+    """
+    filled = F.max((F.trim(F.coalesce("value", F.lit(""))) != "").cast("int"))
+    first = cells.groupBy(*keys, "row").agg(filled.alias("_f")).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_f") == 1, F.col("row"))), F.lit(0)).alias("_head"))
+    placed = cells.join(first, keys)
+    heads = filled_headers(placed.filter(F.col("row") <= F.col("_head")), keys)
+    levels = F.transform(F.array_sort(F.collect_list(F.struct("row", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"])
+    names = heads.groupBy(*keys, "col").agg(levels.alias("levels"))
+    return placed.filter(F.col("row") > F.col("_head")).withColumn("row", F.col("row") - F.col("_head") - 1).drop("_head").join(names, [*keys, "col"], "left")
+
+
 def is_data(value: Column) -> Column:
     return value.rlike(NUMBER) | value.rlike(DATE)
 

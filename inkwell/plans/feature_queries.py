@@ -19,7 +19,8 @@ from ..sources.store import shared_dir
 from ..streaming import jobs as J
 from .content_queries import LINES
 from .registry import query, table
-from .shelf_queries import MODES, SHELF, files, shelf
+from .shelf_queries import MODES, SHELF, shelf
+from .table_queries import CELLS, order_cells
 
 # --- headings ----------------------------------------------------------------------------------------
 
@@ -209,6 +210,15 @@ def nested_tables(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("table_id", "table_no", "depth", "row", "col", "value", "is_header", "colspan", "parent_table", "parent_row", "parent_col")
 
 
+@query(f"""WITH {CELLS} SELECT table_id, "row" AS "row", col, value, 'Top' AS header FROM cells WHERE table_id % 2 = 0 UNION ALL SELECT table_id, "row" - 1, col, value, '>Kind' FROM cells WHERE table_id % 2 = 1 AND "row" > 0""")
+def multi_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's cells below one more row, which is blank or has one value: header levels filled from both sides."""
+    c = order_cells(spark, sf)
+    top = c.filter("row = 0").withColumn("value", F.when((F.col("table_id") % 2 == 0) & (F.col("col") == 1), "Top").otherwise(" "))
+    got = B.with_header_levels(c.withColumn("row", F.col("row") + 1).unionByName(top), ["table_id"])
+    return got.select("table_id", "row", "col", "value", F.array_join("levels", ">").alias("header"))
+
+
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber AS n, 1000000000000 + l_orderkey * 8 + l_linenumber AS id FROM lineitem), s AS (SELECT file_id, 'sym' || n AS name, -id AS id FROM c WHERE n % 2 = 0),
 lk AS (SELECT id AS source, id + 1 AS target FROM c UNION ALL SELECT id, -id FROM s UNION ALL SELECT o_orderkey, o_custkey FROM orders), l AS (SELECT source, string_agg(target::VARCHAR, '+' ORDER BY target) AS links FROM lk GROUP BY source),
 a AS (SELECT file_id, string_agg(n || ':' || c.id || ':' || coalesce(links, ''), ',' ORDER BY n) AS chunks FROM c LEFT JOIN l ON l.source = c.id GROUP BY file_id),
