@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import written
 
 #: Constants of Okapi BM25 and of reciprocal-rank fusion, and default channel weights (fixed values).
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
