@@ -29,7 +29,7 @@ BANDS, ROWS = 20, 6
 SAMPLES, BITS, DEVIATIONS = 240, 512, 4.5
 #: Texts compared with at a time, and texts streamed past them in a task.
 PIVOTS, MEMBERS = 128, 4096
-WORK_BYTES, WORK_ROWS = 2 << 20, 4096
+WORK_BYTES, WORK_ROWS = 1 << 20, 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -46,11 +46,13 @@ def most_bits(percent: int) -> int:
 
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
     """texts x BITS / 64 numbers: the parities of the samples that fall on each bit."""
-    n = len(minima)
+    rows = np.arange(len(minima))
+    odd = np.zeros((len(minima), BITS), np.uint8)
     with np.errstate(over="ignore"):
-        place = mixed(minima.view(np.uint32).astype(np.uint64) + (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    odd = np.bincount((place.astype(np.int64) + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS) & 1
-    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
+        for k in range(SAMPLES):
+            place = mixed(minima[:, k].view(np.uint32).astype(np.uint64) + np.uint64(k + 1 << 32)) % np.uint64(BITS)
+            odd[rows, place.astype(np.int64)] ^= 1
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def band_hashes(minima: np.ndarray) -> np.ndarray:
@@ -102,7 +104,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa
             group, pivot = batch.column("_g").to_numpy(), batch.column("_pivot").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((group[1:] != group[:-1]) | (pivot[1:] != pivot[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                yield int(group[a]), bool(pivot[a]), batch.slice(a, b - a)
+                for c in range(a, b, WORK_ROWS):
+                    yield int(group[a]), bool(pivot[a]), batch.slice(c, min(b - c, WORK_ROWS))
 
 
 def _likely(a: pa.RecordBatch, b: pa.RecordBatch, percent: int, most: int) -> np.ndarray:
