@@ -317,7 +317,7 @@ def matched_files(spark: SparkSession, sf: str) -> DataFrame:
     return G.matched_files(m, have).select("chunk_id", "file")
 
 
-@query(f"""WITH {SHELF} SELECT document_id, chunk_id, CASE WHEN chunk_type = 'image' THEN replace(path, 'images/i', 'images/new-') ELSE path END AS path, sha256(CASE WHEN starts_with(ref, '[images') THEN replace(content, ref, replace(ref, 'images/i', 'images/new-')) ELSE content END) AS content_sha FROM shelf""")
+@query(f"""WITH {SHELF} SELECT document_id, chunk_id, CASE WHEN chunk_type = 'image' THEN replace(path, 'images/i', 'images/new-') ELSE path END AS path, sha256(CASE WHEN EXISTS (SELECT 1 FROM shelf m WHERE m.chunk_type = 'image' AND '[' || m.path || ']' = s.ref) THEN replace(content, ref, replace(ref, 'images/i', 'images/new-')) ELSE content END) AS content_sha FROM shelf s""")
 def renamed_media(spark: SparkSession, sf: str) -> DataFrame:
     s = shelf(spark, sf)
     names = s.filter("chunk_type = 'image'").select(F.col("path").alias("old"), F.replace("path", F.lit("images/i"), F.lit("images/new-")).alias("new"))
