@@ -299,7 +299,7 @@ def embed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.embeds(s, G.aliases(s))
 
 
-@query(f"""WITH {SHELF} SELECT document_id, chunk_id, target, 'embeds' AS relation, ref, length(content) - length(ref) AS start, 2.0 AS score FROM shelf WHERE ref IS NOT NULL""")
+@query(f"""WITH {SHELF} SELECT document_id, chunk_id, target, 'embeds' AS relation, ref, length(content) - length(ref) AS start, 2.0 AS score FROM shelf s WHERE EXISTS (SELECT 1 FROM shelf m WHERE m.document_id = s.document_id AND m.chunk_type <> 'text' AND '[' || m.file_path || ']' = s.ref)""")
 def merged_connections(spark: SparkSession, sf: str) -> DataFrame:
     """Connections found twice: with and without a position, with two scores."""
     s = shelf(spark, sf)
