@@ -292,7 +292,7 @@ def alias_map(spark: SparkSession, sf: str) -> DataFrame:
     return G.aliases(shelf(spark, sf))
 
 
-@query(f"""WITH {SHELF} SELECT document_id, chunk_id, target, 'embeds' AS relation, ref, length(content) - length(ref) AS start, length(content) AS "end" FROM shelf WHERE ref IS NOT NULL""")
+@query(f"""WITH {SHELF} SELECT document_id, chunk_id, target, 'embeds' AS relation, ref, length(content) - length(ref) AS start, length(content) AS "end" FROM shelf s WHERE EXISTS (SELECT 1 FROM shelf m WHERE m.document_id = s.document_id AND m.chunk_type <> 'text' AND '[' || m.file_path || ']' = s.ref)""")
 def embed_edges(spark: SparkSession, sf: str) -> DataFrame:
     """References in texts as connections, with their places."""
     s = shelf(spark, sf)
