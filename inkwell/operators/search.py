@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,32 +202,49 @@ def small_corpus(chunks: DataFrame, queries: DataFrame, scope: list[str], order:
     return few.join(chunks, scope).withColumn("rank0", F.row_number().over(w) - 1).withColumn("score", F.lit(1.0)).withColumn("route", F.lit("small_corpus_all"))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block: int = 512, slot: int = 65536) -> DataFrame:
+def best_vectors(asked: pa.Table, found: pa.Table, k: int, tile: int = 256, part: int = 4096) -> pa.Table:
+    """The k rows of found (_v, _x) with the largest cosine to each row of asked (_q, _x): _q, _v, score; ties by _v.
+
+    Products are made tile by part, so that work arrays stay at tile * (part + k) numbers.
+    """
+    if not asked.num_rows or not found.num_rows:
+        return pa.table({"_q": asked["_q"].slice(0, 0), "_v": found["_v"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = pc.list_flatten(column).to_numpy().reshape(len(column), -1)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    found = found.sort_by("_v")
+    units, out_at, out_score = unit(asked["_x"]), [], []
+    parts = [(b, unit(found["_x"].slice(b, part))) for b in range(0, found.num_rows, part)]
+    for a in range(0, len(units), tile):
+        own = units[a : a + tile]
+        score, at = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64)
+        for b, x in parts:
+            score = np.concatenate([score, np.round(own @ x.T, 6)], axis=1)
+            at = np.concatenate([at, np.broadcast_to(np.arange(b, b + len(x)), (len(own), len(x)))], axis=1)
+            by = np.argsort(-score, axis=1, kind="stable")[:, :k]  # columns are in the order of keys among equal scores
+            score, at = np.take_along_axis(score, by, 1), np.take_along_axis(at, by, 1)
+        out_score.append(score)
+        out_at.append(at)
+    score, at = np.concatenate(out_score), np.concatenate(out_at)
+    rows = np.repeat(np.arange(len(score)), score.shape[1])
+    return pa.table({"_q": asked["_q"].take(pa.array(rows)), "_v": found["_v"].take(pa.array(at.ravel())), "score": pa.array(score.ravel())})
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block: int = 4096, slot: int = 16384) -> DataFrame:
     """The k vectors with the largest cosine per query, exactly.
 
-    Queries are cut into blocks of `block` at most, vectors into slots of about `slot`. Each block meets each slot once, as one
-    matrix product in a task of its own that keeps the k best per query, so a task's memory does not grow with either side.
+    Queries are cut into blocks of `block` at most, vectors into slots of about `slot`. Each block meets each slot once, in tiles of
+    a matrix product in a task of its own that keeps the k best per query, so a task's memory does not grow with either side.
     """
     numbers = queries.agg(F.count(F.lit(1)).alias("q")).crossJoin(vectors.agg(F.count(F.lit(1)).alias("v"))).first()
     blocks, slots = max(1, -(-numbers.q // block)), max(1, -(-numbers.v // slot))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(F.col(query_id).alias("_q"), F.transform(vector, lambda x: x.cast("double")).alias("_x"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), every(slots).alias("_slot"))
     right = vectors.select(F.col(key).alias("_v"), F.transform(vector, lambda x: x.cast("double")).alias("_x"), every(blocks).alias("_block"), F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("_slot"))
-
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        x = np.stack(column.to_pylist()).astype(float) if len(column) else np.zeros((0, 1))
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-
-    def best(asked: pa.Table, found: pa.Table) -> pa.Table:
-        if not asked.num_rows or not found.num_rows:
-            return pa.table({"_q": asked["_q"].slice(0, 0), "_v": found["_v"].slice(0, 0), "score": pa.array([], pa.float64())})
-        found = found.sort_by("_v")
-        score = np.round(unit(asked["_x"]) @ unit(found["_x"]).T, 6)
-        n = min(k, found.num_rows)
-        at = np.argsort(-score, axis=1, kind="stable")[:, :n]  # ties by key
-        rows = np.repeat(np.arange(len(score)), n)
-        return pa.table({"_q": asked["_q"].take(pa.array(rows)), "_v": found["_v"].take(pa.array(at.ravel())), "score": pa.array(score[rows, at.ravel()])})
-
     kinds = f"_q {left.schema['_q'].dataType.simpleString()}, _v {right.schema['_v'].dataType.simpleString()}, score double"
-    met = left.groupBy("_block", "_slot").cogroup(right.groupBy("_block", "_slot")).applyInArrow(best, kinds)
-    return top_rows(met.select(F.col("_q").alias(query_id), F.col("_v").alias(key), "score"), k, [key], [query_id])
+    parts = 2 * blocks * slots  # hardly two meet in one task
+    left, right = (x.repartition(parts, "_block", "_slot") for x in (left, right))
+    met = left.groupBy("_block", "_slot").cogroup(right.groupBy("_block", "_slot")).applyInArrow(lambda a, b: best_vectors(a, b, k), kinds)
+    return top_rows(met.select(F.col("_q").alias(query_id), F.col("_v").alias(key), "score"), k, [key], [query_id])
\ No newline at end of file
