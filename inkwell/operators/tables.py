@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,43 @@ NUMBER = r"^\s*[-+]?[$¥€]?\d[\d,]*(?:\.\d+)?%?\s*$"
 DATE = r"^\s*\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?\s*$"
 
 
+#: Tables that a task turns into Python objects at once.
+AT_ONCE = 256
+
+
+def _each_table(cells: DataFrame, keys: list[str], columns: list[str], work: Callable[[list[dict]], pa.RecordBatch], kinds: str) -> DataFrame:
+    """work on the cells of each table (dicts of columns) -> a batch, whose rows get the table's keys and, if it has a column _at, the
+    table's other columns of the cell at that place. Many tables go to Python at once, as most are small."""
+    rest = [c for c in cells.columns if c not in keys]
+    sent = cells.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(a, AT_ONCE)
+                lists = some.column(len(keys))
+                flat, offsets = lists.flatten(), [0]
+                table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(flat)]).select(columns).to_pylist()
+                table_of, made, at = [], [], []
+                for n, size in enumerate(lists.value_lengths().to_pylist()):
+                    one = work(table[offsets[-1] : offsets[-1] + size])
+                    if "_at" in one.schema.names:
+                        at += [offsets[-1] + k for k in one.column("_at").to_pylist()]
+                        one = one.drop_columns(["_at"])
+                    offsets.append(offsets[-1] + size)
+                    table_of += [n] * one.num_rows
+                    made.append(one)
+                places = pa.array(table_of, pa.int64())
+                own = [(k, some.column(i).take(places)) for i, k in enumerate(keys)]
+                own += [(c, flat.field(c).take(pa.array(at, pa.int64()))) for c in rest] if at else []
+                made = pa.Table.from_batches(made).combine_chunks()
+                if made.num_rows:
+                    own += [(c, made.column(c).chunk(0)) for c in made.schema.names]
+                    yield pa.RecordBatch.from_arrays([x for _, x in own], names=[c for c, _ in own])
+
+    return sent.mapInArrow(run, kinds)
+
+
 def pipe_cells(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Runs of pipe lines as cells: the first row sets the width, longer rows are cut, shorter ones padded, separator rows go."""
     w = Window.partitionBy(key).orderBy("line_no")
@@ -86,21 +126,20 @@ def header_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     Header rows are those of <th> cells, at least the first; a table's cells are one group of bounded size.
     """
-    import pandas as pd
 
-    def expand(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "col"])
-        deep = max([1, *rows.loc[rows["row"] < 5, "rowspan"][rows["row"] == 0].tolist()])
+    def expand(rows: list[dict]) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: (r["row"], r["col"]))
+        deep = max([1, *(r["rowspan"] for r in rows if r["row"] == 0)])
         grid: dict[tuple[int, int], str] = {}
-        for r in rows.itertuples():
-            if r.row >= deep:
+        for r in rows:
+            if r["row"] >= deep:
                 continue
             c = 0
-            while (r.row, c) in grid:
+            while (r["row"], c) in grid:
                 c += 1
-            for y in range(r.row, min(r.row + r.rowspan, deep)):
-                for x in range(c, c + r.colspan):
-                    grid[(y, x)] = r.value
+            for y in range(r["row"], min(r["row"] + r["rowspan"], deep)):
+                for x in range(c, c + r["colspan"]):
+                    grid[(y, x)] = r["value"]
         names, seen = [], {}
         for x in range(1 + max((x for _, x in grid), default=-1)):
             parts: list[str] = []
@@ -111,10 +150,11 @@ def header_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
             name = " > ".join(parts)
             seen[name] = seen.get(name, -1) + 1
             names.append(name if not seen[name] else f"{name}>>>{seen[name]}")
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "col": range(len(names)), "header": names, "header_rows": deep})
+        n = len(names)
+        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(names, pa.string()), pa.array([deep] * n, pa.int32())], names=["col", "header", "header_rows"])
 
     kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
-    return cells.groupBy(*keys).applyInPandas(expand, f"{kinds}, col int, header string, header_rows int")
+    return _each_table(cells, keys, ["row", "col", "value", "rowspan", "colspan"], expand, f"{kinds}, col int, header string, header_rows int")
 
 
 def unique_names(columns: DataFrame, keys: list[str], name: str = "header") -> DataFrame:
