@@ -225,10 +225,9 @@ def sheet_parts(cells: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
 
     One sheet is one group; a sheet is bounded by its format.
     """
-    import pandas as pd
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        filled = [(r, c) for r, c, v in zip(rows["row"], rows["col"], rows["value"], strict=True) if v is not None and str(v).strip()]
+    def split(rows: list[dict]) -> pa.RecordBatch:
+        filled = [(r["row"], r["col"]) for r in rows if r["value"] is not None and str(r["value"]).strip()]
         parts, work = [], [filled] if filled else []
         while work:
             part = work.pop()
@@ -240,7 +239,11 @@ def sheet_parts(cells: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
                     groups[-1].append(x)
                     last = x
                 if len(groups) > 1:
-                    work += [[p for p in part if p[axis] in set(g)] for g in groups]
+                    of = {x: n for n, g in enumerate(groups) for x in g}
+                    cut: list[list] = [[] for _ in groups]
+                    for p in part:
+                        cut[of[p[axis]]].append(p)
+                    work += cut
                     break
             else:
                 parts.append(sorted(part))
@@ -252,11 +255,11 @@ def sheet_parts(cells: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
             near.sort()
             parts = sorted(rest)
         part_of = {cell: n for n, part in enumerate(parts) for cell in part}
-        kept = [part_of.get((r, c), -1) for r, c in zip(rows["row"], rows["col"], strict=True)]
-        return rows.assign(part=kept)[lambda d: d["part"] >= 0]
+        at = [k for k, r in enumerate(rows) if (r["row"], r["col"]) in part_of]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([part_of[rows[k]["row"], rows[k]["col"]] for k in at], pa.int32())], names=["_at", "part"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
-    return cells.groupBy(*keys).applyInPandas(split, f"{names}, part int")
+    names = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in [*keys, *(c for c in cells.columns if c not in keys)])
+    return _each_table(cells, keys, ["row", "col", "value"], split, f"{names}, part int").select(*cells.columns, "part")
 
 
 def records(cells: DataFrame, keys: list[str], header_rows: int = 1) -> DataFrame:
