@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import by_keys
+
 NUMBER = r"^\s*[-+]?[$¥€]?\d[\d,]*(?:\.\d+)?%?\s*$"
 DATE = r"^\s*\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?\s*$"
 
@@ -20,7 +22,7 @@ def _each_table(cells: DataFrame, keys: list[str], columns: list[str], work: Cal
     """work on the cells of each table (dicts of columns) -> a batch, whose rows get the table's keys and, if it has a column _at, the
     table's other columns of the cell at that place. Many tables go to Python at once, as most are small."""
     rest = [c for c in cells.columns if c not in keys]
-    sent = cells.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_cells"))
+    sent = by_keys(cells, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,50 +77,81 @@ def html_cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return out.select(key, "table_no", "row", "col", value.alias("value"), (F.lower("_x.h") == "th").alias("is_header"), span("rowspan").alias("rowspan"), span("colspan").alias("colspan"))
 
 
+def _nested_cells(tags: list[str], texts: list[str]) -> list[tuple]:
+    """The tags of a page and the texts behind them -> its cells: table_no, depth, row, col, tag, own texts, and the parent's table_no, row, col.
+
+    A stack holds the tables that are open: number, rows begun, cell open (or none), cells begun in the row, parent. A row begins a table's
+    first row only once, so cells before the first row tag stand in it, too.
+    """
+    out: list[tuple] = []
+    stack: list[list] = []
+    number = 0
+    for tag, text in zip(tags, texts, strict=True):
+        low = tag[:7].lower()
+        shut = low[1] == "/"
+        kind = low[1 + shut : 3 + shut]
+        if kind == "ta":
+            if shut:
+                if stack:
+                    stack.pop()
+            else:
+                up = stack[-1] if stack else None
+                inside = up is not None and up[2] is not None
+                stack.append([number, 0, None, 0, (up[0], max(up[1] - 1, 0), up[3] - 1) if inside else (None, None, None)])
+                number += 1
+        elif stack:
+            top = stack[-1]
+            if kind == "tr":
+                top[2] = None
+                if not shut:
+                    top[1] += 1
+                    if top[1] > 1:
+                        top[3] = 0
+            elif shut:
+                top[2] = None
+            else:
+                top[3] += 1
+                top[2] = (top[0], len(stack), max(top[1] - 1, 0), top[3] - 1, tag, [], *top[4])
+                out.append(top[2])
+        if stack and stack[-1][2] is not None:
+            stack[-1][2][5].append(text)
+    return out
+
+
 def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Cells of all HTML tables, of those inside tables, too: key, table_no, depth, row, col, value, is_header, rowspan, colspan,
     and for a table inside another one the parent_table, parent_row and parent_col that hold it.
 
-    Tags and the texts behind them are rows; a running sum gives the depth of tables, and what stands at one depth belongs to the table
-    opened last at that depth. A cell's value is its own text, before and behind a table inside it, without that table's.
+    Tags and the texts behind them are lists of a page, which one pass with a stack of open tables turns into cells, so that nothing is
+    shuffled. A cell's value is its own text, before and behind a table inside it, without that table's.
     Tables are numbered in the order in which they open; a closing tag without an opening one is left out, an open end ends with the page.
     """
     tag = r"(?is)<(/?)(table|tr|t[dh])\b[^>]*>"
     text = F.coalesce(F.col(html), F.lit(""))
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(tag), F.lit(0)).alias("tag"), F.slice(F.split(text, tag, -1), F.lit(2), F.greatest(F.size(F.split(text, tag, -1)) - 1, F.lit(0))).alias("text"))
-    rows = pages.select(F.col(key).alias("_key"), F.posexplode(parts).alias("_pos", "_x")).select("_key", "_pos", "_x.tag", "_x.text")
-    kind = F.lower(F.regexp_extract("tag", tag, 2))
-    shut = F.regexp_extract("tag", tag, 1) == "/"
-    rows = rows.withColumns({"_kind": F.when(kind == "th", "td").otherwise(kind), "_shut": shut, "is_header": kind == "th"})
-    w = Window.partitionBy("_key").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("_kind") == "table", F.when(F.col("_shut"), -1).otherwise(1)).otherwise(0)
-    rows = rows.withColumn("_sum", F.sum(step).over(w))
-    stray = F.least(F.min("_sum").over(w), F.lit(0))  # closing tags without an opening one so far
-    rows = rows.withColumn("depth", (F.col("_sum") - stray).cast("int")).withColumn("_opens", (F.col("_kind") == "table") & ~F.col("_shut"))
-    rows = rows.withColumn("_number", F.when(F.col("_opens"), F.sum(F.col("_opens").cast("int")).over(w) - 1))
-    # a table that opens is also an event at the depth around it
-    events = rows.withColumn("_inner", F.explode(F.when(F.col("_opens") & (F.col("depth") > 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    events = events.withColumn("depth", F.col("depth") - F.col("_inner").cast("int")).filter("depth > 0")
-    level = Window.partitionBy("_key", "depth").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
-    outer = ~F.col("_inner")
-    events = events.withColumn("table_no", F.last(F.when(F.col("_opens") & outer, F.col("_number")), True).over(level))
-    table = Window.partitionBy("_key", "table_no").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
-    starts = lambda k: outer & (F.col("_kind") == k) & ~F.col("_shut")
-    events = events.withColumn("row", F.greatest(F.sum(starts("tr").cast("int")).over(table) - 1, F.lit(0)))
-    line = Window.partitionBy("_key", "table_no", "row").orderBy("_pos", "_inner").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("col", F.sum(starts("td").cast("int")).over(line) - 1)
-    leaves = F.col("_shut") & F.col("_kind").isin("td", "tr") | starts("tr") | (F.col("_opens") & outer)
-    events = events.withColumn("_in", F.last(F.when(starts("td"), F.lit(True)).when(outer & leaves, F.lit(False)), True).over(table))
-    homes = events.filter("_inner and _in").select("_key", F.col("_number").alias("table_no"), F.col("table_no").alias("parent_table"), F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
-    said = F.when(outer, F.regexp_replace("text", r"(?s)<[^>]*>", " "))
-    span = lambda c: F.coalesce(F.regexp_extract("tag", rf"(?i){c}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
-    own = events.filter("_in and not _inner").groupBy("_key", "table_no", "depth", "row", "col").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", said.alias("t")))), lambda x: x["t"]), " ").alias("_text"), F.max(F.when(starts("td"), F.col("is_header"))).alias("is_header"),
-        F.max(F.when(starts("td"), span("rowspan"))).alias("rowspan"), F.max(F.when(starts("td"), span("colspan"))).alias("colspan"),
-    )
+    texts = F.transform(F.slice(F.split(text, tag, -1), F.lit(2), F.greatest(F.size(F.split(text, tag, -1)) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"(?s)<[^>]*>", " "))
+    sent = pages.select(F.col(key).alias("_key"), F.regexp_extract_all(text, F.lit(tag), F.lit(0)).alias("_tags"), texts.alias("_texts"))
+    names = ["table_no", "depth", "row", "col", "_tag", "_text", "parent_table", "parent_row", "parent_col"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(a, AT_ONCE)
+                at, made = [], []
+                for n, (tags, own) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)):
+                    cells = _nested_cells(tags, own)
+                    at += [n] * len(cells)
+                    made += [(*c[:5], " ".join(c[5]), *c[6:]) for c in cells]
+                if made:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), *columns], names=["_key", *names])
+
+    kind = sent.schema["_key"].dataType.simpleString()
+    out = sent.mapInArrow(run, f"_key {kind}, table_no long, depth int, row long, col long, _tag string, _text string, parent_table long, parent_row long, parent_col long")
+    span = lambda c: F.coalesce(F.regexp_extract("_tag", rf"(?i){c}\s*=\s*[\"']?(\d+)", 1).try_cast("int"), F.lit(1))
     value = F.trim(F.regexp_replace("_text", r"\s+", " "))
-    out = own.join(homes, ["_key", "table_no"], "left")
-    return out.select(F.col("_key").alias(key), "table_no", "depth", "row", "col", value.alias("value"), "is_header", "rowspan", "colspan", "parent_table", "parent_row", "parent_col")
+    is_header = F.lower(F.regexp_extract("_tag", tag, 2)) == "th"
+    return out.select(F.col("_key").alias(key), "table_no", "depth", "row", "col", value.alias("value"), is_header.alias("is_header"), span("rowspan").alias("rowspan"), span("colspan").alias("colspan"), "parent_table", "parent_row", "parent_col")
 
 
 def header_grid(cells: DataFrame, keys: list[str]) -> DataFrame:

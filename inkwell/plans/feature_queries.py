@@ -15,7 +15,7 @@ from ..operators import structure as U
 from ..operators import tables as B
 from ..operators.chunking import lines_of
 from ..sources import scans as X
-from ..sources.store import shared_dir
+from ..sources.store import by_keys, shared_dir
 from ..streaming import jobs as J
 from .content_queries import LINES
 from .registry import query, table
@@ -203,9 +203,9 @@ UNION ALL SELECT t, r + 1, 2, 0, c, CASE c WHEN 0 THEN 'Kind' ELSE p END, c = 0,
 def nested_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer's orders as an HTML table whose second cells hold a table of their own, with text around it."""
     o = table(spark, sf, "orders")
-    inner = F.concat(F.lit("<TABLE border=1><tr><th> Kind</th><td colspan='2'><b>"), "o_orderpriority", F.lit("</b></td></tr></TABLE>"))
-    row = F.concat(F.lit("<tr>\n<td>order "), "o_orderkey", F.lit("</td><td>before "), inner, F.lit(" after</td> loose </tr>"))
-    html = o.withColumn("h", row).groupBy(F.col("o_custkey").alias("table_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "h"))), lambda x: x["h"]), "").alias("h"))
+    inner = lambda x: F.concat(F.lit("<TABLE border=1><tr><th> Kind</th><td colspan='2'><b>"), x["o_orderpriority"], F.lit("</b></td></tr></TABLE>"))
+    row = lambda x: F.concat(F.lit("<tr>\n<td>order "), x["o_orderkey"], F.lit("</td><td>before "), inner(x), F.lit(" after</td> loose </tr>"))
+    html = by_keys(o, "o_custkey").groupBy(F.col("o_custkey").alias("table_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), row), "").alias("h"))
     got = B.html_tables(html.select("table_id", F.concat(F.lit("</table><p>x</p><table>"), "h", F.lit("</table>")).alias("html")), "table_id")
     return got.select("table_id", "table_no", "depth", "row", "col", "value", "is_header", "colspan", "parent_table", "parent_row", "parent_col")
 
