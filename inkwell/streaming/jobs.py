@@ -20,10 +20,15 @@ def _marked(rows: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def minute_counts(requests: DataFrame, tiers: DataFrame, users: DataFrame, late: str = LATE) -> DataFrame:
-    """Requests per user in sliding minutes that are above the tier's limit (-1: no limit)."""
-    counts = _marked(requests.withColumn("ts", F.col("ts").cast("timestamp")), late).groupBy("user_id", F.window("ts", "1 minute", "10 seconds")).agg(F.count(F.lit(1)).alias("n"))
-    limits = users.join(F.broadcast(tiers), "tier").select("user_id", "per_minute")
-    return counts.join(limits, "user_id").filter((F.col("per_minute") >= 0) & (F.col("n") > F.col("per_minute"))).select("user_id", F.col("window.start").alias("start"), "n", "per_minute")
+    """Requests per user in sliding minutes that are above the tier's limit (-1: no limit); a row of users that repeats counts once.
+
+    Limits meet the requests, not the counts: what a stream's state hands on when event time has passed it can be large in a batch
+    of one row, and Spark, which goes by the batch, would broadcast it through the driver. Users without a limit take no state.
+    """
+    rows = _marked(requests.withColumn("ts", F.col("ts").cast("timestamp")), late)
+    limits = users.join(F.broadcast(tiers), "tier").filter("per_minute >= 0").select("user_id", "per_minute").distinct()
+    counts = rows.join(limits, "user_id").groupBy("user_id", "per_minute", F.window("ts", "1 minute", "10 seconds")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter("n > per_minute").select("user_id", F.col("window.start").alias("start"), "n", "per_minute")
 
 
 def daily_counts(requests: DataFrame, late: str = LATE) -> DataFrame:
