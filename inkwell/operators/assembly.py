@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import by_keys
 from .filters import SEP, section_parts
 from .search import rows_holding
 
@@ -236,8 +237,13 @@ def archived(documents: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
 
 
 def lookup(rows: DataFrame, wanted: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
-    """Entities by a key, and the keys that are not there."""
-    return rows.join(wanted.select(on).distinct(), on, "left_semi"), wanted.join(rows.select(on), on, "left_anti").select(on).distinct()
+    """Entities by a key, and the keys that are not there.
+
+    Both sides are dealt to all partitions of a shuffle and merged there. The wanted keys repeat until then, as distinct keys of a
+    large file would fill the memory of the task that reads it, and nothing is broadcast, as keys in order take few bytes and many rows.
+    """
+    known, asked = by_keys(rows, on), by_keys(wanted.select(on), on)
+    return known.join(asked.hint("merge"), on, "left_semi"), asked.join(by_keys(rows.select(on), on).hint("merge"), on, "left_anti").distinct()
 
 
 def tree_evidence(sections: DataFrame, chunks: DataFrame) -> DataFrame:
