@@ -24,16 +24,17 @@ def citations(items: DataFrame, chunks: DataFrame, item: str, keys: list[str], g
     A citation of several words stands in a text only with its run of `gram` words (all its words, if fewer)
     that follows its first word; runs of words are joined first, then containment is checked. The first
     and last word may be parts of longer ones, so they are left out of the run. Citations of fewer than three words
-    find chunks by the words that hold their longest one.
+    find chunks by the words that hold their longest one. Only runs as long as a citation's are made.
     """
     norm = lambda c: F.trim(F.regexp_replace(T.text_or_empty(c), r"\s+", " "))
     own = items.select(item, norm(F.col("citation")).alias("_cite")).filter("_cite <> ''").withColumn("_words", F.split("_cite", " "))
     size = F.least(F.size("_words") - 2, F.lit(gram))
     keyed = own.withColumn("_size", size).withColumn("_run", F.array_join(F.slice("_words", 2, F.greatest(size, F.lit(1))), " "))
     rows = chunks.select(*keys, norm(F.col("content")).alias("_norm")).withColumn("_split", F.split("_norm", " "))
-    sizes = F.sequence(F.lit(1), F.lit(gram))
-    runs = rows.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("_split")), lambda i: F.array_join(F.slice("_split", i, n), " ")))))).alias("_run"))
     long = keyed.filter("_size >= 1")
+    sizes = sorted(r[0] for r in long.select("_size").distinct().collect())  # gram numbers at most
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_split") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_split", i, n), " "))
+    runs = rows.select(*keys, F.explode(F.concat(F.array().cast("array<string>"), *map(of_size, sizes))).alias("_run"))
     met = runs.join(long.select(item, "_cite", "_run"), "_run").select(item, "_cite", *keys).distinct()
     got = met.join(rows.select(*keys, "_norm"), keys).filter(F.contains("_norm", "_cite")).select(item, *keys)
     few = keyed.filter("_size < 1")
