@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import by_keys
+from ..sources.store import by_keys, written
 from .filters import SEP, section_parts
 from .search import rows_holding
 
@@ -24,7 +24,7 @@ def citations(items: DataFrame, chunks: DataFrame, item: str, keys: list[str], g
     A citation of several words stands in a text only with its run of `gram` words (all its words, if fewer)
     that follows its first word; runs of words are joined first, then containment is checked. The first
     and last word may be parts of longer ones, so they are left out of the run. Citations of fewer than three words
-    find chunks by the words that hold their longest one. Only runs as long as a citation's are made.
+    find chunks through rows_holding. Only runs as long as a citation's are made.
     """
     norm = lambda c: F.trim(F.regexp_replace(T.text_or_empty(c), r"\s+", " "))
     own = items.select(item, norm(F.col("citation")).alias("_cite")).filter("_cite <> ''").withColumn("_words", F.split("_cite", " "))
@@ -155,14 +155,14 @@ def asset_owners(chunks: DataFrame) -> DataFrame:
 def entry_documents(queries: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents whose section titles or paths hold the query; queries without any look into contents.
 
-    Titles end their paths, so paths are searched, each different one once; texts are found by their words.
+    Titles end their paths, so paths are searched, each different one once; texts are read once for a block of queries.
     """
     low = lambda c: F.lower(T.text_or_empty(F.col(c)))
     asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''")
     names = F.array(low("section_path"), low("section_title"))
-    named = sections.select("document_id", F.explode(F.array_distinct(names)).alias("_name")).distinct()
+    named = written(sections.select("document_id", F.explode(F.array_distinct(names)).alias("_name")).distinct())
     met = rows_holding(named.select("_name").distinct(), F.col("_name"), asked, ["_name"], "query_id", F.col("_q"))
-    by_title = named.join(met, "_name").select("query_id", "document_id", F.lit("title").alias("via")).distinct()
+    by_title = written(named.join(met, "_name").select("query_id", "document_id", F.lit("title").alias("via")).distinct())
     rest = asked.join(by_title.select("query_id").distinct(), "query_id", "left_anti")
     by_text = rows_holding(chunks, low("content"), rest, ["document_id", "chunk_id"], "query_id", F.col("_q")).select("query_id", "document_id", F.lit("content").alias("via")).distinct()
     return by_title.unionByName(by_text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 WEIGHTS = {"path": 1.0, "content": 2.0, "term": 1.5}
 #: 64-bit numbers that hold the queries which a row matches.
 WORDS = 4
+#: Letters of the wanted texts that a task keeps in memory, and rows found that it hands on at once.
+LETTERS, FOUND = 1 << 19, 1 << 16
 
 
 def postings(chunks: DataFrame, text: Column, keys: list[str]) -> DataFrame:
@@ -108,20 +110,65 @@ def words_holding(words: DataFrame, tokens: DataFrame, gram: int = 2) -> DataFra
     return at.join(tokens.select("_token", F.substring("_token", 1, gram).alias("_gram")), "_gram").filter(F.contains("_word", "_token")).select("_word", "_token").distinct()
 
 
+def _finder(item: str, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow on rows in the order of _group, a group's wanted texts (_whole) before its rows' texts (_low): item and keys of
+    rows that hold a wanted text. One automaton of the group's wanted texts reads each text once."""
+
+    def out(some: pa.RecordBatch, found: list, at: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, some.schema.field(item).type), *[some.column(k).take(pa.array(at, pa.int64())) for k in keys]], names=[item, *keys])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        group, automaton, owners = None, ahocorasick.Automaton(), []
+        for batch in batches:
+            place = batch.column("_group").to_numpy()
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(place) else ():
+                if place[a] != group:
+                    group, automaton, owners = place[a], ahocorasick.Automaton(), []
+                some = batch.slice(a, b - a)
+                n = b - a - some.column("_whole").null_count
+                for whole, own in zip(some.column("_whole").slice(0, n).to_pylist(), some.column(item).slice(0, n).to_pylist(), strict=True):
+                    if automaton.add_word(whole, automaton.get(whole, len(owners))):
+                        owners.append([])
+                    owners[automaton.get(whole)].append(own)
+                if n == b - a or not owners:
+                    continue
+                if automaton.kind == ahocorasick.TRIE:
+                    automaton.make_automaton()
+                found, at = [], []
+                for row, text in enumerate(some.column("_low").slice(n).to_pylist(), n):
+                    own = [x for k in {k for _, k in automaton.iter(text)} for x in owners[k]]
+                    found += own
+                    at += [row] * len(own)
+                    if len(found) > FOUND:
+                        yield out(some, found, at)
+                        found, at = [], []
+                if found:
+                    yield out(some, found, at)
+
+    return run
+
+
 def rows_holding(rows: DataFrame, text: Column, items: DataFrame, keys: list[str], item: str, wanted: Column) -> DataFrame:
-    """item, keys of all rows whose text holds the item's wanted text, exactly.
+    """item, keys of all rows whose text holds the item's wanted text, exactly. Blank items hold nowhere.
 
-    A wanted text of words stands in a text only if each of its words stands in one of the text's; rows are found by its
-    longest word, through the texts' different words, then containment is checked. Blank items hold nowhere.
+    Wanted texts are cut into blocks of about LETTERS letters, rows into slots, and each block meets each slot in a partition of its own, so what
+    is shuffled are the texts once per block and the wanted texts once per slot, never words of texts. A task keeps the wanted texts of a
+    block in memory; texts pass by.
     """
-    own = rows.select(*keys, text.alias("_low"))
-    asked = items.select(item, wanted.alias("_whole")).filter(F.trim("_whole") != "")
-    longest = F.try_element_at(F.array_sort(F.transform(F.filter(F.split(F.trim("_whole"), r"\s+"), lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-    asked = asked.withColumn("_token", longest)
-    words = own.select(*keys, F.explode(F.array_distinct(F.split("_low", r"\s+"))).alias("_word"))
-    inside = words_holding(words.select("_word").distinct(), asked.select("_token").distinct())
-    met = words.join(inside, "_word").select(*keys, "_token").distinct().join(asked, "_token")
-    return met.join(own, keys).filter(F.contains("_low", "_whole")).select(item, *keys)
+    asked = items.select(item, wanted.alias("_whole")).filter(F.rlike("_whole", F.lit(r"\S")))
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("_whole"))).first()[0] or 0) // LETTERS))
+    slots = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = (F.col("_block") * slots + F.col("_slot")).cast("int").alias("_group")
+    asked = asked.select(item, "_whole", F.pmod(F.xxhash64("_whole"), F.lit(blocks)).alias("_block"), every(slots).alias("_slot")).select(item, "_whole", group)
+    own = rows.select(*keys, text.alias("_low")).filter("_low is not null")
+    own = own.select(*keys, "_low", F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("_slot"), every(blocks).alias("_block")).select(*keys, "_low", group)
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for d, cs in ((asked, [item]), (own, keys)) for c in cs)
+    both = asked.unionByName(own, allowMissingColumns=True).repartitionById(blocks * slots, "_group")
+    return both.sortWithinPartitions("_group", F.isnull("_whole")).mapInArrow(_finder(item, keys), kinds)
 
 
 def term_hits(chunks: DataFrame, text: Column, queries: DataFrame, keys: list[str], query_id: str = "query_id", query: str = "query", stopwords: tuple[str, ...] = T.STOPWORDS, gram: int = 2) -> DataFrame:
