@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import written
 
 
-def _before(key: str, order: str) -> Window:
+def _before(key: str | list[str], order: str) -> Window:
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _listed(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _others(rows: DataFrame, keys: list[str]) -> Column:
+    """A row without its keys; these stay columns of a group, so that its rows stay dealt by them."""
+    return F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+
+
+def _texts(rows: Column, sep: str) -> Column:
+    """Texts (order, text) of a group joined in order; nulls are left out."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), sep)
+
+
 def line_levels(lines: DataFrame, key: str = "doc_id", order: str = "line_no", markdown_only: bool = False) -> DataFrame:
     """Lines with title and level (-1: body): markdown markers count first, else numbering evidence."""
     md = T.markdown_heading(F.col("line"))
@@ -61,59 +74,71 @@ def sections_from_lines(lines: DataFrame, key: str = "doc_id", order: str = "lin
 
 
 def without_single_leaves(heads: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Headings without the leaves that are only children; levels become depths (at most 6)."""
-    rows = heading_parents(heads, key, order)
-    kids = rows.filter("parent is not null").groupBy(key, F.col("parent").alias(order)).agg(F.count(F.lit(1)).alias("_kids"))
-    rows = rows.join(kids, [key, order], "left").withColumn("_siblings", F.count(F.lit(1)).over(Window.partitionBy(key, "parent")))
-    kept = rows.filter(~((F.coalesce("_kids", F.lit(0)) == 0) & (F.col("_siblings") == 1) & F.col("parent").isNotNull())).drop("_kids", "_siblings")
-    depth = kept.select(key, F.col(order).alias("_at"), F.col("parent").alias("_up"), F.lit(1).alias("_d"))
-    for _ in range(5):
-        up = kept.select(key, F.col(order).alias("_up"), F.col("parent").alias("_next"))
-        depth = depth.join(up, [key, "_up"], "left").select(key, "_at", F.col("_next").alias("_up"), F.when(F.col("_up").isNotNull(), F.col("_d") + 1).otherwise(F.col("_d")).alias("_d"))
-    return kept.join(depth.select(key, F.col("_at").alias(order), F.col("_d")), [key, order]).withColumn("level", F.col("_d")).drop("_d", "parent")
-
-
-def joined_body(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Runs of body rows whose text lacks closing punctuation and whose numbers follow each other become one row."""
+    """Headings without the leaves that are only children; levels become depths (at most 6).
+
+    A heading has children exactly if the next one is deeper. Its ancestors are, of the last headings before it of each smaller
+    level, those that no heading of a still smaller level follows.
+    """
     w = Window.partitionBy(key).orderBy(order)
+    lasts = [F.col(f"_l{k}") for k in range(1, 7)]
+    rows = heads.withColumns({f"_l{k}": F.max(F.when(F.col("level") == k, F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, -1)) for k in range(1, 7)} | {"_next": F.lead("level").over(w)})
+    own = [F.when(F.col("level") > k, x) for k, x in enumerate(lasts, 1)]
+    above = [F.coalesce((x > F.greatest(*own[:k], F.lit(None))) if k else x.isNotNull(), x.isNotNull()).cast("int") for k, x in enumerate(own)]
+    rows = rows.withColumns({"_up": F.greatest(*own), "_d": F.least(sum(above, F.lit(1)), F.lit(6)), "_leaf": ~F.coalesce((F.col("_next") > F.col("level")) & (F.col("level") <= 6), F.lit(False))})
+    rows = rows.withColumn("_siblings", F.count(F.lit(1)).over(Window.partitionBy(key, "_up")))
+    kept = rows.filter(~(F.col("_leaf") & (F.col("_siblings") == 1) & F.col("_up").isNotNull()))
+    return kept.withColumn("level", F.col("_d")).select(*heads.columns)
+
+
+def joined_body(rows: DataFrame, key: str | list[str] = "doc_id", order: str = "line_no", first: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of body rows whose text lacks closing punctuation and whose numbers follow each other become one row, with
+    the columns `first` of its first row."""
+    keys = _listed(key)
+    w = Window.partitionBy(keys).orderBy(order)
     body = F.col("level") <= 0
     goes_on = body & F.lag(body).over(w) & (F.lag(order).over(w) == F.col(order) - 1) & ~F.lag("title").over(w).rlike(r"[.!?。！？；;:：]\s*$")
-    marked = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(_before(key, order)))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(order, "title"))), lambda x: x["title"])
-    return marked.groupBy(key, "_run").agg(F.min(order).alias(order), F.max(order).alias("last_line"), F.array_join(texts, " ").alias("title"), F.first("level").alias("level"), F.count(F.lit(1)).alias("n_rows")).drop("_run")
+    marked = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(_before(keys, order)))
+    more = [F.min_by(c, order).alias(c) for c in first]
+    return marked.groupBy(*keys, "_run").agg(F.min(order).alias(order), F.max(order).alias("last_line"), _texts(F.struct(order, F.col("title").alias("t")), " ").alias("title"), F.first("level").alias("level"), F.count(F.lit(1)).alias("n_rows"), *more).drop("_run")
 
 
-def merged_gaps(rows: DataFrame, key: str = "doc_id", order: str = "line_no", few: int = 3) -> DataFrame:
+def merged_gaps(rows: DataFrame, key: str | list[str] = "doc_id", order: str = "line_no", few: int = 3) -> DataFrame:
     """Little body text between two headings of one level and reason (at most `few` tokens, or less than half of the first
     heading's) belongs to the first heading: its lines are appended to the title and go.
 
     Only neighbouring headings can have nothing but body between them, so each gap is judged by itself: sums per gap, and
     the texts of those gaps alone that are short. Rows stay in order; columns: key, order, title, level, reason and more.
+    All is dealt by key once: the rows of a short gap become one row with its heading, any other row stands for itself.
     """
-    head = F.col("level") > 0
-    marked = rows.withColumn("_gap", F.sum(head.cast("int")).over(_before(key, order)))
+    keys, head = _listed(key), F.col("level") > 0
     size = T.token_count(F.trim(T.text_or_empty(F.col("title"))))
-    gaps = marked.groupBy(key, "_gap").agg(
-        F.max(F.when(head, F.struct("level", "reason"))).alias("_code"), F.sum(F.when(head, size).otherwise(0)).alias("_own"), F.sum(F.when(head, 0).otherwise(size)).alias("_between"), F.count_if(~head).alias("_n"),
-    )
-    same = F.col("_code").eqNullSafe(F.lead("_code").over(Window.partitionBy(key).orderBy("_gap")))
-    short = (F.col("_between") <= few) | (F.col("_between") < F.floor(F.col("_own") / 2))
-    gaps = gaps.withColumn("_same", same).filter((F.col("_gap") > 0) & (F.col("_n") > 0) & F.col("_same") & short).select(key, "_gap", F.lit(True).alias("_short"))
-    met = marked.join(gaps, [key, "_gap"], "left")
-    texts = F.transform(F.array_sort(F.collect_list(F.when(F.trim("title") != "", F.struct(order, F.trim("title").alias("t"))))), lambda x: x["t"])
-    more = met.filter(F.col("_short") & ~head).groupBy(key, "_gap").agg(F.array_join(texts, "\n").alias("_more"))
-    out = met.filter(head | F.col("_short").isNull()).join(more, [key, "_gap"], "left")
-    grown = F.when(head & (F.col("_more") != ""), F.concat_ws(" ", F.trim("title"), "_more")).otherwise(F.col("title"))
-    return out.withColumn("title", grown).select(*rows.columns)
+    after = Window.partitionBy(keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    code = F.when(head, F.struct("level", "reason"))
+    marked = rows.withColumn("_size", size).withColumn("_next", F.last(code, True).over(after)).withColumn("_gap", F.sum(head.cast("int")).over(_before(keys, order)))
+    gap = Window.partitionBy(*keys, "_gap")
+    sums = {"_code": F.max(code).over(gap), "_own": F.sum(F.when(head, F.col("_size")).otherwise(0)).over(gap), "_between": F.sum(F.when(head, 0).otherwise(F.col("_size"))).over(gap), "_n": F.count_if(~head).over(gap), "_at": F.min(F.when(head, F.col(order))).over(gap)}
+    met = marked.withColumns(sums)
+    short = (F.col("_gap") > 0) & (F.col("_n") > 0) & F.col("_code").eqNullSafe(F.col("_next")) & ((F.col("_between") <= few) | (F.col("_between") < F.floor(F.col("_own") / 2)))
+    met = met.withColumn("_id", F.when(short, F.col("_at")).otherwise(F.col(order)))
+    itself = F.col("_id") == F.col(order)
+    text = F.when(~itself & (F.trim("title") != ""), F.struct(order, F.trim("title").alias("t")))
+    out = met.groupBy(*keys, "_id").agg(F.first(F.when(itself, _others(rows, keys)), True).alias("_row"), _texts(text, "\n").alias("_more")).select(*keys, "_row.*", "_more")
+    return out.withColumn("title", F.when(F.col("_more") != "", F.concat_ws(" ", F.trim("title"), "_more")).otherwise(F.col("title"))).select(*rows.columns)
 
 
 def continued_headings(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Rows marked '<' are appended to the last heading before them and become body (level -1)."""
-    w = _before(key, order)
-    marked = rows.withColumn("_run", F.sum((F.col("level") > 0).cast("int")).over(w))
-    more = marked.filter("mark = '<' and _run > 0").groupBy(key, "_run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "title"))), lambda x: x["title"]), " ").alias("_more"))
-    out = marked.join(more, [key, "_run"], "left")
-    return out.withColumn("title", F.when((F.col("level") > 0) & F.col("_more").isNotNull(), F.concat_ws(" ", "title", "_more")).otherwise(F.col("title"))).withColumn("level", F.when(F.col("mark") == "<", -1).otherwise(F.col("level"))).drop("_run", "_more")
+    """Rows marked '<' are appended to the last heading before them and become body (level -1).
+
+    A marked row goes to its heading's group beside its own, so that all is dealt by key once.
+    """
+    head = F.col("level") > 0
+    marked = rows.withColumn("_at", F.max(F.when(head, F.col(order))).over(_before(key, order)))
+    to = F.when((F.col("mark") == "<") & F.col("_at").isNotNull(), F.array(F.struct(F.col(order).alias("id"), F.lit(True).alias("own")), F.struct(F.col("_at").alias("id"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col(order).alias("id"), F.lit(True).alias("own"))))
+    each = marked.withColumn("_to", F.explode(to))
+    own = F.col("_to.own")
+    out = each.groupBy(key, F.col("_to.id").alias("_id")).agg(F.first(F.when(own, _others(rows, [key])), True).alias("_row"), F.count_if(~own).alias("_n"), _texts(F.when(~own, F.struct(order, F.coalesce("title", F.lit("")).alias("t"))), " ").alias("_more")).select(key, "_row.*", "_n", "_more")
+    title = F.when(head & (F.col("_n") > 0), F.concat_ws(" ", "title", "_more")).otherwise(F.col("title"))
+    return out.withColumns({"title": title, "level": F.when(F.col("mark") == "<", -1).otherwise(F.col("level"))}).select(*rows.columns)
 
 
 def compacted(rows: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -169,12 +194,12 @@ def without_areas(lines: DataFrame, areas: DataFrame, key: str = "doc_id", order
     return lines.alias("l").join(areas.alias("a"), inside, "left_anti")
 
 
-def zones(areas: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
+def zones(areas: DataFrame, sizes: DataFrame | None, key: str = "doc_id") -> DataFrame:
     """The lines that each contents area governs: from behind it to the next area, or the end; numbers are shifted by
-    the lines removed before."""
+    the lines removed before. Without sizes the last zone of a document has no end."""
     w = Window.partitionBy(key).orderBy("first_line")
     gone = F.sum(F.col("last_line") - F.col("first_line") + 1).over(_before(key, "first_line"))
-    rows = areas.join(sizes, key)
+    rows = areas.withColumn("n_lines", F.lit(1 << 40)) if sizes is None else areas.join(sizes, key)
     end = F.coalesce(F.lead("first_line").over(w) - 1, F.col("n_lines") - 1)
     return rows.withColumn("zone_start", F.col("last_line") + 1 - gone).withColumn("zone_end", end - gone).select(key, "area", "zone_start", "zone_end")
 
@@ -210,10 +235,14 @@ def size_levels(heads: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("size_level", F.when(h >= at(80), 1).when(h >= at(60), 2).when(h >= at(40), 3).when(h >= at(20), 4).otherwise(5)).drop("_v")
 
 
+def _contents_title(c: str) -> Column:
+    """A line or a contents entry, cleaned so that both are alike."""
+    return F.lower(T.normal_heading(T.toc_title(T.markdown_heading(F.col(c))["title"])))
+
+
 def body_start(lines: DataFrame, titles: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
     """The first line that is a level-1 contents title, after cleaning."""
-    norm = lambda c: F.lower(T.normal_heading(T.toc_title(T.markdown_heading(F.col(c))["title"])))
-    return lines.withColumn("_t", norm("line")).join(titles.select(key, norm("title").alias("_t")).filter(F.length("_t") >= 2).distinct(), [key, "_t"]).groupBy(key).agg(F.min(order).alias("body_line"))
+    return lines.withColumn("_t", _contents_title("line")).join(titles.select(key, _contents_title("title").alias("_t")).filter(F.length("_t") >= 2).distinct(), [key, "_t"]).groupBy(key).agg(F.min(order).alias("body_line"))
 
 
 def demoted(rows: DataFrame, boundary: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
@@ -284,13 +313,13 @@ def heading_candidates(lines: DataFrame, key: str = "doc_id", order: str = "line
     bare = F.trim("line")
     other = (F.contains(bare, F.lit("<!--")) & F.contains(bare, F.lit("-->"))) | F.startswith(bare, F.lit("|")) | F.startswith(bare, F.lit("<table>")) | (F.contains(bare, F.lit("![")) & F.contains(bare, F.lit("](")))
     md = T.markdown_heading(bare)
-    rows = written(lines.filter(bare != "").withColumns({"title": F.when(other, FIGURE).otherwise(F.trim(T.without_bold(md["title"]))), "_marker": F.when(~other, md["level"])}))
-    # written before the patterns and behind them: they are large expressions, which are to run once
-    codes = written(rows.withColumns({"_for": T.heading_evidence(F.col("title")), "_against": T.body_evidence(F.col("title"), punctuation=True)}))
-    code = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
-    level = F.when(F.col("_marker").isNull(), -1).otherwise(T.level_by(F.col("_marker"), F.array_max("_for"), F.array_max("_against") > 0, fallback=True))
-    reason = F.when(F.col("_marker").isNull(), FIGURE).otherwise(F.concat(F.lit("POS "), code("_for"), F.lit(" NEG "), code("_against")))
-    return codes.withColumns({"level": level, "reason": reason}).drop("_marker", "_for", "_against")
+    rows = lines.filter(bare != "").withColumns({"title": F.when(other, FIGURE).otherwise(F.trim(T.without_bold(md["title"]))), "_marker": F.when(~other, md["level"])})
+    # in steps, so that what several expressions go by is made once
+    codes = rows.withColumn("_head", T.numbering(F.col("title"))).withColumns({"_for": T.numbering_depths(F.col("_head")), "_against": T.body_evidence(F.col("title"), punctuation=True)})
+    codes = codes.withColumns({"_depth": F.array_max("_for"), "_body": F.array_max("_against") > 0})
+    level = F.when(F.col("_marker").isNull(), -1).otherwise(T.level_by(F.col("_marker"), F.col("_depth"), F.col("_body"), fallback=True))
+    reason = F.when(F.col("_marker").isNull(), FIGURE).otherwise(F.concat(F.lit("POS "), F.col("_for").cast("string"), F.lit(" NEG "), F.col("_against").cast("string")))
+    return codes.withColumns({"level": level, "reason": reason}).drop("_marker", "_head", "_for", "_against", "_depth", "_body")
 
 
 def predicted_titles(lines: DataFrame, titles: DataFrame | None = None, areas: DataFrame | None = None, marks: DataFrame | None = None, key: str = "doc_id", order: str = "line_no", word_text: bool = False) -> DataFrame:
@@ -302,28 +331,41 @@ def predicted_titles(lines: DataFrame, titles: DataFrame | None = None, areas: D
     no headings; a document with one area or none is one zone. 4. In word_text broken body lines are joined and short gaps
     between like headings closed, within zones. 5. Lines named in marks (key, order) go on the heading before them. 6. Leaves that
     are only children go, levels become depths.
+
+    Lines are dealt by key once, with marks and the starts of zones as rows between them; all steps are windows and groups within a key.
     """
-    rows = heading_candidates(lines, key, order)
+    kind = lines.schema[order].dataType
+    rows = lines.filter(F.trim("line") != "").select(key, order, "line", F.lit(1).alias("_k"))
+    if areas is not None:
+        zone = zones(areas.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("_n > 1"), None, key)
+        start = zone.select(key, F.col("zone_start").cast(kind).alias(order), F.struct(F.col("zone_end").alias("end"), F.col("area").alias("area")).alias("_z"))
+        # no zone governs what stands before the first one
+        none = start.groupBy(key).agg(F.lit(-(1 << 31)).cast(kind).alias(order)).withColumn("_z", F.lit(None).cast(start.schema["_z"].dataType)).withColumn("_z", F.struct(F.col("_z.end").alias("end"), F.col("_z.area").alias("area")))
+        rows = rows.unionByName(start.unionByName(none).withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    if marks is not None:
+        rows = rows.unionByName(marks.select(key, order, F.lit(0).alias("_k"), F.col(order).alias("_m")), allowMissingColumns=True)
     if titles is not None:
-        rows = demoted(rows, body_start(lines, titles, key, order), key, order)
-    rows = rows.withColumn("_zone", F.lit(0))
+        wanted = titles.select(key, _contents_title("title").alias("_t")).filter(F.length("_t") >= 2).groupBy(key).agg(F.collect_set("_t").alias("_titles"))
+        rows = rows.join(wanted, key, "left")
+    last = Window.partitionBy(key).orderBy(order, "_k", *(["_z"] if areas is not None else [])).rowsBetween(Window.unboundedPreceding, 0)
+    placed = {c: F.last(c, True).over(last) for c in ("_z", "_m") if c in rows.columns}
+    rows = rows.withColumns(placed).filter("_k = 1") if placed else rows
+    if titles is not None:
+        at = F.when(F.col("_titles").isNotNull() & F.array_contains("_titles", _contents_title("line")), F.col(order))
+        rows = rows.withColumn("_at", at).withColumn("_start", F.min("_at").over(Window.partitionBy(key)))
     if areas is not None:
-        several = areas.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-        sizes = lines.groupBy(key).agg((F.max(order) + 1).alias("_left")).join(areas.groupBy(key).agg(F.sum(F.col("last_line") - F.col("first_line") + 1).alias("_gone")), key)
-        zone = zones(areas.join(several, key, "left_semi"), sizes.select(key, (F.col("_left") + F.col("_gone")).alias("n_lines")), key)
-        inside = governed(rows.join(several, key, "left_semi").select(key, order), zone, key, order).filter("zone is not null").select(key, order, F.col("zone").alias("_z"))
-        rows = rows.join(several.withColumn("_s", F.lit(True)), key, "left").join(inside, [key, order], "left").filter("_s is null or _z is not null")
-        rows = rows.withColumn("_zone", F.coalesce("_z", F.lit(0)))
-    rows = rows.select(F.struct(key, "_zone").alias("_part"), key, order, "title", "level", "reason")
+        rows = rows.filter(F.col("_z").isNull() | (F.col(order) <= F.col("_z.end")))
+    rows = heading_candidates(rows, key, order)
+    if titles is not None:
+        rows = rows.withColumn("level", F.when(F.col(order) < F.col("_start"), -1).otherwise(F.col("level")))
+    part = F.lit(0) if areas is None else F.coalesce("_z.area", F.lit(0))
+    mark = F.lit(None).cast("string") if marks is None else F.when(F.col("_m") == F.col(order), "<")
+    rows = rows.select(key, part.alias("_part"), order, "title", "level", "reason", mark.alias("mark"))
     if word_text:
-        rows = written(rows)
-        joined = joined_body(rows.drop(key), "_part", order)
-        codes = rows.select("_part", order, "reason")
-        rows = merged_gaps(joined.join(codes, ["_part", order]).select("_part", order, "title", "level", "reason"), "_part", order)
-    rows = rows.select(F.col(f"_part.{key}").alias(key), order, "title", "level")
+        rows = merged_gaps(joined_body(rows, [key, "_part"], order, ("reason", "mark")).drop("last_line", "n_rows"), [key, "_part"], order)
+    rows = rows.select(key, order, "title", "level", "mark")
     if marks is not None:
-        rows = rows.join(marks.select(key, order, F.lit("<").alias("mark")).distinct(), [key, order], "left")
-        rows = continued_headings(rows, key, order).drop("mark")
+        rows = continued_headings(rows.filter("level > 0 or mark = '<'"), key, order)
     return without_single_leaves(rows.filter("level > 0").select(key, order, "title", "level"), key, order)
 
 

@@ -15,7 +15,7 @@ from ..operators import structure as U
 from ..operators import tables as B
 from ..operators.chunking import lines_of
 from ..sources import scans as X
-from ..sources.store import by_keys, shared_dir
+from ..sources.store import by_keys, shared_dir, written
 from ..streaming import jobs as J
 from .content_queries import LINES
 from .registry import query, table
@@ -61,7 +61,7 @@ def merged_gaps(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def predicted_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Headings of documents whose lines are decorated, with contents areas, a first title and continued lines; compared with plain Python in tests."""
-    rows = decorated_lines(table(spark, sf, "documents"))
+    rows = written(decorated_lines(table(spark, sf, "documents")))  # read four times
     areas = rows.filter("doc_id % 3 = 0").groupBy("doc_id").agg(F.max("line_no").alias("_n")).filter("_n >= 12").select("doc_id", F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(x).alias("first_line"), F.lit(y).alias("last_line")) for a, x, y in ((1, 0, 1), (2, 6, 7))])).alias("_a")).select("doc_id", "_a.*")
     titles = rows.filter("doc_id % 4 = 1 and line_no = 5").select("doc_id", F.col("line").alias("title"))
     marks = rows.filter("doc_id % 5 = 2 and line_no % 7 = 3").select("doc_id", "line_no")
@@ -69,7 +69,7 @@ def predicted_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decorated_lines(docs: DataFrame) -> DataFrame:
-    n, few = F.col("line_no") % 7, F.array_join(F.slice(F.split("line", r"\s+"), 1, 3), " ")
+    n, few = F.col("line_no") % 7, F.array_join(F.slice(F.split("line", r"\s+", 4), 1, 3), " ")
     line = F.when(n == 0, F.concat(F.lit("# "), few)).when(n == 1, F.concat(F.lit("1.2 "), few)).when(n == 2, F.lit("<!-- Page 3 -->")).when(n == 3, few).when(n == 4, F.concat(F.lit("## **"), few, F.lit("**"))).when(n == 5, F.concat(F.lit("（一）"), few)).otherwise(F.col("line"))
     return lines_of(docs).select("doc_id", F.col("line_no").cast("int").alias("line_no"), line.alias("line"))
 
