@@ -26,12 +26,23 @@ def token_count(text: Column) -> Column:
 def tokens(text: Column, stopwords: tuple[str, ...] = (), distinct: bool = False, least: int = 2) -> Column:
     """Search tokens: runs of letters and digits in lower case, runs of CJK characters as bigrams; media
     references and tokens shorter than least are left out."""
-    clean = F.lower(F.regexp_replace(text_or_empty(text), rf"(?i){CHUNK_REF}|image-\d+|table-\d+", " "))
-    runs = F.regexp_extract_all(clean, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{CJK}]{{3,}}"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))).otherwise(F.array(r))))
-    out = F.filter(F.when(clean.rlike(rf"[{CJK}]{{3}}"), pairs).otherwise(runs), lambda t: F.length(t) >= least)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - value is made once, however often it is used
+
+    def cut(clean: Column) -> Column:
+        runs = F.regexp_extract_all(clean, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+        pairs = lambda own: F.flatten(F.transform(own, lambda r: F.when(r.rlike(rf"^[{CJK}]{{3,}}"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))).otherwise(F.array(r))))
+        # a text that is all ASCII is spared the slower patterns
+        return F.when(F.octet_length(clean) == F.length(clean), F.regexp_extract_all(clean, F.lit("[a-z0-9]+"), F.lit(0))).when(clean.rlike(rf"[{CJK}]{{3}}"), pairs(runs)).otherwise(runs)
+
+    text = text_or_empty(text)
+    named = lambda low: F.contains(low, F.lit("image")) | F.contains(low, F.lit("table"))
+    bare = F.lower(F.regexp_replace(text, rf"(?i){CHUNK_REF}|image-\d+|table-\d+", " "))
+    found = once(F.lower(text), lambda low: once(F.when(named(low), bare).otherwise(low), cut))
+    if stopwords and not distinct:
+        return F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(*stopwords))
+    out = F.filter(found, lambda t: F.length(t) >= least)
     out = F.array_distinct(out) if distinct else out
-    return F.array_except(out, F.lit(list(stopwords))) if stopwords and distinct else F.filter(out, lambda t: ~t.isin(*stopwords)) if stopwords else out
+    return F.array_except(out, F.lit(list(stopwords))) if stopwords else out
 
 
 def keyword_text(text: Column, stopwords: tuple[str, ...] = STOPWORDS, link: str = ";") -> Column:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import written
+from .chunking import packed_lines
 
 SHARED, SCORE = 3, 0.8
 
 
+def _keywords(content: str):
+    """Normalised tokens of a text column without stopwords, single characters and numbers, as an array."""
+    return F.filter(T.tokens(F.col(content), T.STOPWORDS), lambda t: ~t.rlike(r"^\d+[.,%]*$"))
+
+
 def keyword_counts(chunks: DataFrame) -> DataFrame:
     """document_id, n_chunks, keyword, tf, df: keywords of documents (normalised tokens without stopwords, single characters and numbers),
     how often they stand there and in how many of the chunks.
@@ -20,7 +31,7 @@ def keyword_counts(chunks: DataFrame) -> DataFrame:
     Chunks are dealt by document once, each with its tokens as one sorted array; all counts are made behind that, so no keyword is shuffled.
     A token that differs from the one before it counts its chunk. A larger input has more parts, so that a task's counts stay small.
     """
-    words = F.array_sort(F.filter(T.tokens(F.col("content"), T.STOPWORDS), lambda t: ~t.rlike(r"^\d+[.,%]*$")))
+    words = F.array_sort(_keywords("content"))
     parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * chunks.rdd.getNumPartitions())
     own = chunks.select("document_id", words.alias("_w")).repartition(parts, "document_id").withColumn("n_chunks", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
     each = own.select("document_id", "n_chunks", "_w", F.posexplode("_w").alias("_at", "keyword"))
@@ -35,6 +46,86 @@ def top_keywords(counts: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank0", F.row_number().over(w) - 1).filter(F.col("rank0") < k).select("document_id", "keyword", "weight", "rank0")
 
 
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (document_id, _w: array of words) of chunks, those of a document one after the other -> a row per document: document_id,
+    n_chunks, _letters of its different words, _own (these words), and words that hold its k best ones (of equal counts the first k in order, near
+    the k-th weight), with how often they stand there and in how many chunks."""
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        ids, own = (rows.column(k).combine_chunks() for k in range(2))
+        ids, own = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, own))
+        new = np.append(True, pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, bool)
+        document, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        each = pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64)
+        coded = own.flatten().dictionary_encode()
+        known = coded.dictionary.cast(pa.string())
+        order = pc.array_sort_indices(known).to_numpy().astype(np.int64)
+        n, rank, known = max(1, len(order)), np.argsort(order), known.take(pa.array(order))
+        pair, times = np.unique(np.repeat(np.arange(len(ids)), each) * n + rank[coded.indices.to_numpy()], return_counts=True)
+        word, at, df = np.unique(document[pair // n] * n + pair % n, return_inverse=True, return_counts=True)
+        d, word = word // n, word % n
+        tf, chunks = np.bincount(at, times, len(word)).astype(np.int64), np.diff(np.append(first, len(ids)))
+        weight = tf * (np.log(chunks[d] / df) + 1)
+        by = np.lexsort((df, tf, -weight, d))  # stable: words stay in order
+        same = np.append(False, (d[by][1:] == d[by][:-1]) & (tf[by][1:] == tf[by][:-1]) & (df[by][1:] == df[by][:-1])) if len(by) else np.zeros(0, bool)
+        place = np.arange(len(by)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(by)))) if len(by) else by
+        start = np.searchsorted(d[by], np.arange(len(first)))
+        kth = np.minimum(start + k, np.append(start[1:], len(by))) - 1
+        least = weight[by][np.maximum(kth, 0)] - 1e-5 if len(by) else np.zeros(len(first))
+        best = by[(place < k) & (weight[by] >= least[d[by]])]
+
+        def lists(some: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+            to = pa.array(np.append(0, np.cumsum(np.bincount(d[some], minlength=len(first)))).astype(np.int32))
+            return [pa.ListArray.from_arrays(to, known.take(pa.array(word[some]))), *(pa.ListArray.from_arrays(to, pa.array(v[some])) for v in values)]
+
+        letters = np.bincount(d, pc.utf8_length(known).to_numpy()[word], len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(chunks), pa.array(letters), *lists(np.arange(len(word))), *lists(best, tf, df)], names=["document_id", "n_chunks", "_letters", "_own", "_best", "_tf", "_df"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0)
+        differs = pc.not_equal(ids, ids[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last document may go on in the next batch
+        if held and (cut or ids[-1] != held[-1].column(0)[0]):
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            yield counted(done)
+        elif cut:
+            yield counted(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield counted(pa.Table.from_batches(held))
+
+
+def keyword_sets(docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """document_id, _letters (of all different keywords), _own (these), _top (the k best, see top_keywords) of documents whose key is not
+    null, a row for each row of docs.
+
+    A document's chunks lie in its own row, so they are counted where they stand and nothing is shuffled but keys. Only documents
+    whose key repeats are dealt by key, as they count together.
+    """
+    docs = docs.select(key, text).filter(F.col(key).isNotNull())
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sets(rows: DataFrame, deal: bool) -> DataFrame:
+        words = packed_lines(rows, key, text).select(F.col(key).alias("document_id"), _keywords("content").alias("_w"))
+        if deal:
+            words = words.repartition("document_id").sortWithinPartitions("document_id")
+        out = words.mapInArrow(lambda batches: _counted(batches, k), f"document_id {kind}, n_chunks long, _letters long, _own array<string>, _best array<string>, _tf array<long>, _df array<long>")
+        weight = lambda x: F.round(x["_tf"] * (F.log(F.col("n_chunks") / x["_df"]) + 1), 6)
+        best = F.array_sort(F.transform(F.arrays_zip("_best", "_tf", "_df"), lambda x: F.struct((-weight(x)).alias("w"), x["_best"].alias("keyword"))))
+        return out.select("document_id", "_letters", "_own", F.transform(F.slice(best, 1, k), lambda x: x["keyword"]).alias("_top"))
+
+    if not repeated.limit(1).count():
+        return sets(docs, False)
+    again = sets(docs.join(repeated, key, "left_semi"), True).join(repeated.withColumnRenamed(key, "document_id"), "document_id")
+    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    return sets(docs.join(repeated, key, "left_anti"), False).unionByName(again)
+
+
 def nodes(chunks: DataFrame, summary: str | None = None, order: str = "chunk_no") -> DataFrame:
     """Documents with their number of chunks, the number of each type (a map) and, if a column of summaries is named, the first one
     in order that is not blank."""
@@ -113,6 +204,229 @@ def edges(full: DataFrame, top: DataFrame, published: DataFrame, shared: int = S
     return got.select(F.least("_new", "_old").alias("source"), F.greatest("_new", "_old").alias("target"), "n_shared", F.round(F.col("_s") / F.col("_least"), 4).alias("weight"))
 
 
+#: Documents that are packed in one row (as earlier and as later ones), the most frequent keywords of such a row that are kept as a matrix, and
+#: edges that a task hands on at once.
+PACK, OFTEN, EDGES = 8192, 2048, 1 << 17
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document_id, _p, _letters, _own, _top) -> packs of PACK documents: _news and _olds as bytes, the later ones in the order of falling
+    letters with their postings, the earlier ones in the order of their ids with their top keywords."""
+
+    def numbers(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        coded = lists.flatten().dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32), pc.list_value_length(lists).to_numpy()
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by([("_letters", "descending")]).combine_chunks()
+        one = lambda c: x.combine_chunks() if isinstance(x := rows.column(c).combine_chunks(), pa.ChunkedArray) else x
+        ids, when, letters = rows.column("document_id").to_pylist(), rows.column("_p").to_pylist(), one("_letters").to_numpy().astype(np.int64)
+        both = list(zip(when, ids, strict=True))
+        words, own, each = numbers(one("_own"))
+        by = np.argsort(own, kind="stable")
+        bounds = np.append(0, np.cumsum(np.bincount(own, minlength=len(words)))).astype(np.int64)
+        news = (max(both), min(both), ids, when, letters, words, np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) <= 1 << 16 else np.int32), each)[by], bounds)
+        rows = rows.sort_by("document_id").combine_chunks()
+        ids, when = rows.column("document_id").to_pylist(), rows.column("_p").to_pylist()
+        words, own, each = numbers(one("_top"))
+        olds = (min(both), ids, when, words, own.tolist(), np.append(0, np.cumsum(each)).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x, 5)], pa.binary()) for x in (news, olds)], names=["_news", "_olds"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, PACK - sum(x.num_rows for x in held)))
+            batch = batch.slice(held[-1].num_rows)
+            if sum(x.num_rows for x in held) == PACK:
+                yield pack(pa.Table.from_batches(held))
+                held = []
+    if held:
+        yield pack(pa.Table.from_batches(held))
+
+
+class _Later:
+    """A pack's documents as later ones: postings of their keywords, of the most frequent ones also as rows of letters."""
+
+    def __init__(self, packed: bytes) -> None:
+        self.last, self.first, ids, when, self.letters, words, self.at, self.bounds = pickle.loads(packed)
+        self.ids, self.when = _values(ids), _values(when)
+        self.number = {w: k for k, w in enumerate(words)}
+        size, length = np.diff(self.bounds), np.array([len(w) for w in words], np.int64)
+        often = [k for k in np.argsort(-size, kind="stable")[:OFTEN].tolist() if length[k] < 256]
+        self.row = {k: n for n, k in enumerate(often)}
+        self.dense = np.zeros((len(often), len(ids)), np.uint8)
+        for n, k in enumerate(often):
+            self.dense[n, self.postings(k)] = length[k]
+
+    def postings(self, k: int) -> np.ndarray:
+        return self.at[self.bounds[k] : self.bounds[k + 1]]
+
+
+def _values(values: list) -> np.ndarray:
+    """An array whose values compare as those of the list: numbers as such, others as objects."""
+    plain = all(type(x) is int for x in values) or all(type(x) is float for x in values)
+    return np.array(values) if plain else np.array([*values, None], object)[:-1]
+
+
+def _least_shared(score: float, most: int) -> np.ndarray:
+    """Per number n of letters up to most, the least number of shared ones of which n is a share of at least score."""
+    n = np.arange(1, most + 1)
+    least = np.maximum(np.ceil(score * n).astype(np.int64) - 1, 0)
+    for _ in range(2):
+        least += least / n < score
+    return np.append(0, least)
+
+
+def _met(later: _Later, olds: tuple, shared: int, score: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges between the documents of a pack as earlier ones and the later ones: place of the earlier, and as arrays places of the later ones, n_shared, letters
+    shared and letters of the smaller set."""
+    _, ids, when, words, own, bounds = olds
+    number, size = [later.number.get(w, -1) for w in words], [len(w) for w in words]
+    weights = [sum(size[w] for w in own[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    needed = _least_shared(score, max(weights, default=0))
+    least, bytes_ = needed.tolist(), np.minimum(needed, 255).astype(np.uint8)
+    smaller, most, everyone = np.negative(later.letters), later.letters.tolist(), len(later.letters)  # ascending
+    sums, small = np.empty(everyone, np.uint8), least[min(most[-1], len(least) - 1)]
+    whole_of: dict[int, int] = {}
+    for n, weight in enumerate(weights):
+        there = [w for w in own[bounds[n] : bounds[n + 1]] if number[w] >= 0]
+        if len(there) < shared or sum([size[w] for w in there]) < min(small, least[weight]):
+            continue
+        rows = [row for w in there if (row := later.row.get(number[w])) is not None] if weight < 256 else []
+        rare = [w for w in there if number[w] not in later.row] if weight < 256 else there
+        letters = sums if weight < 256 else np.zeros(everyone, np.int64)  # sums of letters fit in a byte
+        if rows:
+            np.add.reduce(later.dense[rows], axis=0, dtype=np.uint8, out=sums)
+        else:
+            letters[:] = 0
+        for w in rare:
+            letters[later.postings(number[w])] += letters.dtype.type(size[w])
+        whole = whole_of.get(weight)
+        if whole is None:
+            whole = whole_of[weight] = int(np.searchsorted(smaller, -weight, side="right"))  # later documents with as many letters or more
+        good = (letters[:whole] >= least[weight]).nonzero()[0]
+        if whole < everyone:
+            own_least = (bytes_ if weight < 256 else needed)[later.letters[whole:]]
+            good = np.concatenate([good, whole + (letters[whole:] >= own_least).nonzero()[0]])
+        if not later.first > (when[n], ids[n]):
+            p, i = later.when[good], later.ids[good]
+            good = good[((p > when[n]) | ((p == when[n]) & (i > ids[n]))).astype(bool)]
+        if not len(good):
+            continue
+        many = np.count_nonzero(later.dense[np.ix_(rows, good)], axis=0) if rows else np.zeros(len(good), np.int64)
+        for w in rare:
+            at = later.postings(number[w])
+            many = many + (at[np.minimum(np.searchsorted(at, good), len(at) - 1)] == good)
+        some = many >= shared
+        if not some.all():
+            good, many = good[some], many[some]
+        if len(good):
+            yield n, good, many, letters[good].astype(np.int64), np.minimum(later.letters[good], weight)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Later, bool, tuple]]:
+    """The pairs of packs in which a later document may stand: later ones, whether they are new to the task, earlier ones."""
+    last, later = None, None
+    for batch in batches:
+        for news, olds in zip(batch.column(0), batch.column(1), strict=True):
+            fresh = news.as_buffer() if news.is_valid else None
+            if last is None or not fresh.equals(last):
+                last, later, told = fresh, _Later(fresh.to_pybytes()), False
+            own = pickle.loads(olds.as_py())
+            if later.last > own[0]:
+                yield later, not told, own
+                told = True
+
+
+def _edges(shared: int, score: float, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_new", "_old", "n_shared", "_s", "_least"]
+        for later, _, olds in _pairs(batches):
+            news, held, n_held = pa.array(later.ids.tolist(), kind), [], 0
+            met = _met(later, olds, shared, score)
+            while (x := next(met, None)) or held:
+                if x:
+                    held.append(x)
+                    n_held += len(x[1])
+                if not x or n_held >= EDGES:
+                    first = pa.array([olds[1][n] for n, *_ in held], kind).take(pa.array(np.repeat(np.arange(len(held)), [len(y[1]) for y in held])))
+                    good, *values = (np.concatenate([y[c] for y in held]) for c in range(1, 5))
+                    yield pa.RecordBatch.from_arrays([news.take(pa.array(good)), first, *map(pa.array, values)], names=names)
+                    held, n_held = [], 0
+
+    return run
+
+
+def _degrees(shared: int, score: float, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per node of a pair of packs: its edges there, their weight in ten thousandths, and the least neighbour."""
+
+    def rows(ids: list, degree: np.ndarray, weight: np.ndarray, least: list) -> pa.RecordBatch:
+        some = np.flatnonzero(degree).tolist()
+        pick = lambda of: pa.array([of[k] for k in some], kind)
+        return pa.RecordBatch.from_arrays([pick(ids), pa.array(degree[some]), pa.array(weight[some]), pick(least)], names=["node", "_n", "_w", "_o"])
+
+    share, small = np.arange(256), np.arange(1, 256)[:, None]
+    table = np.append(np.zeros((1, 256), np.int64), (20000 * share + small) // (2 * small), axis=0)  # rounded half up, in whole numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for later, fresh, olds in _pairs(batches):
+            if fresh or held is None:
+                if held is not None:
+                    yield rows(*held)
+                held = (later.ids.tolist(), np.zeros(len(later.ids), np.int64), np.zeros(len(later.ids), np.int64), [None] * len(later.ids))
+            _, degree, weight, least = held
+            ids = olds[1]
+            n, none = len(ids), np.ones(len(later.ids), bool)
+            own, own_weight, other = np.zeros(n, np.int64), np.zeros(n, np.int64), list(ids)
+            for k, good, _, s, of in _met(later, olds, shared, score):
+                w = table[of, s] if of[0] < 256 and of.max() < 256 else (20000 * s + of) // (2 * of)
+                own[k], own_weight[k], other[k] = len(good), w.sum(), later.ids[good].min()
+                degree[good] += 1
+                weight[good] += w
+                for at in good[none[good]].tolist():  # once for a later document: earlier ones stand in the order of their ids
+                    least[at] = ids[k] if least[at] is None else min(least[at], ids[k])
+                none[good] = False
+            yield rows(ids, own, own_weight, other)
+        if held is not None:
+            yield rows(*held)
+
+    return run
+
+
+def _all_pairs(sets: DataFrame, work, kinds: str) -> DataFrame:
+    """work on every pair of packs of documents. Packs are written once and read by the tasks of a product of two tables, so that the
+    pairs grow with the square of the documents, but what is shuffled or written only with the documents."""
+    bare = sets.select("document_id", "_p", "_letters", "_own", "_top").filter(F.size("_top") > 0)
+    packs = written(bare.mapInArrow(_packs, "_news binary, _olds binary"))
+    n = max(1, packs.count())
+    cores = sets.sparkSession.sparkContext.defaultParallelism
+    few = min(n, -(-3 * cores // n))  # parts of the earlier ones, so that all cores have pairs
+    left, right = packs.select("_news").repartition(min(n, 64 * cores)), packs.select("_olds").repartition(max(few, -(-n // 64)))
+    return left.join(right.hint("shuffle_replicate_nl")).mapInArrow(work, kinds)
+
+
+def set_edges(sets: DataFrame, shared: int = SHARED, score: float = SCORE) -> DataFrame:
+    """The edges of edges() from sets: document_id, _p (when it was published), _letters, _own and _top, see keyword_sets."""
+    kind = sets.schema["document_id"].dataType.simpleString()
+    got = _all_pairs(sets, _edges(shared, score, _arrow(kind)), f"_new {kind}, _old {kind}, n_shared long, _s long, _least long")
+    return got.select(F.least("_new", "_old").alias("source"), F.greatest("_new", "_old").alias("target"), "n_shared", F.round(F.col("_s") / F.col("_least"), 4).alias("weight"))
+
+
+def set_degrees(sets: DataFrame, shared: int = SHARED, score: float = SCORE) -> DataFrame:
+    """degrees() of set_edges(): edges are counted in the tasks that find them, so no edge is shuffled."""
+    kind = sets.schema["document_id"].dataType.simpleString()
+    got = _all_pairs(sets, _degrees(shared, score, _arrow(kind)), f"node {kind}, _n long, _w long, _o {kind}")
+    return got.groupBy("node").agg(F.sum("_n").alias("degree"), F.round(F.sum("_w") / 10000, 4).alias("weight"), F.min("_o").alias("least_neighbour"))
+
+
+def _arrow(kind: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
+
+
 def without_document(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges left after documents are removed."""
     ids = gone.select("document_id")

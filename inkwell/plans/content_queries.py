@@ -144,6 +144,11 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
     return G.keyword_counts(chunks.select(F.col("doc_id").alias("document_id"), "chunk_no", "content"))
 
 
+def _sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword sets of documents, which are published in the order of their ids."""
+    return G.keyword_sets(dealt(table(spark, sf, "documents"))).withColumn("_p", F.col("document_id"))
+
+
 @query(f"WITH {CHUNKS}, {KEYS} SELECT * FROM tops")
 def doc_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return G.top_keywords(_keywords(spark, sf))
@@ -151,16 +156,13 @@ def doc_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{EDGES} SELECT * FROM edges")
 def doc_graph(spark: SparkSession, sf: str) -> DataFrame:
-    counts = written(_keywords(spark, sf))
-    full, top = counts.select("document_id", "keyword"), written(G.top_keywords(counts).select("document_id", "keyword"))
-    order = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("published_at"))
-    return G.edges(full, top, order)
+    return G.set_edges(_sets(spark, sf))
 
 
 @query(f"""{EDGES}, ends AS (SELECT source AS node, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)
 SELECT node, count(*) AS degree, round(sum(weight), 4) AS weight, min(other) AS least_neighbour FROM ends GROUP BY node""")
 def graph_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return G.degrees(doc_graph(spark, sf))
+    return G.set_degrees(_sets(spark, sf))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, count(*) AS n_chunks, 'text' AS kinds FROM chunks GROUP BY document_id")
