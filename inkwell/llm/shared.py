@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_dir, written  # noqa: F401
+from ..sources.store import lean, shared_dir, written  # noqa: F401
 
 #: The six characters that the contracts call white space, as a Java class body.
 SPACE = r"\x20\x09-\x0D"
@@ -85,19 +82,6 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     return got.drop("_offset")
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work for mapInArrow, after which the Python worker hands freed memory back: workers outlive their tasks and stages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-
-    return run
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte buffer and its n + 1 offsets, without a copy; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
